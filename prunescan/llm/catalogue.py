@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prunescan.llm import mixing, url_filter
+from prunescan.llm import mixing, substring_dedup, url_filter
 from prunescan.llm.common import table
 
 #: The rules of op9, fixed by its contract: host, path, verdict.
@@ -28,8 +28,14 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 13-word windows that an earlier document holds."""
+    return substring_dedup.drop_repeated(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES = {
     "op6_mix_sources": op6_mix_sources,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_url_filter": op9_url_filter,
 }
 

@@ -7,8 +7,6 @@ from pyspark.sql.window import Window
 
 from prunescan.llm.common import fresh
 
-RULES_SCHEMA = "rule_host string, rule_path string, verdict string"
-
 
 def url_host(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; empty without ``://``."""
@@ -27,7 +25,8 @@ def host_key(host: Column) -> Column:
 
 def rules_of(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
     """A rule table from (host, path, verdict)."""
-    return spark.createDataFrame(rules, RULES_SCHEMA)
+    rows = [F.struct(F.lit(h).alias("rule_host"), F.lit(p).alias("rule_path"), F.lit(v).alias("verdict")) for h, p, v in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def _events(rules: DataFrame) -> DataFrame:
