@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prunescan.llm import mixing, simhash, substring_dedup, toxicity, url_filter
+from prunescan.llm import decontamination, mixing, simhash, substring_dedup, toxicity, url_filter
 from prunescan.llm.common import table
 
 #: The rules of op9, fixed by its contract: host, path, verdict.
@@ -23,6 +23,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, url_filter.rules_of(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items."""
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     return simhash.simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
@@ -45,6 +50,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_mix_sources": op6_mix_sources,
