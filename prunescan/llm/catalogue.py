@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from prunescan.llm import decontamination, mixing, simhash, substring_dedup, toxicity, url_filter
+from prunescan.llm import decontamination, mixing, pii, simhash, substring_dedup, toxicity, url_filter
 from prunescan.llm.common import table
 
 #: The rules of op9, fixed by its contract: host, path, verdict.
@@ -33,6 +33,13 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with personal data replaced by surrogates."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    masked = pii.mask(docs, entities_col="entities")
+    return masked.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -52,6 +59,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_pii_surrogates": op3_pii_surrogates,
     "op5_toxicity": op5_toxicity,
     "op6_mix_sources": op6_mix_sources,
     "op7_substring_dedup": op7_substring_dedup,
