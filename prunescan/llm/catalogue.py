@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from prunescan.llm import decontamination, mixing, pii, simhash, substring_dedup, toxicity, url_filter
+from prunescan.llm import decontamination, html_wrappers, mixing, pii, simhash, substring_dedup, toxicity, url_filter
 from prunescan.llm.common import table
 
 #: The rules of op9, fixed by its contract: host, path, verdict.
@@ -40,6 +40,11 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_wrappers.extract_articles(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -60,6 +65,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_pii_surrogates": op3_pii_surrogates,
+    "op4_html_extraction": op4_html_extraction,
     "op5_toxicity": op5_toxicity,
     "op6_mix_sources": op6_mix_sources,
     "op7_substring_dedup": op7_substring_dedup,
