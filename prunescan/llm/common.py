@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -15,17 +16,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so that a lost executor costs no recomputation.
+def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where that is unset (tests) a folder is made here."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="prunescan-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests) one is made here.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="prunescan-checkpoint-"))
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` by checkpoint() in the shared folder, so that a lost executor costs no recomputation."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``cut`` for larger results: written there as compressed Parquet and read back."""
+    path = f"{shared_dir(df.sparkSession)}/prunescan-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fresh(taken, *names: str) -> list[str]:
     """Working column names that clash with none of ``taken`` (case-insensitively)."""
     used, out = {c.lower() for c in taken}, []

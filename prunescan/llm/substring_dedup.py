@@ -5,8 +5,8 @@ changes within a sliding window; equal windows have equal seeds, wherever they s
 seed which documents hold it first and last, and whether all its blocks read alike. A document is factored
 against the index from left to right: a block known alike from an earlier document continues the current
 factor with all its windows; where blocks of a seed differ, which happens at the ends of common passages, the
-factor's boundary is found by looking up the block's windows one by one. The words of all windows so matched
-make up the duplicate spans.
+factor's boundary is found by looking up the windows of each different block one by one. The words of all windows
+so matched make up the duplicate spans.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from prunescan.llm.common import cut
+from prunescan.llm.common import stored
 
 #: Stands for a null document id, which counts as after all others.
 LAST = 2**63 - 1
@@ -52,6 +52,12 @@ def windows(words: list[bytes], window: int, seed_words: int) -> tuple[np.ndarra
     return least.view(np.int64), _runs(h, window).view(np.int64)
 
 
+def _cut_up(seeds: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first window of every reference block and the blocks' hashes."""
+    at = np.flatnonzero(np.append(True, seeds[1:] != seeds[:-1]))
+    return at, np.add.reduceat(_mixed(hashes.view(np.uint64)), at).view(np.int64)
+
+
 def _texts(batch: pa.RecordBatch, at: int) -> list:
     return batch.column(at).cast(pa.binary()).to_pylist()
 
@@ -63,27 +69,26 @@ def _blocks(batches: Iterator[pa.RecordBatch], window: int, seed_words: int) ->
         for doc, text in zip(batch.column(0).to_pylist(), _texts(batch, 1)):
             seeds, hashes = windows((text or b"").split(), window, seed_words)
             if len(seeds):
-                at = np.flatnonzero(np.append(True, seeds[1:] != seeds[:-1]))
-                block = np.add.reduceat(_mixed(hashes.view(np.uint64)), at)
-                out.append((seeds[at], np.full(len(at), doc), block.view(np.int64)))
+                at, block = _cut_up(seeds, hashes)
+                out.append((seeds[at], np.full(len(at), doc), block))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["seed", "doc", "block"])
 
 
 def _uneven(batches: Iterator[pa.RecordBatch], window: int, seed_words: int) -> Iterator[pa.RecordBatch]:
-    """(doc, text, seeds) -> (seed, hash, doc): the windows of the named seeds."""
+    """(doc, text, seeds) -> (seed, hash, doc): the different windows of the named seeds."""
     for batch in batches:
         out: list[tuple] = []
         for doc, text, wanted in zip(batch.column(0).to_pylist(), _texts(batch, 1), batch.column(2)):
             seeds, hashes = windows((text or b"").split(), window, seed_words)
-            hit = np.isin(seeds, np.asarray(wanted.values))
-            out.append((seeds[hit], hashes[hit], np.full(hit.sum(), doc)))
+            hit = np.unique(np.stack([seeds, hashes])[:, np.isin(seeds, np.asarray(wanted.values))], axis=1)
+            out.append((*hit, np.full(hit.shape[1], doc)))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["seed", "hash", "doc"])
 
 
 def _factored(batches: Iterator[pa.RecordBatch], window: int, seed_words: int) -> Iterator[pa.RecordBatch]:
-    """(text, whole, single) -> (n_words, n_removed, kept): drops the words that matched windows cover."""
+    """(text, whole, single) -> (n_words, n_removed, kept): drops the words that matched blocks and windows cover."""
     for batch in batches:
         n_words, n_removed, kept = [], [], []
         for text, whole, single in zip(_texts(batch, 0), batch.column(1), batch.column(2)):
@@ -92,8 +97,9 @@ def _factored(batches: Iterator[pa.RecordBatch], window: int, seed_words: int) -
             if whole.is_valid or single.is_valid:
                 seeds, hashes = windows(words, window, seed_words)
                 hit = np.zeros(len(seeds), bool)
-                if whole.is_valid:
-                    hit |= np.isin(seeds, np.asarray(whole.values))
+                if whole.is_valid and len(seeds):
+                    at, block = _cut_up(seeds, hashes)
+                    hit |= np.repeat(np.isin(block, np.asarray(whole.values)), np.diff(np.append(at, len(seeds))))
                 if single.is_valid:
                     hit |= np.isin(hashes, np.asarray(single.values))
                 edge = np.zeros(len(words) + 1, np.int64)
@@ -132,13 +138,17 @@ def drop_repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     blocks = d.select("doc", "text").mapInArrow(lambda it: _blocks(it, *size), "seed long, doc long, block long")
     index = blocks.groupBy("seed").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min("block").alias("b0"), F.max("block").alias("b1"))
     index = index.filter("first < last").select("seed", "first", (F.col("b0") == F.col("b1")).alias("alike"))
-    hits = blocks.select("seed", "doc").join(index, "seed").filter("doc > first or not alike")
-    matched = cut(hits.groupBy("doc").agg(F.collect_set(F.when(F.col("alike"), F.col("seed"))).alias("whole"), F.collect_set(F.when(~F.col("alike"), F.col("seed"))).alias("uneven")))
-    unequal = d.select("doc", "text").join(matched.filter(F.size("uneven") > 0).select("doc", "uneven"), "doc")
-    single = cut(unequal.mapInArrow(lambda it: _uneven(it, *size), "seed long, hash long, doc long").distinct())
-    first = single.groupBy("seed", "hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
+    hits = stored(blocks.join(index, "seed").filter("doc > first or not alike").select("seed", "doc", "block", "alike"))
+    uneven = hits.filter("not alike")
+    own = uneven.groupBy("seed", "block").agg(F.min("doc").alias("own"))
+    uneven = uneven.join(own, ["seed", "block"])
+    whole = hits.filter("alike").select("doc", "block").unionByName(uneven.filter("doc > own").select("doc", "block"))
+    whole = whole.groupBy("doc").agg(F.collect_set("block").alias("whole"))
+    unsure = uneven.filter("doc = own").groupBy("doc").agg(F.collect_set("seed").alias("seeds"))
+    single = stored(d.select("doc", "text").join(unsure, "doc").mapInArrow(lambda it: _uneven(it, *size), "seed long, hash long, doc long"))
+    first = single.groupBy("seed", "hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").drop("last")
     single = single.join(first, ["seed", "hash"]).filter("doc > first").groupBy("doc").agg(F.collect_set("hash").alias("single"))
-    flags = matched.select("doc", F.when(F.size("whole") > 0, F.col("whole")).alias("whole")).join(single, "doc", "left")
+    flags = whole.join(single, "doc", "full")
     rows = d.join(flags, "doc", "left").select("text", "whole", "single", "id")
     out = rows.mapInArrow(lambda it: _factored(it, *size), f"id {id_type}, n_words long, n_removed long, kept_sha256 string, kept string")
     return out.withColumnRenamed("id", doc_id)
