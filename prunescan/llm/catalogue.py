@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from prunescan.llm import decontamination, html_wrappers, mixing, pii, simhash, substring_dedup, toxicity, url_filter
+from prunescan.llm import decontamination, embedding_dedup, html_wrappers, mixing, pii, simhash, substring_dedup, token_counts, toxicity, url_filter
 from prunescan.llm.common import table
 
+#: Vocabulary of op10: its pieces and scores, read as a unigram model.
+TOKENIZER = os.environ.get("PRUNESCAN_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.model")
+
 #: The rules of op9, fixed by its contract: host, path, verdict.
 URL_RULES = [
     ("org", "/", "allow"),
@@ -17,6 +22,11 @@ URL_RULES = [
 ]
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, groups and kept vectors of all embeddings."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by the fixed rules."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -61,6 +71,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.drop_repeated(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under the unigram reading of a public vocabulary."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -69,7 +84,9 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_mix_sources": op6_mix_sources,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_url_filter": op9_url_filter,
+    "op10_token_counts": op10_token_counts,
 }
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
