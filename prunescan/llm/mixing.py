@@ -77,7 +77,8 @@ def draw(goal: DataFrame, block_words: int, shard_slots: int, seed: int) -> Data
     g = g.withColumn("q", F.round(F.col("target") * F.col("n") / F.col("source_size")).cast("long"))
     before = Window.orderBy("src").rowsBetween(Window.unboundedPreceding, -1)
     g = g.withColumns({"first": F.coalesce(F.sum("q").over(before), F.lit(0)), "all": F.sum("q").over(Window.partitionBy())}).filter("q > 0")
-    runs = g.withColumn("run", F.explode(F.expr(f"sequence(0, (q - 1) div {shard_slots})"))).repartition("src", "run")
+    parts = int(goal.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number, as few short rows become many
+    runs = g.withColumn("run", F.explode(F.expr(f"sequence(0, (q - 1) div {shard_slots})"))).repartition(parts, "src", "run")
     slots = runs.withColumn("slot", F.explode(F.expr(f"sequence(run * {shard_slots}, least(q, (run + 1) * {shard_slots}) - 1)")))
     place = permuted(F.col("first") + F.col("slot"), F.col("all"), keyed(F.lit(seed), F.lit("shard")))
     block = permuted(F.col("slot") % F.col("n"), F.col("n"), F.expr("key"))
@@ -109,6 +110,6 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     pieces = rows.withColumn("block", F.explode_outer(blocks))
     words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)
     times = draw(goal, block_words, shard_slots, seed).groupBy("src", "block").agg(F.count("*").alias("times"))
-    pieces = pieces.withColumn("words", words).join(times, ["src", "block"], "left")
+    pieces = pieces.withColumn("words", words).join(times.hint("merge"), ["src", "block"], "left")
     taken = F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).alias("taken")
     return pieces.groupBy("src", "bucket", "rn", "doc_id", "source", "size", "source_size", "target").agg(taken).select("doc_id", "source", "size", "source_size", "target", "taken")
