@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from prunescan.llm.common import components, cut
+from prunescan.llm.common import components, cut, stored
 
 #: Shingle hashes of a text are tallied in pieces of this many, which bounds memory for very long texts.
 PIECE = 1 << 16
@@ -117,3 +117,117 @@ def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     named = named.withColumn("component_id", F.when(F.col("component_id") != last, F.col("component_id")))
     out = f.join(named, "fp")
     return out.select(F.col("doc_id").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near duplicates by shingle similarity: the same index over a longer fingerprint.
+
+#: Bytes of the longer fingerprint, and salts that make its four 64-bit parts from one shingle hash.
+WIDE = 32
+SALTS = tuple(np.uint64(s) for s in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def shingle_set(text: bytes, k: int) -> np.ndarray:
+    """The different shingle hashes of a text, sorted, as signed numbers."""
+    return np.unique(shingle_hashes(text, k).view(np.int64))
+
+
+def _wide(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(text, doc_id) -> (doc_id, n, content, s0..s3): size and hash of the shingle set, and its 256-bit SimHash."""
+    for batch in batches:
+        rows = []
+        for text in batch.column(0).cast(pa.binary()).to_pylist():
+            s = shingle_set(text or b"", k).view(np.uint64)
+            rows.append((len(s), int(_spread(s).sum(dtype=np.uint64).view(np.int64)), *(fingerprint(_spread(s + salt)) for salt in SALTS)))
+        cols = [pa.array(list(c), pa.int64()) for c in (zip(*rows) if rows else [[]] * 6)]
+        yield pa.RecordBatch.from_arrays([batch.column(1), *cols], ["doc_id", "n", "content", "s0", "s1", "s2", "s3"])
+
+
+def _places(n_bytes: int, n_keys: int) -> np.ndarray:
+    """``n_keys`` different sets of ``n_bytes`` byte positions, the same on every run."""
+    rng, sets = np.random.default_rng(7), set()
+    while len(sets) < n_keys:
+        sets.add(tuple(sorted(rng.choice(WIDE, n_bytes, replace=False).tolist())))
+    return np.array(sorted(sets))
+
+
+def _entries(batches: Iterator[pa.RecordBatch], places: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(rep, s0..s3) -> (key, rep): the index entries of the longer fingerprint."""
+    for batch in batches:
+        rep = np.asarray(batch.column(0))
+        bytes_ = np.stack([np.asarray(batch.column(i)) for i in range(1, 5)], axis=1).view(np.uint8).reshape(-1, WIDE)
+        for at in range(0, len(rep), 2048):
+            own = bytes_[at : at + 2048][:, places].astype(np.uint64)
+            key = np.broadcast_to(np.arange(len(places), dtype=np.uint64), own.shape[:2]).copy()
+            for j in range(places.shape[1]):
+                key = (key << np.uint64(8)) | own[:, :, j]
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(rep[at : at + 2048], len(places)))], ["key", "rep"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_set(t or b"", k) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["rep", "shingles"])
+
+
+def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, keys: int = 120, least_shared: int = 4, sure_bits: int = 22, most_bits: int = 60) -> DataFrame:
+    """Groups of rows connected by a Jaccard similarity of at least ``similarity`` of their ``shingle``-word sets.
+
+    64 bits are too few for this similarity (at 0.8 about 10 of 64 differ), so the fingerprint has 256 bits, 32
+    bytes. Rows of equal sets are one entry (``rep``). The inverted index is keyed by ``keys`` sets of byte
+    positions with the bytes there, three at a time, one more for each factor of 256 beyond 16 million
+    entries, with three times the sets. In each entry of the index all are paired with one of them, another
+    one in each entry, so no group is listed pair by pair. Per pair the shared positional bytes are tallied:
+    ``least_shared`` go on, as do sizes and at most ``most_bits`` differing bits that the similarity allows.
+    Pairs within ``sure_bits`` are linked (a similarity below 0.8 gets there once in 600); of the others those
+    that don't yet hang together are verified by the exact similarity of their whole texts' shingles.
+
+    Returns the id column and ``component_id`` (smallest id of the group) for every row. Fewer words than a
+    shingle are one shingle. Null and wordless texts have equal, empty sets and form one group. A null id
+    never names a group. Other columns are not read. An empty table gives no rows.
+    """
+    last = F.lit(2**63 - 1)
+    d = docs.select(F.col(text).cast("string").alias("text"), F.coalesce(F.col(doc_id).cast("long"), last).alias("doc_id"))
+    sketch = ["s0", "s1", "s2", "s3"]
+    f = stored(d.mapInArrow(lambda it: _wide(it, shingle), "doc_id long, n long, content long, s0 long, s1 long, s2 long, s3 long"))
+    reps = stored(f.groupBy("n", "content").agg(F.min("doc_id").alias("rep"), *(F.min(s).alias(s) for s in sketch)))
+    n_bytes = max(3, -(-(reps.count().bit_length() - 1) // 8))
+    places = _places(n_bytes, keys * 3 ** (n_bytes - 3))
+    index = reps.filter("n > 0").select("rep", *sketch).mapInArrow(lambda it: _entries(it, places), "key long, rep long")
+    head = index.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("h"), F.col("rep").alias("head"))).alias("m"), F.count("*").alias("k")).filter("k > 1")
+    met = index.join(head.select("key", "m.head"), "key").filter("rep <> head")
+    met = met.select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
+    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(s).alias(f"{s}_{x}") for s in sketch))
+    pairs = met.join(side("a"), "a").join(side("b"), "b")
+    tally = sum(shared_bytes(F.col(f"{s}_a"), F.col(f"{s}_b")) for s in sketch)
+    bits = sum(F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in sketch)
+    pairs = pairs.filter((tally >= least_shared) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))).withColumn("bits", bits)
+    pairs = stored(pairs.filter(F.col("bits") <= most_bits).select("a", "b", "n_a", "n_b", "bits"))
+    sure = pairs.filter(F.col("bits") <= sure_bits).select("a", "b")
+    known = components(sure)
+    unsure = pairs.filter(F.col("bits") > sure_bits)
+    for x in ("a", "b"):
+        unsure = unsure.join(known.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")), x, "left").withColumn(f"c_{x}", F.coalesce(f"c_{x}", x))
+    unsure = stored(unsure.filter("c_a <> c_b").select("a", "b", "n_a", "n_b"))
+    wanted = unsure.select(F.col("a").alias("doc_id")).unionByName(unsure.select(F.col("b").alias("doc_id"))).distinct()
+    sets = stored(d.join(wanted, "doc_id", "left_semi").select("text", "doc_id").mapInArrow(lambda it: _sets(it, shingle), "rep long, shingles array<long>"))
+    both = unsure.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    found = both.filter(shared >= similarity * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
+    whole = components(sure.unionByName(found))
+    named = reps.select("n", "content", "rep").join(whole, F.col("rep") == F.col("node"), "left").select("n", "content", F.coalesce("component", "rep").alias("component_id"))
+    out = f.select("doc_id", "n", "content").join(named, ["n", "content"])
+    back = lambda c: F.when(F.col(c) != last, F.col(c))
+    return out.select(back("doc_id").alias(doc_id), back("component_id").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` whose id names its group of ``near_groups``, with all their columns; rows with a null id stay."""
+    groups = near_groups(docs, text, doc_id, **options)
+    gone = groups.filter(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias("_gone")).distinct()
+    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
