@@ -175,7 +175,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["rep", "shingles"])
 
 
-def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, keys: int = 120, least_shared: int = 4, sure_bits: int = 22, most_bits: int = 60) -> DataFrame:
+def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, keys: int = 240, least_shared: int = 4, sure_bits: int = 22, most_bits: int = 60) -> DataFrame:
     """Groups of rows connected by a Jaccard similarity of at least ``similarity`` of their ``shingle``-word sets.
 
     64 bits are too few for this similarity (at 0.8 about 10 of 64 differ), so the fingerprint has 256 bits, 32
