@@ -1,15 +1,637 @@
-"""The engine's registered queries and their SQL equivalents."""
+"""The engine's registered queries and the SQL that each must agree with."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from prunescan.functions import errors, text
+from prunescan.operators import access, membership, metrics, pages, ring
+from prunescan.plans import predicate as P, prune
+from prunescan.plans.scan import batch_scan, scan
+from prunescan.sources import footer, ranges
+from prunescan.sources.rowgroups import read_row_groups
+from prunescan.streaming import streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query with its SQL."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def path(sf_dir: str, table: str) -> str:
+    return f"{sf_dir}/{table}.parquet"
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(path(sf_dir, table))
+
+
+def shared(spark: SparkSession) -> str:
+    """A folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="prunescan-")
+    return folder
+
+
+#: The flagship predicate, in the form in which clients send it.
+FLAGSHIP = '{"And":[{"Comparison":{"column":"l_quantity","op":"Ge","value":{"Float64":30.0}}},{"Comparison":{"column":"l_returnflag","op":"Eq","value":{"Utf8":"R"}}}]}'
+LINE = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Returned, large-quantity line items."""
-    return (
-        spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-        .filter((F.col("l_quantity") >= 30.0) & (F.col("l_returnflag") == "R"))
-        .select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
-    )
+    return scan(spark, path(sf_dir, "lineitem"), P.from_json(FLAGSHIP), LINE)
+
+
+# Scans and predicates
+
+
+def predicate_query(name: str, table: str, p: P.Predicate, columns: list[str], where: str) -> None:
+    """Register an exact scan."""
+    query(name, f"SELECT {', '.join(columns)} FROM {table} WHERE {where}")(lambda spark, d: scan(spark, path(d, table), P.from_json(p.json()), columns))
+
+
+query("scan_flagship", f"SELECT {', '.join(LINE)} FROM lineitem WHERE l_quantity >= 30 AND l_returnflag = 'R'")(flagship)
+query("scan_full", "SELECT * FROM nation")(lambda spark, d: scan(spark, path(d, "nation")))
+query("scan_projection", "SELECT o_orderkey, o_totalprice FROM orders")(lambda spark, d: scan(spark, path(d, "orders"), projection=["o_orderkey", "o_totalprice"]))
+
+KEYS = ["l_orderkey", "l_linenumber"]
+for op, sign in P.OPS.items():
+    predicate_query(f"pred_{op.lower()}", "lineitem", P.compare("l_orderkey", op, 1000), KEYS, f"l_orderkey {sign.replace('!=', '<>')} 1000")
+HIGH, BULK = P.compare("l_extendedprice", ">", 50000.0), P.compare("l_quantity", "<", 10.0)
+predicate_query("pred_and", "lineitem", HIGH & P.compare("l_discount", ">=", 0.05), KEYS, "l_extendedprice > 50000 AND l_discount >= 0.05")
+predicate_query("pred_or", "lineitem", HIGH | BULK, KEYS, "l_extendedprice > 50000 OR l_quantity < 10")
+predicate_query("pred_not", "lineitem", ~(HIGH | BULK), KEYS, "NOT (l_extendedprice > 50000 OR l_quantity < 10)")
+predicate_query("pred_in", "customer", P.is_in("c_mktsegment", ["BUILDING", "MACHINERY"]), ["c_custkey"], "c_mktsegment IN ('BUILDING', 'MACHINERY')")
+predicate_query("pred_in_int32", "customer", P.is_in("c_nationkey", [1, 5, 24]), ["c_custkey", "c_nationkey"], "c_nationkey IN (1, 5, 24)")
+predicate_query("pred_in_empty", "customer", P.is_in("c_custkey", []), ["c_custkey"], "false")
+predicate_query("pred_between", "orders", P.between("o_orderkey", 100, 200), ["o_orderkey", "o_totalprice"], "o_orderkey BETWEEN 100 AND 200")
+predicate_query("pred_between_inverted", "orders", P.between("o_orderkey", 200, 100), ["o_orderkey"], "o_orderkey BETWEEN 200 AND 100")
+predicate_query("pred_isnull", "events", P.is_null("value"), ["event_id"], "value IS NULL")
+predicate_query("pred_isnotnull", "events", ~P.is_null("value"), ["event_id", "value"], "value IS NOT NULL")
+predicate_query("pred_null_literal", "events", P.compare("value", "Eq", None), ["event_id"], "value = NULL")
+predicate_query("pred_utf8", "orders", P.compare("o_orderpriority", "Ge", "3") & P.compare("o_orderstatus", "Ne", "O"), ["o_orderkey", "o_orderpriority"], "o_orderpriority >= '3' AND o_orderstatus <> 'O'")
+predicate_query("pred_ts_micros", "events", P.compare("ts", "Ge", 1705276800000000), ["event_id", "ts"], "ts >= make_timestamp(1705276800000000)")
+
+
+@query("pred_text", f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_extendedprice > 50000.0 AND l_returnflag IN ('R', 'A'))")
+def pred_text(spark, d):
+    """The predicate's text is itself a condition."""
+    p = HIGH & P.is_in("l_returnflag", ["R", "A"])
+    return read(spark, d, "lineitem").filter(p.text()).select(*KEYS)
+
+
+@query("pred_display", "SELECT * FROM (VALUES ('(ts > 1704067200 AND region = ''US'')', 1), ('x IN (1, NULL, 0x01ff)', 2), ('NOT (a BETWEEN 1.5 AND 2.5)', 3), ('b != true', 4), ('c IS NULL', 5)) t(display, k)")
+def pred_display(spark, d):
+    """Display texts of predicates."""
+    trees = [P.compare("ts", "Gt", 1704067200) & P.compare("region", "Eq", "US"), P.is_in("x", [1, None, b"\x01\xff"]), ~P.between("a", 1.5, 2.5), P.compare("b", "Ne", True), P.is_null("c")]
+    return spark.createDataFrame([(str(P.from_json(t.json())), k) for k, t in enumerate(trees, 1)], "display string, k int")
+
+
+@query("pred_cache_key")
+def pred_cache_key(spark, d):
+    """Equal predicates have equal cache keys, whatever way they were made."""
+    p = P.compare("x", "Eq", 42)
+    return spark.range(1).select(p.cache_key().alias("key"), (p.cache_key() == P.from_json(p.json()).cache_key()).alias("stable"))
+
+
+@query(
+    "batch_scan",
+    """SELECT 0 AS scan_id, l_orderkey AS k FROM lineitem WHERE l_quantity >= 49 UNION ALL SELECT 1, o_orderkey FROM orders WHERE o_totalprice > 200000
+       UNION ALL SELECT 2, c_custkey FROM customer""",
+)
+def batch(spark, d):
+    """Three scans in one."""
+    df = batch_scan(spark, [
+        (path(d, "lineitem"), P.compare("l_quantity", "Ge", 49.0), ["l_orderkey"]),
+        (path(d, "orders"), P.compare("o_totalprice", "Gt", 200000.0), ["o_orderkey"]),
+        (path(d, "customer"), None, ["c_custkey"]),
+    ])
+    return df.select("scan_id", F.coalesce("l_orderkey", "o_orderkey", "c_custkey").alias("k"))
+
+
+# Statistics and pruning: logical chunks of 1500 order keys
+
+ZONES = {"l_orderkey": "INT64", "l_extendedprice": "DOUBLE", "l_linenumber": "INT32", "l_returnflag": "BYTE_ARRAY"}
+ZONE = "l_orderkey div 1500"
+ZONES_SQL = """z AS (SELECT l_orderkey // 1500 AS zone, count(*) AS rows, min(l_orderkey) AS k0, max(l_orderkey) AS k1, min(l_extendedprice) AS p0,
+    max(l_extendedprice) AS p1 FROM lineitem GROUP BY 1)"""
+
+
+def zones(spark: SparkSession, d: str) -> DataFrame:
+    return prune.zone_map(read(spark, d, "lineitem"), F.expr(ZONE), ZONES)
+
+
+@query("zonemap_stats", f"WITH {ZONES_SQL} SELECT zone, rows, k0, k1, p0, p1 FROM z")
+def zonemap_stats(spark, d):
+    s = lambda c, k: F.col("stats")[c][k]
+    return zones(spark, d).select("zone", "rows", s("l_orderkey", "min_long").alias("k0"), s("l_orderkey", "max_long").alias("k1"), s("l_extendedprice", "min_double").alias("p0"), s("l_extendedprice", "max_double").alias("p1"))
+
+
+PRUNES = {
+    "eq": (P.compare("l_orderkey", "Eq", 4000), "k0 <= 4000 AND k1 >= 4000"),
+    "ne": (P.compare("l_orderkey", "Ne", 4000), "true"),
+    "lt": (P.compare("l_orderkey", "Lt", 3000), "k0 < 3000"),
+    "gt": (P.compare("l_orderkey", "Gt", 9000), "k1 > 9000"),
+    "range": (P.compare("l_orderkey", "Ge", 2000) & P.compare("l_orderkey", "Le", 5000), "k1 >= 2000 AND k0 <= 5000"),
+    "in": (P.is_in("l_orderkey", [5, 7000, 10**9]), "(k0 <= 5 AND k1 >= 5) OR (k0 <= 7000 AND k1 >= 7000)"),
+    "in_empty": (P.is_in("l_orderkey", []), "false"),
+    "between": (P.between("l_extendedprice", 100.0, 905.0), "p1 >= 100 AND p0 <= 905"),
+    "or": (P.compare("l_orderkey", "Lt", 1500) | P.compare("l_extendedprice", "Gt", 104900.0), "k0 < 1500 OR p1 > 104900"),
+    "not": (~P.compare("l_orderkey", "Lt", 1500), "true"),
+    "string": (P.compare("l_returnflag", "Eq", "Z"), "true"),
+    "int32": (P.compare("l_linenumber", "Eq", 99), "true"),
+    "kind_mismatch": (P.compare("l_extendedprice", "Lt", -5), "true"),
+    "unknown_column": (P.compare("nope", "Eq", 1), "true"),
+    "null_literal": (P.compare("l_orderkey", "Eq", None), "true"),
+}
+for kind, (tree, where) in PRUNES.items():
+    query(f"zonemap_prune_{kind}", f"WITH {ZONES_SQL} SELECT zone, rows FROM z WHERE {where}")(lambda spark, d, p=tree: prune.survivors(zones(spark, d), p).select("zone", "rows"))
+
+RANGE = PRUNES["range"][0]
+
+
+@query("prune_batch", f"WITH {ZONES_SQL} " + " UNION ALL ".join(f"SELECT zone, '{k}' AS predicate FROM z WHERE {PRUNES[k][1]}" for k in ("eq", "range", "between")))
+def prune_batch(spark, d):
+    """Chunks against several predicates in one pass."""
+    return prune.matching(zones(spark, d), {k: PRUNES[k][0] for k in ("eq", "range", "between")}).select("zone", "predicate")
+
+
+@query("superset_rows", f"WITH {ZONES_SQL} SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey // 1500 IN (SELECT zone FROM z WHERE k1 >= 2000 AND k0 <= 5000)")
+def superset_rows(spark, d):
+    """All rows of the chunks that might match."""
+    kept = prune.survivors(zones(spark, d), RANGE).select("zone")
+    return read(spark, d, "lineitem").withColumn("zone", F.expr(ZONE)).join(kept, "zone", "left_semi").select(*KEYS)
+
+
+@query("prune_selectivity", f"WITH {ZONES_SQL} SELECT count(*) AS total, count(*) FILTER (k1 >= 2000 AND k0 <= 5000) AS kept, sum(rows) AS total_rows, sum(rows) FILTER (k1 >= 2000 AND k0 <= 5000) AS kept_rows FROM z")
+def prune_selectivity(spark, d):
+    kept = prune.might_match(RANGE)
+    return zones(spark, d).agg(F.count("*").alias("total"), F.count_if(kept).alias("kept"), F.sum("rows").alias("total_rows"), F.sum(F.when(kept, F.col("rows"))).alias("kept_rows"))
+
+
+@query("soundness_violations", "SELECT 0::BIGINT AS violations")
+def soundness_violations(spark, d):
+    """Matching rows that lie in a pruned chunk: none."""
+    exact = read(spark, d, "lineitem").filter(RANGE.to_column()).select(*KEYS, F.expr(ZONE).alias("zone"))
+    kept = prune.survivors(zones(spark, d), RANGE).select("zone")
+    return exact.join(kept, "zone", "left_anti").agg(F.count("*").alias("violations"))
+
+
+# Footers, row groups, byte ranges
+
+FILES = ["lineitem", "orders", "customer", "nation"]
+
+
+def here():
+    """File name of ``uri``."""
+    return F.regexp_extract("uri", r"([^/]+)$", 1).alias("file")
+
+
+def data_files(spark: SparkSession, d: str) -> list[str]:
+    return [u for t in FILES for u in read(spark, d, t).inputFiles()]
+
+
+@query(
+    "row_group_ranges",
+    """WITH c AS (SELECT regexp_extract(file_name, '([^/]+)$', 1) AS file, row_group_id, row_group_num_rows,
+           CASE WHEN coalesce(dictionary_page_offset, 0) > 0 THEN dictionary_page_offset ELSE data_page_offset END AS first_byte, total_compressed_size AS size
+       FROM parquet_metadata(['/root/testdata/sf0.01/lineitem.parquet', '/root/testdata/sf0.01/orders.parquet', '/root/testdata/sf0.01/customer.parquet', '/root/testdata/sf0.01/nation.parquet']))
+       SELECT file, row_group_id::INT AS row_group, min(first_byte) AS "offset", max(first_byte + size) - min(first_byte) AS "length", max(row_group_num_rows) AS rows FROM c GROUP BY 1, 2""",
+)
+def row_group_ranges(spark, d):
+    return footer.row_groups(footer.footers(spark, data_files(spark, d))).select(here(), "row_group", "offset", "length", "rows")
+
+
+@query("file_metadata")
+def file_metadata(spark, d):
+    return footer.files(footer.footers(spark, data_files(spark, d))).select(here(), "file_size", "footer_size", "n_rows", "n_row_groups")
+
+
+@query("column_chunks")
+def column_chunks(spark, d):
+    return footer.column_chunks(footer.footers(spark, data_files(spark, d))).select(here(), "row_group", "path", "physical_type", "min_long", "max_long", "min_double", "max_double", "null_count", "size")
+
+
+@query("scan_row_group_mode", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (SELECT min(l_orderkey) <= 200 AND max(l_orderkey) >= 100 FROM lineitem)")
+def scan_row_group_mode(spark, d):
+    """All rows of the surviving row groups, by Spark's own reader."""
+    return scan(spark, path(d, "lineitem"), P.between("l_orderkey", 100, 200), KEYS, mode="row_group")
+
+
+@query("scan_row_group_pruned", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (SELECT max(l_orderkey) > 1000000000 FROM lineitem)")
+def scan_row_group_pruned(spark, d):
+    return scan(spark, path(d, "lineitem"), P.compare("l_orderkey", "Gt", 10**9), KEYS, mode="row_group")
+
+
+@query("rowgroup_source", "SELECT l_orderkey, l_extendedprice FROM lineitem WHERE (SELECT max(l_extendedprice) >= 1000 FROM lineitem)")
+def rowgroup_source(spark, d):
+    """The same through the data source, one task a row group."""
+    return read_row_groups(spark, read(spark, d, "lineitem").inputFiles(), P.compare("l_extendedprice", "Ge", 1000.0), ["l_orderkey", "l_extendedprice"])
+
+
+@query("read_range_magic", "SELECT * FROM (VALUES ('head', 'PAR1', 4::BIGINT), ('tail', 'PAR1', 4::BIGINT), ('none', '', 0::BIGINT), ('past', '', 0::BIGINT)) t(part, data, n)")
+def read_range_magic(spark, d):
+    """First and last four bytes of a file, and two empty ranges."""
+    uri = read(spark, d, "nation").inputFiles()[0]
+    size = footer.files(footer.footers(spark, [uri])).select("uri", "file_size")
+    parts = F.explode(F.array(*(F.struct(F.lit(k).alias("ord"), F.lit(p).alias("part"), o.cast("long").alias("offset"), F.lit(n).cast("long").alias("length")) for k, (p, o, n) in enumerate(
+        [("head", F.lit(0), 4), ("tail", F.col("file_size") - 4, 4), ("none", F.lit(0), 0), ("past", F.col("file_size") + 9, 4)]))))
+    asked = size.select("uri", parts.alias("r")).select("uri", "r.*")
+    got = ranges.read_ranges(asked.withColumn("ord", F.col("ord").cast("long")))
+    return got.join(asked.select("ord", "part"), "ord").select("part", F.decode("data", "UTF-8").alias("data"), F.col("length").alias("n"))
+
+
+@query("batch_read")
+def batch_read(spark, d):
+    """The tails of several files."""
+    files = footer.files(footer.footers(spark, data_files(spark, d)))
+    return ranges.read_ranges(ranges.tails(files, 4)).select(here(), F.decode("data", "UTF-8").alias("data"))
+
+
+@query("list_objects")
+def list_objects(spark, d):
+    return ranges.list_objects(spark, d, "*.parquet").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
+# Pages: accesses of events to files of 64 pages, pages of 1 KiB over documents
+
+TRACE = "SELECT concat('f', user_id % 7) AS file_id, event_id % 64 AS page_index FROM events WHERE event_id % 3 = 0"
+CACHED = "SELECT DISTINCT concat('f', user_id % 7) AS file_id, event_id % 64 AS page_index FROM events WHERE event_id % 5 = 0"
+LAYOUT = "SELECT doc_id, source, n_chars AS length, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM documents"
+
+
+def trace(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").filter("event_id % 3 = 0").select(F.concat(F.lit("f"), F.col("user_id") % 7).alias("file_id"), (F.col("event_id") % 64).alias("page_index"))
+
+
+def cached(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").filter("event_id % 5 = 0").select(F.concat(F.lit("f"), F.col("user_id") % 7).alias("file_id"), (F.col("event_id") % 64).alias("page_index")).distinct()
+
+
+def layout(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    before = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    return read(spark, d, "documents").select("doc_id", "source", F.col("n_chars").alias("length"), F.coalesce(F.sum("n_chars").over(before), F.lit(0)).alias("offset"))
+
+
+@query(
+    "page_coalesce",
+    f"""WITH t AS (SELECT DISTINCT * FROM ({TRACE})), m AS (SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM ({CACHED}) c WHERE c.file_id = t.file_id AND c.page_index = t.page_index)),
+        g AS (SELECT *, page_index - row_number() OVER (PARTITION BY file_id ORDER BY page_index) AS run FROM m)
+        SELECT file_id, min(page_index) * 4194304 AS range_start, (max(page_index) + 1) * 4194304 AS range_end, count(*) AS n_pages FROM g GROUP BY file_id, run""",
+)
+def page_coalesce(spark, d):
+    """Missing pages as ranges to fetch."""
+    return pages.coalesce_pages(pages.misses(trace(spark, d), cached(spark, d)))
+
+
+@query(
+    "page_hits_misses",
+    f"""WITH t AS ({TRACE}), c AS ({CACHED}) SELECT file_id, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses
+        FROM (SELECT t.file_id, EXISTS (SELECT 1 FROM c WHERE c.file_id = t.file_id AND c.page_index = t.page_index) AS hit FROM t) GROUP BY 1""",
+)
+def page_hits_misses(spark, d):
+    need, have = trace(spark, d), cached(spark, d)
+    both = pages.hits(need, have).withColumn("hit", F.lit(True)).unionByName(pages.misses(need, have).withColumn("hit", F.lit(False)))
+    return both.groupBy("file_id").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+
+
+@query("page_misses_setwise", f"SELECT DISTINCT * FROM (({TRACE}) EXCEPT ({CACHED}))")
+def page_misses_setwise(spark, d):
+    """Needed minus cached, as sets."""
+    return trace(spark, d).subtract(cached(spark, d))
+
+
+@query("range_to_pages", f"WITH l AS ({LAYOUT}) SELECT doc_id, unnest(range(start // 1024, (start + length - 1) // 1024 + 1)) AS page_index FROM l WHERE length > 0")
+def range_to_pages(spark, d):
+    return pages.needed_pages(layout(spark, d), 1024).select("doc_id", "page_index")
+
+
+@query(
+    "slice_bounds",
+    f"""WITH l AS ({LAYOUT}), p AS (SELECT *, unnest(range(start // 1000, (start + length - 1) // 1000 + 1)) AS page_index FROM l WHERE length > 0)
+        SELECT doc_id, page_index, greatest(start - page_index * 1000, 0) AS slice_start, least(start + length - page_index * 1000, 1000) AS slice_end FROM p""",
+)
+def slice_bounds(spark, d):
+    return pages.slices(layout(spark, d), 1000).select("doc_id", "page_index", "slice_start", "slice_end")
+
+
+@query("slice_totals", "SELECT doc_id, n_chars AS total FROM documents WHERE n_chars > 0")
+def slice_totals(spark, d):
+    """A range's slices add up to its length."""
+    return pages.slices(layout(spark, d), 1000).groupBy("doc_id").agg(F.sum(F.col("slice_end") - F.col("slice_start")).alias("total"))
+
+
+@query("file_info", "WITH p AS (SELECT concat('f', user_id % 7) AS file_id, event_id % 64 AS page_index, max(user_id % 100 + 1) AS size FROM events GROUP BY 1, 2) SELECT file_id, count(*) AS n_pages, sum(size)::BIGINT AS total_bytes FROM p GROUP BY 1")
+def file_info(spark, d):
+    e = read(spark, d, "events")
+    return pages.file_info(e.select(F.concat(F.lit("f"), F.col("user_id") % 7).alias("file_id"), (F.col("event_id") % 64).alias("page_index"), (F.col("user_id") % 100 + 1).alias("size")))
+
+
+@query("corrupt_pages", "SELECT doc_id, n_chars AS size FROM documents WHERE n_chars <= 0 OR n_chars > 2048")
+def corrupt_pages(spark, d):
+    return pages.corrupt(read(spark, d, "documents").select("doc_id", F.col("n_chars").alias("size")), 1024)
+
+
+@query("stream_chunks", "SELECT doc_id, (c // 1024)::INT AS chunk_no, c AS chunk_offset, least(1024, n_chars - c) AS chunk_length FROM (SELECT doc_id, n_chars, unnest(range(0, n_chars, 1024)) AS c FROM documents)")
+def stream_chunks(spark, d):
+    return pages.chunks(read(spark, d, "documents").select("doc_id", F.col("n_chars").alias("length")), 1024).select("doc_id", "chunk_no", "chunk_offset", "chunk_length")
+
+
+# Placement
+
+NODES = [f"node{i}:8080" for i in range(1, 4)]
+RING_SQL = """n AS (SELECT unnest([{nodes}]) AS node), r AS (SELECT min(node) AS node, ('0x' || substr(md5(node || '#' || v), 1, 15))::BIGINT AS h FROM n, range(150) t(v) GROUP BY 2)"""
+
+
+def ring_sql(nodes: list[str]) -> str:
+    return RING_SQL.format(nodes=", ".join(f"'{n}'" for n in nodes))
+
+
+def owner_sql(r: str) -> str:
+    return f"coalesce((SELECT arg_min(node, h) FROM {r} WHERE h >= k.h), (SELECT arg_min(node, h) FROM {r}))"
+
+
+KEY_SQL = "k AS (SELECT o_orderkey, ('0x' || substr(md5('orders/part-' || o_orderkey), 1, 15))::BIGINT AS h FROM orders)"
+
+
+def keys(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "orders").select("o_orderkey", F.concat(F.lit("orders/part-"), F.col("o_orderkey")).alias("key"))
+
+
+OWNER_SQL = f"WITH {KEY_SQL}, {ring_sql(NODES)}, a AS (SELECT k.o_orderkey, coalesce(r.node, (SELECT arg_min(node, h) FROM r)) AS owner FROM k ASOF LEFT JOIN r ON k.h <= r.h)"
+
+
+@query("ring_owner", f"{OWNER_SQL} SELECT o_orderkey, owner FROM a")
+def ring_owner(spark, d):
+    return ring.owners(keys(spark, d), ring.build_ring(spark, NODES), "key").select("o_orderkey", "owner")
+
+
+@query("ring_skew", f"{OWNER_SQL} SELECT owner, count(*) AS n FROM a GROUP BY 1")
+def ring_skew(spark, d):
+    """Keys of each node."""
+    return ring.owners(keys(spark, d), ring.build_ring(spark, NODES), "key").groupBy("owner").agg(F.count("*").alias("n"))
+
+
+@query(
+    "ring_remap",
+    f"""WITH {KEY_SQL}, {ring_sql(NODES)}, r2 AS (SELECT * FROM r WHERE node <> 'node2:8080'),
+        a AS (SELECT k.o_orderkey, k.h, coalesce(r.node, (SELECT arg_min(node, h) FROM r)) AS b FROM k ASOF LEFT JOIN r ON k.h <= r.h),
+        c AS (SELECT a.o_orderkey, a.b, coalesce(r2.node, (SELECT arg_min(node, h) FROM r2)) AS f FROM a ASOF LEFT JOIN r2 ON a.h <= r2.h)
+        SELECT count(*) AS total, count(*) FILTER (b <> f) AS moved, count(*) FILTER (b <> f AND b <> 'node2:8080') AS moved_needlessly FROM c""",
+)
+def ring_remap(spark, d):
+    """What moves when a node leaves: its keys and no others."""
+    before, after = ring.build_ring(spark, NODES), ring.build_ring(spark, [n for n in NODES if n != "node2:8080"])
+    moved = F.col("owner_before") != F.col("owner_after")
+    return ring.remapped(keys(spark, d), before, after, "key").agg(F.count("*").alias("total"), F.count_if(moved).alias("moved"), F.count_if(moved & (F.col("owner_before") != "node2:8080")).alias("moved_needlessly"))
+
+
+@query(
+    "ring_replicas",
+    f"""WITH k AS (SELECT c_custkey, ('0x' || substr(md5('c' || c_custkey), 1, 15))::BIGINT AS h FROM customer), {ring_sql(NODES)},
+        w AS (SELECT c_custkey, node, min((r.h - k.h + 1152921504606846976) % 1152921504606846976) AS far FROM k, r GROUP BY 1, 2)
+        SELECT c_custkey, string_agg(node, ',' ORDER BY far) AS nodes FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY far) AS i FROM w) WHERE i <= 2 GROUP BY 1""",
+)
+def ring_replicas(spark, d):
+    """Two different nodes for each key, nearest first."""
+    k = read(spark, d, "customer").select("c_custkey", F.concat(F.lit("c"), F.col("c_custkey")).alias("key"))
+    return ring.place(k, ring.build_ring(spark, NODES), "key", 2).select("c_custkey", F.array_join("nodes", ",").alias("nodes"))
+
+
+@query(
+    "ring_failover",
+    f"""WITH k AS (SELECT c_custkey, ('0x' || substr(md5('c' || c_custkey), 1, 15))::BIGINT AS h FROM customer), {ring_sql(NODES)}, r2 AS (SELECT * FROM r WHERE node <> 'node1:8080')
+        SELECT c_custkey, coalesce(r2.node, (SELECT arg_min(node, h) FROM r2)) AS owner FROM k ASOF LEFT JOIN r2 ON k.h <= r2.h""",
+)
+def ring_failover(spark, d):
+    """Owners while a node has failed."""
+    k = read(spark, d, "customer").select("c_custkey", F.concat(F.lit("c"), F.col("c_custkey")).alias("key"))
+    return ring.first_live(k, ring.build_ring(spark, NODES), "key", ["node1:8080"]).select("c_custkey", "owner")
+
+
+@query("ring_nodes", f"WITH {ring_sql(NODES)} SELECT node, count(*) AS vnodes FROM r GROUP BY 1")
+def ring_nodes(spark, d):
+    return ring.build_ring(spark, NODES + NODES[:1]).groupBy("node").agg(F.count("*").alias("vnodes"))
+
+
+# Cache accesses
+
+DIST_SQL = """a AS (SELECT event_id AS t, user_id % 8 AS cache, user_id AS key FROM events), p AS (SELECT *, lag(t) OVER (PARTITION BY cache, key ORDER BY t) AS pt FROM a),
+    d AS (SELECT p.t, p.cache, p.key, CASE WHEN p.pt IS NOT NULL THEN (SELECT count(DISTINCT x.key) FROM a x WHERE x.cache = p.cache AND x.t > p.pt AND x.t < p.t) END AS distance FROM p)"""
+
+
+def distances(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events").select((F.col("user_id") % 8).alias("cache"), F.col("event_id").alias("t"), F.col("user_id").alias("key"))
+    return access.reuse_distances(e)
+
+
+@query("lru_hits", f"WITH {DIST_SQL} SELECT t, cache, key, distance IS NOT NULL AND distance < 20 AS hit FROM d")
+def lru_hits(spark, d):
+    """What an LRU cache of 20 pages would serve."""
+    return distances(spark, d).select("t", "cache", "key", F.coalesce(F.col("distance") < 20, F.lit(False)).alias("hit"))
+
+
+@query("lru_hit_rate", f"WITH {DIST_SQL}, c AS (SELECT unnest([5, 20, 100]) AS capacity) SELECT capacity::INT AS capacity, count(*) FILTER (distance < capacity) AS hits, count(*) AS accesses, count(*) FILTER (distance < capacity) / count(*) AS hit_rate FROM d, c GROUP BY 1")
+def lru_hit_rate(spark, d):
+    return access.hit_curve(distances(spark, d), [5, 20, 100])
+
+
+@query("key_frequency", "SELECT user_id AS key, count(*) AS n FROM events GROUP BY 1")
+def key_frequency(spark, d):
+    return access.frequencies(read(spark, d, "events").select(F.col("user_id").alias("key")))
+
+
+@query("cms_estimate", "SELECT 0::BIGINT AS under, true AS bounded")
+def cms_estimate(spark, d):
+    """Sketch estimates never fall short, and their mean excess keeps to the sketch's bound."""
+    t = read(spark, d, "events").select(F.col("user_id").alias("key"))
+    both = access.sketched(t).join(access.frequencies(t), "key")
+    return both.agg(F.count_if(F.col("estimate") < F.col("n")).alias("under"), (F.avg(F.col("estimate") - F.col("n")) <= F.sum("n") * 3 / 4096).alias("bounded"))
+
+
+# Metrics
+
+@query("bytes_served", "SELECT event_type, count(*) AS requests, sum(user_id)::BIGINT AS total FROM events GROUP BY 1")
+def bytes_served(spark, d):
+    return metrics.counters(read(spark, d, "events"), "event_type", "user_id")
+
+
+@query("gauge_level", "SELECT event_id, event_type, sum(CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END) OVER (PARTITION BY event_type ORDER BY event_id)::BIGINT AS level FROM events")
+def gauge_level(spark, d):
+    delta = F.when(F.col("user_id") % 2 == 0, 1).otherwise(-1)
+    return metrics.gauge(read(spark, d, "events"), "event_type", "event_id", delta).select("event_id", "event_type", "level")
+
+
+LE = (1.0, 5.0, 10.0, 50.0, 100.0)
+
+
+@query("latency_histogram", f"WITH b AS (SELECT unnest([{', '.join(map(str, LE))}, 'Infinity'::DOUBLE])::DOUBLE AS le) SELECT event_type, le, count(*) FILTER (value <= le OR isinf(le)) AS n FROM events, b GROUP BY 1, 2")
+def latency_histogram(spark, d):
+    return metrics.histogram(read(spark, d, "events"), "event_type", "value", LE)
+
+
+@query(
+    "latency_percentiles",
+    """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL), p AS (SELECT unnest([50, 90, 99]) AS percentile)
+       SELECT event_type, percentile::INT AS percentile, value FROM r, p WHERE i = least(n * percentile // 100, n - 1)""",
+)
+def latency_percentiles(spark, d):
+    return metrics.percentiles(read(spark, d, "events"), "event_type", "value")
+
+
+@query("ops_per_window", "SELECT event_type, start, ops, ops - lag(ops) OVER (PARTITION BY event_type ORDER BY start) AS delta FROM (SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS ops FROM events GROUP BY 1, 2)")
+def ops_per_window(spark, d):
+    return metrics.rates(read(spark, d, "events"), "event_type", "ts").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("exposition", "SELECT '# TYPE requests_total counter' AS line UNION ALL SELECT 'requests_total{event_type=\"' || event_type || '\"} ' || count(*) FROM events GROUP BY event_type")
+def exposition(spark, d):
+    rows = metrics.counters(read(spark, d, "events"), "event_type", "user_id")
+    return metrics.exposition("requests_total", rows, "event_type", "requests")
+
+
+# Names, paths, HTTP, errors
+
+
+@query("url_encode", "SELECT page_id, replace(replace(url_encode(url), '~', '%7E'), '*', '%2A') AS name, url AS back FROM pages")
+def url_encode(spark, d):
+    name = text.url_safe(F.col("url"))
+    return read(spark, d, "pages").select("page_id", name.alias("name"), text.url_safe_decode(name).alias("back"))
+
+
+@query("object_name", "SELECT page_id, replace(replace(replace(replace(replace(replace(url, '%', '%25'), '/', '%2F'), ' ', '%20'), '?', '%3F'), '&', '%26'), '=', '%3D') AS name FROM pages")
+def object_name(spark, d):
+    return read(spark, d, "pages").select("page_id", text.object_name(F.col("url")).alias("name"))
+
+
+@query("path_component", "SELECT page_id, printf('%03d/%s/%d', (('0x' || substr(md5(url), 1, 15))::BIGINT % 1000)::INT, replace(replace(url_encode(url), '~', '%7E'), '*', '%2A'), page_id) AS path, url || ':page' || page_id AS key FROM pages")
+def path_component(spark, d):
+    return read(spark, d, "pages").select("page_id", text.path_component(F.col("url"), F.col("page_id")).alias("path"), text.page_key(F.col("url"), F.col("page_id")).alias("key"))
+
+
+@query("retry_delay", "SELECT event_id, least(100 * (1 << least(event_id % 25, 12)), 5000)::BIGINT AS delay_ms FROM events")
+def retry_delay(spark, d):
+    return read(spark, d, "events").select("event_id", text.retry_delay(F.col("event_id") % 25).cast("long").alias("delay_ms"))
+
+
+@query("status_class", "SELECT event_id, CASE WHEN s < 400 THEN 'ok' WHEN s IN (429, 500, 502, 503, 504) THEN 'transient' ELSE 'permanent' END AS class FROM (SELECT event_id, 200 + event_id % 310 AS s FROM events)")
+def status_class(spark, d):
+    return read(spark, d, "events").select("event_id", text.status_class(F.lit(200) + F.col("event_id") % 310).alias("class"))
+
+
+@query("http_parse", "SELECT line, status, n, instr(line, chr(13) || chr(10) || chr(13) || chr(10)) - 1 AS header_end, path, uri FROM (VALUES ('HTTP/1.1 206 Partial Content', 206, NULL, '', NULL), ('Content-Length: 4194304', NULL, 4194304::BIGINT, '4194304', NULL), ('X-Other: foo', NULL, NULL, 'foo', NULL), ('GET /read?uri=a%20b&uri=c&offset=7 HTTP/1.1' || chr(13) || chr(10) || chr(13) || chr(10), NULL, NULL, '/read', 'a b')) t(line, status, n, path, uri)")
+def http_parse(spark, d):
+    lines = ["HTTP/1.1 206 Partial Content", "Content-Length: 4194304", "X-Other: foo", "GET /read?uri=a%20b&uri=c&offset=7 HTTP/1.1\r\n\r\n"]
+    df, c = spark.createDataFrame([(x,) for x in lines], "line string"), F.col("line")
+    return df.select("line", text.status_code(c).alias("status"), text.content_length(c).alias("n"), text.header_end(c).alias("header_end"), F.when(c.startswith("HTTP"), "").otherwise(text.request_path(c)).alias("path"), text.query_value(c, "uri").alias("uri"))
+
+
+@query("text_helpers", "SELECT doc_id, left(text, 200) AS short, '0x' || lower(hex(encode(left(text, 4)))) AS head FROM documents")
+def text_helpers(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.truncated(F.col("text")).alias("short"), text.hex_literal(F.encode(F.left("text", F.lit(4)), "UTF-8")).alias("head"))
+
+
+def _error_rows() -> str:
+    return ", ".join(f"({c}, '{n}', '{t}', {str(r).lower()})" for c, n, t, r in errors.rows())
+
+
+@query("error_dim", f"SELECT code, name, error_type, retriable, printf('%s:0x%08X', name, code) AS display FROM (VALUES {_error_rows()}) t(code, name, error_type, retriable)")
+def error_dim(spark, d):
+    return errors.error_codes(spark).withColumn("display", errors.display(F.col("name"), F.col("code")))
+
+
+@query("ttl_staleness", "SELECT event_id, epoch_us(TIMESTAMP '2024-01-15 00:00:00') - epoch_us(ts) > 86400000000 AS stale FROM events")
+def ttl_staleness(spark, d):
+    now = F.lit("2024-01-15 00:00:00").cast("timestamp")
+    return read(spark, d, "events").select("event_id", text.is_stale(F.col("ts").cast("timestamp"), now, 86400).alias("stale"))
+
+
+# Membership and streams
+
+EVENTS_SQL = "e AS (SELECT user_id % 5 AS cluster, event_id AS seq, CASE event_type WHEN 'error' THEN 'Left' WHEN 'purchase' THEN 'Snapshot' ELSE 'Joined' END AS kind, 'n' || (event_id % 30) AS node FROM events WHERE event_type <> 'purchase' OR event_id % 40 = 0)"
+
+
+def member_events(df: DataFrame) -> DataFrame:
+    kind = F.when(F.col("event_type") == "error", "Left").when(F.col("event_type") == "purchase", "Snapshot").otherwise("Joined")
+    e = df.filter("event_type <> 'purchase' or event_id % 40 = 0").select((F.col("user_id") % 5).alias("cluster"), F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("n"), F.col("event_id") % 30).alias("node"))
+    return e.withColumn("members", F.when(F.col("kind") == "Snapshot", F.array(F.lit("n0"), F.lit("n1"), F.col("node"))))
+
+
+@query(
+    "membership_fold",
+    f"""WITH {EVENTS_SQL}, s AS (SELECT cluster, max(seq) AS snap, arg_max(node, seq) AS node FROM e WHERE kind = 'Snapshot' GROUP BY 1),
+        x AS (SELECT e.cluster, e.node, e.seq, e.kind FROM e LEFT JOIN s USING (cluster) WHERE e.kind <> 'Snapshot' AND e.seq > coalesce(s.snap, -1)
+              UNION ALL SELECT cluster, unnest(list_distinct(['n0', 'n1', node])), -1, 'Joined' FROM s)
+        SELECT cluster, node FROM x GROUP BY 1, 2 HAVING arg_max(kind, seq) = 'Joined'""",
+)
+def membership_fold(spark, d):
+    return membership.fold(member_events(read(spark, d, "events")))
+
+
+@query("membership_stream", ORACLE_SQL["membership_fold"])
+def membership_stream(spark, d):
+    """The same fold, kept as state over a stream."""
+    stream = member_events(streams.read_stream(spark, path(d, "events")))
+    folder = f"{shared(spark)}/members-{id(stream)}"
+    out = membership.fold_stream(stream)
+    writer = out.writeStream.outputMode("update").option("checkpointLocation", f"{folder}-state").trigger(availableNow=True)
+    writer.foreachBatch(lambda df, k: df.withColumn("batch", F.lit(k)).write.mode("append").parquet(folder)).start().awaitTermination()
+    last = spark.read.parquet(folder).groupBy("cluster").agg(F.max_by("members", "batch").alias("members"))
+    return last.select("cluster", F.explode("members").alias("node"))
+
+
+@query("herd_dedupe", "SELECT event_id, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= 3600000000, true) AS leads FROM events")
+def herd_dedupe(spark, d):
+    return streams.fetch_leaders(read(spark, d, "events"), "user_id", "ts", 3600.0, "event_id").select("event_id", "leads")
+
+
+@query("stream_scan", "SELECT event_id, value FROM events WHERE event_type = 'click' AND value >= 50")
+def stream_scan(spark, d):
+    """A predicate scan of a stream."""
+    p = P.compare("event_type", "Eq", "click") & P.compare("value", "Ge", 50.0)
+    return streams.run_available(streams.filtered(streams.read_stream(spark, path(d, "events")), p, ["event_id", "value"]), shared(spark))
+
+
+@query("stream_metrics", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS ops FROM events GROUP BY 1, 2")
+def stream_metrics(spark, d):
+    """Hourly counts of a stream."""
+    w = streams.windowed(streams.read_stream(spark, path(d, "events")), "ts", "event_type")
+    return streams.run_available(w, shared(spark), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "ops")
+
+
+@query(
+    "stream_sessions",
+    """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+       s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+       SELECT user_id, min(ts) AS start, count(*) AS ops FROM s GROUP BY user_id, n""",
+)
+def stream_sessions(spark, d):
+    """Sessions of a stream's users."""
+    s = streams.sessions(streams.read_stream(spark, path(d, "events")), "ts", "user_id", "12 hours")
+    return streams.run_available(s, shared(spark), "complete").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "ops")
+
+
+@query("stream_dedupe", "SELECT user_id, min(ts) AS ts FROM events GROUP BY 1")
+def stream_dedupe(spark, d):
+    """First request of each key within the watermark (all of a single micro-batch)."""
+    e = streams.read_stream(spark, path(d, "events")).select("user_id", "ts")
+    out = streams.run_available(streams.deduplicated(e, ["user_id"], "ts", "60 days"), shared(spark))
+    return out.groupBy("user_id").agg(F.min("ts").cast("timestamp_ntz").alias("ts"))

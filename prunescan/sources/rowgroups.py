@@ -1,0 +1,71 @@
+"""A Spark data source whose partitions are the row groups that might match a predicate."""
+
+from __future__ import annotations
+
+import json
+
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.types import StructType
+
+from prunescan.plans.predicate import Predicate
+from prunescan.plans.prune import survivors
+from prunescan.sources.footer import footers, open_uri, row_groups
+
+
+class RowGroup(InputPartition):
+    """One row group of one file."""
+
+    def __init__(self, uri: str, row_group: int):
+        super().__init__((uri, row_group))
+        self.uri, self.row_group = uri, row_group
+
+
+class RowGroupReader(DataSourceReader):
+    """Reads row groups as Arrow batches, only the columns of the schema."""
+
+    def __init__(self, names: list[str], groups: list):
+        self.names, self.groups = names, groups
+
+    def partitions(self) -> list[RowGroup]:
+        return [RowGroup(uri, g) for uri, g in self.groups]
+
+    def read(self, partition: RowGroup):
+        source, _ = open_uri(partition.uri)
+        with source:
+            yield from pq.ParquetFile(source).read_row_group(partition.row_group, columns=self.names).to_batches()
+
+
+class RowGroupSource(DataSource):
+    """``spark.read.format("rowgroups")`` with options ``groups`` (JSON list of [uri, row group]) and ``columns`` (JSON list)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "rowgroups"
+
+    def schema(self) -> StructType:
+        groups, names = json.loads(self.options["groups"]), json.loads(self.options.get("columns") or "null")
+        source, _ = open_uri(groups[0][0])
+        with source:
+            whole = from_arrow_schema(pq.ParquetFile(source).schema_arrow)
+        return StructType([whole[n] for n in names or whole.names])
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return RowGroupReader(schema.names, json.loads(self.options["groups"]))
+
+
+def read_row_groups(spark: SparkSession, uris: list[str], predicate: Predicate | None = None, columns: list[str] | None = None) -> DataFrame:
+    """All rows of the row groups that might match, one task a row group.
+
+    The driver plans with the surviving (uri, row group) pairs, as Spark plans with file splits. No survivor: an empty
+    DataFrame of the files' columns.
+    """
+    kept = survivors(row_groups(footers(spark, uris)), predicate).select("uri", "row_group").orderBy("uri", "row_group")
+    groups = [(r.uri, r.row_group) for r in kept.toLocalIterator()]
+    if not groups:
+        empty = spark.read.parquet(*uris).limit(0)
+        return empty.select(*columns) if columns else empty
+    spark.dataSource.register(RowGroupSource)
+    return spark.read.format("rowgroups").option("groups", json.dumps(groups)).option("columns", json.dumps(columns)).load()
