@@ -7,7 +7,7 @@ import json
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from prunescan.plans.predicate import Predicate
@@ -24,10 +24,10 @@ class RowGroup(InputPartition):
 
 
 class RowGroupReader(DataSourceReader):
-    """Reads row groups as Arrow batches, only the columns of the schema."""
+    """Reads row groups as Arrow batches, only the columns of the schema, in Spark's types."""
 
-    def __init__(self, names: list[str], groups: list):
-        self.names, self.groups = names, groups
+    def __init__(self, schema: StructType, groups: list):
+        self.schema, self.groups = schema, groups
 
     def partitions(self) -> list[RowGroup]:
         return [RowGroup(uri, g) for uri, g in self.groups]
@@ -35,25 +35,19 @@ class RowGroupReader(DataSourceReader):
     def read(self, partition: RowGroup):
         source, _ = open_uri(partition.uri)
         with source:
-            yield from pq.ParquetFile(source).read_row_group(partition.row_group, columns=self.names).to_batches()
+            table = pq.ParquetFile(source).read_row_group(partition.row_group, columns=self.schema.names)
+            yield from table.select(self.schema.names).cast(to_arrow_schema(self.schema)).to_batches()
 
 
 class RowGroupSource(DataSource):
-    """``spark.read.format("rowgroups")`` with options ``groups`` (JSON list of [uri, row group]) and ``columns`` (JSON list)."""
+    """``spark.read.format("rowgroups")`` with a schema and the option ``groups`` (JSON list of [uri, row group])."""
 
     @classmethod
     def name(cls) -> str:
         return "rowgroups"
 
-    def schema(self) -> StructType:
-        groups, names = json.loads(self.options["groups"]), json.loads(self.options.get("columns") or "null")
-        source, _ = open_uri(groups[0][0])
-        with source:
-            whole = from_arrow_schema(pq.ParquetFile(source).schema_arrow)
-        return StructType([whole[n] for n in names or whole.names])
-
     def reader(self, schema: StructType) -> DataSourceReader:
-        return RowGroupReader(schema.names, json.loads(self.options["groups"]))
+        return RowGroupReader(schema, json.loads(self.options["groups"]))
 
 
 def read_row_groups(spark: SparkSession, uris: list[str], predicate: Predicate | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -64,8 +58,9 @@ def read_row_groups(spark: SparkSession, uris: list[str], predicate: Predicate |
     """
     kept = survivors(row_groups(footers(spark, uris)), predicate).select("uri", "row_group").orderBy("uri", "row_group")
     groups = [(r.uri, r.row_group) for r in kept.toLocalIterator()]
+    whole = spark.read.parquet(*uris)
+    wanted = whole.select(*columns) if columns else whole
     if not groups:
-        empty = spark.read.parquet(*uris).limit(0)
-        return empty.select(*columns) if columns else empty
+        return wanted.limit(0)
     spark.dataSource.register(RowGroupSource)
-    return spark.read.format("rowgroups").option("groups", json.dumps(groups)).option("columns", json.dumps(columns)).load()
+    return spark.read.format("rowgroups").schema(wanted.schema).option("groups", json.dumps(groups)).load()
