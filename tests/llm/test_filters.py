@@ -1,0 +1,288 @@
+"""Decontamination, surrogates, toxicity, URL rules, token counts."""
+
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer, models, normalizers
+
+from prunescan.llm import decontamination as D, pii, token_counts as T, toxicity, url_filter
+from prunescan.llm.catalogue import TOKENIZER, URL_RULES
+from tests.llm.conftest import WORDS, prose
+
+
+def smith_waterman(a, b):
+    h = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
+        h[i, j] = max(0, h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] > 0 else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+    return h.max()
+
+
+def test_alignment():
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = (np.array([rng.randint(0, 4) for _ in range(rng.randint(1, n))]) for n in (12, 16))
+        score, first, end = D.align(a, b)
+        assert score == smith_waterman(a, b)
+        assert not score or smith_waterman(a, b[first:end]) == score
+
+
+def edited(text, rng, share):
+    words = text.split()
+    for _ in range(int(share * len(words))):
+        i = rng.randrange(len(words))
+        words[i : i + 1] = rng.choice([[], ["other"], [words[i], "added"]])
+    return " ".join(words)
+
+
+def test_decontamination(spark):
+    rng = random.Random(2)
+    items = [(k, prose(5000 + k, rng.randint(15, 50))) for k in range(30)] + [(90, "too short"), (91, None), (92, "")]
+    docs, leaks = [], set()
+    for i in range(200):
+        text = prose(9000 + i, 150)
+        if i % 4 == 0:
+            k = rng.randrange(30)
+            copy = items[k][1].upper() if i % 8 == 0 else edited(items[k][1], rng, 0.12)
+            text = f"{text[:300]} {copy}, {text[300:]}"
+            leaks.add((i, k))
+        docs.append((i, text))
+    got = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == leaks
+    for r in got:
+        if r.doc_id % 8 == 0:
+            span = D.tokens(docs[r.doc_id][1])[r.first_token : r.end_token]
+            assert r.score == 1 and span == D.tokens(items[r.item_id][1])
+
+
+def test_benchmark_in_blocks_gives_the_same(spark):
+    items = spark.createDataFrame([(k, prose(50 + k, 20)) for k in range(9)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, prose(50 + i % 12, 20) + " and more") for i in range(30)], "doc_id long, text string")
+    whole, parts = D.contaminated(docs, items), D.contaminated(docs, items, block_chars=300)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect())) and whole.count() > 20
+
+
+def test_decontaminate_odd_rows(spark, odd, none):
+    items = spark.createDataFrame([(1, prose(8, 40)), (2, None)], "item_id long, text string")
+    kept = D.decontaminate(odd, items)
+    assert kept.columns == odd.columns and kept.count() == odd.count() - 2
+    assert D.decontaminate(odd, items.limit(0)).count() == odd.count() and D.contaminated(none, items).count() == 0
+
+
+KEY = b"test"
+
+
+def test_surrogates_keep_kind_and_format():
+    text = (
+        "Mail Bob.Smith99@mail.example.com or bob.smith99@MAIL.example.com, +1 (555) 123-4567 = 555-123-4567, 10.200.33.4, card 4111111111111111 = 4111 1111 1111 1111, "
+        "id 123-45-6789, DE89 3704 0044 0532 0130 00. Mr. John Smith met Frau Müller, Carmen Lopez and Иван Петров."
+    )
+    found = pii.entities(text, KEY)
+    by = {}
+    for e in found:
+        original = text[e.first : e.end]
+        by.setdefault(e.kind, []).append((original, e.surrogate))
+        assert len(e.surrogate) == len(original) or e.kind == "person"
+        assert e.surrogate != original
+        if e.kind != "person":
+            assert re.sub(r"\d", "9", re.sub(r"[^\W\d_]", "a", e.surrogate)) == re.sub(r"\d", "9", re.sub(r"[^\W\d_]", "a", original))
+    assert {k: len(v) for k, v in by.items()} == {"email": 2, "phone": 2, "ip": 1, "card": 2, "ssn": 1, "iban": 1, "person": 7}
+    assert by["email"][0][1].lower() == by["email"][1][1].lower()
+    digits = lambda s: re.sub(r"\D", "", s)
+    assert digits(by["phone"][0][1])[-10:] == digits(by["phone"][1][1]) and by["phone"][0][1].startswith("+1 (")
+    assert digits(by["card"][0][1]) == digits(by["card"][1][1]) and pii.luhn(digits(by["card"][0][1]))
+    assert all(0 <= int(p) <= 255 for p in by["ip"][0][1].split("."))
+    iban = by["iban"][0][1].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    names = dict(by["person"])
+    assert names["John"].lower() in pii.GIVEN["m"] and names["Carmen"].lower() in pii.GIVEN["f"] and names["Иван"].lower() in pii.GIVEN["mc"]
+    assert re.fullmatch("[А-Яа-яё]+", names["Петров"])
+
+
+def test_permutations_are_bijections_without_fixed_points():
+    for size in (2, 10, 26, 100, 4096, 5000, 9999):
+        image = [pii.permute(x, size, KEY, "t") for x in range(size)]
+        assert sorted(image) == list(range(size))
+        assert size > 4096 or all(x != y for x, y in enumerate(image))
+    assert pii.permute(0, 1, KEY, "t") == 0
+    assert len({pii._mapped(f"{a}{b}9.{c}", KEY, "x") for a in "ab" for b in "xyz" for c in range(10)}) == 60
+    assert len({pii._card(f"{n:016d}", KEY) for n in range(4 * 10**15, 4 * 10**15 + 300)}) == 300
+
+
+def test_clean_texts_stay(spark, odd, none):
+    for t in ("Version 2.0, CC BY-NC 4.0; 1.2.3 at 12:30, 1999-2001, page 123456.", "Dr. who knows", "a@b", "e.g. 3.14159", "john deere", prose(3, 200)):
+        assert pii.entities(t, KEY) == []
+    same = pii.mask(odd, entities_col="found")
+    assert same.columns == [*odd.columns, "found"] and same.count() == odd.count()
+    assert sorted(map(str, same.select("text").collect())) == sorted(map(str, odd.select("text").collect()))
+    assert pii.mask(none).columns == odd.columns and pii.mask(none).count() == 0
+
+
+def test_collisions(spark):
+    rng = random.Random(8)
+    docs = [(i, f"write u{rng.randint(0, 400)}.{rng.choice('abc')}@m{i % 3}.example.com or +1 ({rng.randint(200, 999)}) 555-{i % 50:04d} from 10.0.{i % 30}.{i % 7}") for i in range(400)]
+    masked = pii.mask(spark.createDataFrame(docs, "doc_id long, text string"), entities_col="e")
+    assert masked.select(F.explode("e")).count() == 1200 and pii.collisions(masked, "e").count() == 0
+    left = {m for r in masked.collect() for m in re.findall(r"\S+@\S+|\d+\.\d+\.\d+\.\d+", r.text)} & {m for _, t in docs for m in re.findall(r"\S+@\S+|\d+\.\d+\.\d+\.\d+", t)}
+    assert len(left) <= 2
+    broken = spark.sql("SELECT array(named_struct('kind','ip','original','a','surrogate','x'), named_struct('kind','ip','original','b','surrogate','x')) AS e")
+    assert [tuple(r) for r in pii.collisions(broken, "e").collect()] == [("ip", "x", 2)]
+
+
+def test_segments():
+    """All maximal segments, as found by trying every one."""
+    rng = random.Random(3)
+
+    def brute(scores):
+        def rec(a, b):
+            best = max(((sum(scores[i:j]), -(j - i), -i) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0,))
+            if best[0] <= 1e-9:
+                return []
+            i, j = -best[2], -best[2] - best[1]
+            return [*rec(a, i), (i, j, round(best[0], 6)), *rec(j, b)]
+
+        return rec(0, len(scores))
+
+    for _ in range(200):
+        n = rng.randint(0, 14)
+        hits = [(i, rng.choice([-2.5, -1.25, 1.5, 2.75, 4.125])) for i in range(n) if rng.random() < 0.6]
+        scores = [-0.5] * n
+        for i, s in hits:
+            scores[i] = s
+        got = [(a, b, round(s, 6)) for a, b, s in toxicity.segments(hits, -0.5)]
+        assert sorted(round(s, 6) for *_, s in got) == sorted(s for *_, s in brute(scores))
+
+
+def labelled(spark, n=900):
+    rng, docs, labels = random.Random(12), [], []
+    for i in range(n):
+        words = prose(20_000 + i, rng.randint(20, 120)).split()
+        toxic = rng.random() < 0.25
+        if toxic:
+            at = rng.randrange(len(words))
+            words[at:at] = rng.sample(["vilea", "vileb", "vilec", "viled"], 2)
+        docs.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), {i: t for i, _, t in labels}
+
+
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels, true = labelled(spark)
+    got = toxicity.score_toxicity(docs, labels).collect()
+    held = [r for r in got if r.held_out]
+    assert len(got) == 900 and 120 < len(held) < 240
+    assert sum(r.predicted == true[r.doc_id] for r in held) >= 0.97 * len(held)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    found = [r for r in held if true[r.doc_id]]
+    assert sum(len(r.passages) > 0 for r in found) >= 0.95 * len(found)
+    import zlib
+
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+
+
+def test_held_out_labels_are_not_used(spark):
+    docs, labels, _ = labelled(spark, 300)
+    flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = (sorted((r.doc_id, r.score) for r in toxicity.score_toxicity(docs, x).collect()) for x in (labels, flipped))
+    assert a == b
+
+
+def test_toxicity_odd_rows(spark, odd, none):
+    docs, labels, _ = labelled(spark, 300)
+    mixed = docs.unionByName(odd.select("doc_id", "text").filter("doc_id is null or doc_id >= 5")).withColumn("score", F.lit("clash"))
+    got = toxicity.score_toxicity(mixed, labels.unionByName(spark.createDataFrame([(None, None, None), (1, 1, None), (2, 0, 7)], labels.schema)))
+    assert got.count() == mixed.count() and got.filter("score is null or score < 0 or score > 1 or predicted is null or held_out is null").count() == 0
+    assert toxicity.score_toxicity(none, labels).count() == 0
+    blank = toxicity.score_toxicity(odd, labels.limit(0))
+    assert blank.count() == odd.count() and blank.filter("score <> 0 or predicted <> 0").count() == 0
+
+
+def brute_rule(url, rules):
+    at = (url or "").find("://")
+    rest = (url or "")[at + 3 :] if at >= 0 else ""
+    host, rest = re.match(r"([^/?#]*)(.*)", rest, re.DOTALL).groups()
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    path = re.match(r"[^?#]*", rest)[0]
+    fits = [(h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    rule, verdict = min(fits, key=lambda x: (-len(x[0]), x[0]), default=(None, "allow"))
+    return host, path, rule, verdict
+
+
+MORE = [*URL_RULES, ("a.example.org", "/", "block"), ("a.example.org", "/en/", "allow"), ("net", "/", "block"), ("b.a.example.org", "/en/1", "block"), ("xample.org", "/", "block"), ("com", "", "allow")]
+
+
+@pytest.mark.parametrize("rules", [URL_RULES, MORE, []])
+def test_url_rules(spark, rules):
+    hosts = ["org", "example.org", "a.example.org", "b.a.example.org", "c.b.a.example.org", "anexample.org", "com", "x.COM", "example.net", "zz", "", "example.org.", "b.example.org:80"]
+    paths = ["", "/", "/es/x", "/es", "/en/12?x#y", "/en/2", "/fr/", "/de/a#b", "?/es/", "#/"]
+    urls = [f"{s}{h}{p}" for s in ("http://", "https://", "") for h in hosts for p in paths] + [None, "", "://", "x://y://z/", "http://example.org/es/\n2"]
+    df = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)], "page_id long, url string, HOST string, part string")
+    table = url_filter.rules_of(spark, rules) if rules else url_filter.rules_of(spark, URL_RULES).limit(0)
+    for sweeps in (1, 7):
+        got = url_filter.filter_urls(df, table, sweeps=sweeps)
+        assert got.columns == ["page_id", "url", "part", "host", "path", "rule", "verdict"]
+        assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got.collect()} == {i: brute_rule(u, rules) for i, u in enumerate(urls)}
+
+
+def test_url_rules_odd_tables(spark):
+    df = spark.createDataFrame([("http://a.org/", 1)] * 3, "url string, page_id long")
+    rules = url_filter.rules_of(spark, [("org", "/", "allow")]).unionByName(spark.sql("SELECT * FROM VALUES ('org', '/', 'block'), (null, '/', 'block'), ('a.org', null, 'block') t(rule_host, rule_path, verdict)"))
+    assert [r.verdict for r in url_filter.filter_urls(df, rules).collect()] == ["block"] * 3
+    assert url_filter.filter_urls(df.limit(0), rules).count() == 0
+
+
+@pytest.fixture(scope="module")
+def reference_tokenizer():
+    vocabulary = []
+    with open(TOKENIZER, "rb") as f:
+        for number, value in T._fields(f.read()):
+            if number == 1:
+                piece = dict(T._fields(value))
+                vocabulary.append((piece[1].decode(), T.struct.unpack("<f", piece[2])[0] if 2 in piece else 0.0, piece.get(3, 1)))
+    low = min(s for _, s, _ in vocabulary)
+    t = Tokenizer(models.Unigram([(p, s if kind == T.NORMAL else low - 1000) for p, s, kind in vocabulary], unk_id=0, byte_fallback=True))
+    t.normalizer = normalizers.Sequence([normalizers.Prepend(T.SPACE), normalizers.Replace(" ", T.SPACE)])
+    return t
+
+
+def test_token_counts(spark, reference_tokenizer):
+    rng = random.Random(4)
+    texts = [prose(k, 30) for k in range(40)] + ["a  b", "   ", "\n\nx\t y", "日本語 漢字テスト", "𝒳 ok 🙂🙂", " lead trail ", "naïve café", "a" * 300, "x", f"{T.SPACE}{T.SPACE}y z"]
+    texts += ["".join(rng.choice("abcdeé漢 \n🙂") for _ in range(60)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in T.count_tokens(df, TOKENIZER).collect()}
+    assert got == {i: len(e.ids) for i, e in enumerate(reference_tokenizer.encode_batch(texts, add_special_tokens=False))}
+
+
+def test_token_counts_of_a_toy_model():
+    """Without byte pieces, against all segmentations."""
+    pieces = (("a", -1.0), ("b", -1.5), ("ab", -2.5), ("aba", -2.0), ("bab", -3.0), (T.SPACE, -1.0), (f"{T.SPACE}a", -1.5))
+    c, rng = T.Counter(T.Vocabulary(pieces, False), memo=3), random.Random(1)
+    score, unknown = dict(pieces), min(s for _, s in pieces) - T.UNKNOWN_PENALTY
+
+    def best(text):
+        if not text:
+            return {(0.0, ())}
+        out = set()
+        for i in range(1, len(text) + 1):
+            p = text[:i]
+            if p in score or i == 1 and p not in "ab" + T.SPACE:
+                out |= {(score.get(p, unknown) + s, (p, *rest)) for s, rest in best(text[i:])}
+        return out
+
+    for _ in range(80):
+        text = "".join(rng.choice("abx ") for _ in range(rng.randint(1, 7)))
+        ways = best(T.SPACE + text.replace(" ", T.SPACE))
+        top = max(s for s, _ in ways)
+        counts = {len(re.sub("x+", "x", " ".join("x" if p == "x" else "p" for p in w).replace("x x", "x").replace("x x", "x")).split()) for s, w in ways if s == top}
+        assert c.text(text) in counts
+
+
+def test_token_counts_odd_rows(odd, none):
+    got = T.count_tokens(odd, TOKENIZER)
+    assert got.columns == ["doc_id", "n_tokens"] and got.count() == odd.count()
+    assert {r.n_tokens for r in got.filter("doc_id in (2, 3)").collect()} == {0} and T.count_tokens(none, TOKENIZER).count() == 0
+    assert len(WORDS) == 24
