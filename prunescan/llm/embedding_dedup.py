@@ -77,12 +77,14 @@ def _compared(t: pa.Table, least: float) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(np.concatenate([n[some], np.zeros(len(edges), np.int64)]), pa.int64())})
 
 
-def _links(d: DataFrame, least: float, cell_rows: int, most_cells: int, margin: float) -> DataFrame:
+def _links(d: DataFrame, least: float, cell_rows: int, most_cells: int, reach: float) -> DataFrame:
     """``a, b, n`` for distinct vectors ``did, m, v`` of one dimension: link counts (b is -1) and connecting edges."""
     spark = d.sparkSession
     k = max(1, min(most_cells, d.count() // cell_rows))
     sample = d.orderBy(F.xxhash64("v"), "did").limit(32 * k).select("v").toArrow()
-    centres = spark.sparkContext.broadcast(spherical_kmeans(_matrix(sample.column("v")), k))
+    centres = _matrix(sample.column("v"))
+    margin = reach * 1.3 * float(np.sqrt(2 * (1 - least) / centres.shape[1]))
+    centres = spark.sparkContext.broadcast(spherical_kmeans(centres, k))
     kind = d.schema["v"].dataType.simpleString()
     placed = stored(d.mapInArrow(lambda it: _assigned(it, centres.value, margin), f"cell long, home boolean, did long, m long, v {kind}"))
     sizes = placed.groupBy("cell").agg(F.count_if("home").alias("h"), F.count("*").alias("all")).collect()  # one row a cell
@@ -95,15 +97,16 @@ def _links(d: DataFrame, least: float, cell_rows: int, most_cells: int, margin:
     return pairs.applyInArrow(lambda t: _compared(t, least), "a long, b long, n long")
 
 
-def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.9, cell_rows: int = 1000, most_cells: int = 1024, margin: float = 0.15) -> DataFrame:
+def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.9, cell_rows: int = 1000, most_cells: int = 1024, reach: float = 2.5) -> DataFrame:
     """Links of cosine ``least`` or more: the id column, ``n_links``, ``component_id``, ``kept`` for every input row.
 
     Equal vectors, however many, are compared once with their number as weight. Centres are fitted on the 32
     vectors a cell of smallest hash (a bounded sample); every vector has one home cell and visits all cells that
-    score at most ``margin`` below it. A home vector is compared with all that are in its cell, in blocks of
+    score not far below it: ``reach`` standard deviations of what the difference of two linked vectors, at most
+    ``sqrt(2 (1 - least))`` long, changes in the scores of two centres about 1.3 apart. A home vector is compared with all that are in its cell, in blocks of
     ``BLOCK`` rows, so a crowded cell is many tasks. Every product is exact in double precision, so no link
-    is wrong; a link is missed only if a vector's margin is too small to visit the other's home (none of the
-    links of the test tables is).
+    is wrong; a link is missed only if a vector doesn't visit the other's home (none of the links of the test
+    tables is).
 
     ``n_links`` counts other rows; ``component_id`` is the smallest id reachable; ``kept`` marks the row whose id
     that is. Vectors that are null, empty, zero, or hold null or non-finite components have no links and are
@@ -117,7 +120,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     d = stored(same.withColumn("did", F.monotonically_increasing_id()))
     links = None
     for r in d.groupBy(F.size("v").alias("n")).count().collect():
-        one = _links(d.filter(F.size("v") == r.n).select("did", "m", "v"), least, cell_rows, most_cells, margin)
+        one = _links(d.filter(F.size("v") == r.n).select("did", "m", "v"), least, cell_rows, most_cells, reach)
         links = one if links is None else links.unionByName(one)
     if links is None:
         links = d.select(F.col("did").alias("a"), F.col("did").alias("b"), F.lit(0).alias("n")).limit(0)
