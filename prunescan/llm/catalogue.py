@@ -91,7 +91,56 @@ QUERIES = {
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
+_PRIMES_SQL = ", ".join(map(str, mixing.PRIMES))
+_WORDS_SQL = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
+
+
+def _permuted_sql(i: str, n: str, key: str) -> str:
+    a, spare = f"p[{key} % 8 + 1]", f"p[8 - {key} % 8]"
+    return f"(CASE WHEN {n} % {a} = 0 THEN {spare} ELSE {a} END * ({i}) + {key} % {n}) % {n}"
+
+
+def _keyed_sql(text: str) -> str:
+    return f"('0x' || substr(md5({text}), 1, 13))::BIGINT"
+
+
 ORACLE_SQL = {
+    "op6_mix_sources": f"""
+        WITH d AS (SELECT doc_id, source, coalesce('=' || source, '') AS src, coalesce(len({_WORDS_SQL}), 0)::BIGINT AS size FROM documents),
+        s AS (SELECT source, src, sum(size)::BIGINT AS source_size FROM d GROUP BY 1, 2),
+        v AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS k FROM s),
+        w AS (SELECT *, (CASE k % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::DOUBLE AS w FROM v),
+        l AS (SELECT *, (3 * source_size)::DOUBLE AS cap,
+                     (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (ORDER BY source_size / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                         / sum(w) OVER (ORDER BY source_size / w, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+        g AS (SELECT src, source_size, coalesce(least(cap, w * (SELECT level FROM l WHERE w * level <= cap ORDER BY source_size / w, k LIMIT 1)), 0.0) AS target FROM l),
+        b AS (SELECT *, {_keyed_sql("doc_id::VARCHAR")} % (SELECT greatest(1, floor(sqrt(count(*))))::BIGINT FROM d) AS bucket FROM d),
+        o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY src ORDER BY bucket, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM b),
+        c AS (SELECT *, ceil(source_size / 128)::BIGINT AS n, round(target * ceil(source_size / 128) / source_size)::BIGINT AS q, [{_PRIMES_SQL}]::BIGINT[] AS p FROM g WHERE source_size > 0),
+        j AS (SELECT src, n, p, unnest(range(q)) AS slot FROM c WHERE q > 0),
+        m AS (SELECT src, n, p, slot, {_keyed_sql("'42/' || src || '/' || (slot // n)")} AS key FROM j),
+        t AS (SELECT src, {_permuted_sql("slot % n", "n", "key")} AS block, count(*) AS times FROM m GROUP BY 1, 2),
+        e AS (SELECT doc_id, src, size, start, unnest(range(start // 128, (start + size - 1) // 128 + 1)) AS block FROM o WHERE size > 0),
+        a AS (SELECT doc_id, sum((least(start + size, (block + 1) * 128) - greatest(start, block * 128)) * coalesce(times, 0))::BIGINT AS taken FROM e LEFT JOIN t USING (src, block) GROUP BY 1)
+        SELECT d.doc_id, d.size, g.source_size, g.target, coalesce(a.taken, 0) AS taken FROM d JOIN g USING (src) LEFT JOIN a ON a.doc_id = d.doc_id
+    """,
+    "op7_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, coalesce({_WORDS_SQL}, []) AS w FROM documents),
+        x AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+        f AS (SELECT s, min(doc_id) AS first FROM x GROUP BY 1),
+        h AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM x JOIN f USING (s) WHERE first < doc_id),
+        p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+        k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM p ANTI JOIN h USING (doc_id, i) GROUP BY 1)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+    """,
+    "op8_embedding_near_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+        r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+        c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY 1), n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1)
+        SELECT c.vec_id, coalesce(n, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+    """,
     "op9_url_filter": f"""
         WITH rules(rule_host, rule_path, verdict) AS (VALUES {_RULES_SQL}),
         u AS (SELECT page_id, coalesce(url, '') AS url, instr(coalesce(url, ''), '://') AS pos FROM pages),
