@@ -18,6 +18,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from prunescan.llm.common import sliced
+
 # Letter classes within which letters are exchanged, so that script and shape stay.
 CLASSES = (
     "aeiou",
@@ -209,7 +211,7 @@ def entities(text: str, key: bytes) -> list[Entity]:
 
 def _masked(batches: Iterator[pa.RecordBatch], key: bytes) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("first", pa.int32()), ("end", pa.int32()), ("original", pa.string()), ("surrogate", pa.string())]))
-    for batch in batches:
+    for batch in sliced(batches):
         texts, found = [], []
         for text in batch.column(0).to_pylist():
             own = entities(text, key) if text else []

@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from prunescan.llm.common import stored
+from prunescan.llm.common import sliced, stored
 
 #: Stands for a null document id, which counts as after all others.
 LAST = 2**63 - 1
@@ -64,7 +64,7 @@ def _texts(batch: pa.RecordBatch, at: int) -> list:
 
 def _blocks(batches: Iterator[pa.RecordBatch], window: int, seed_words: int) -> Iterator[pa.RecordBatch]:
     """(doc, text) -> (seed, doc, block): one row per reference block."""
-    for batch in batches:
+    for batch in sliced(batches):
         out: list[tuple] = []
         for doc, text in zip(batch.column(0).to_pylist(), _texts(batch, 1)):
             seeds, hashes = windows((text or b"").split(), window, seed_words)
@@ -77,7 +77,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], window: int, seed_words: int) ->
 
 def _uneven(batches: Iterator[pa.RecordBatch], window: int, seed_words: int) -> Iterator[pa.RecordBatch]:
     """(doc, text, seeds) -> (seed, hash, doc): the different windows of the named seeds."""
-    for batch in batches:
+    for batch in sliced(batches):
         out: list[tuple] = []
         for doc, text, wanted in zip(batch.column(0).to_pylist(), _texts(batch, 1), batch.column(2)):
             seeds, hashes = windows((text or b"").split(), window, seed_words)
@@ -89,7 +89,7 @@ def _uneven(batches: Iterator[pa.RecordBatch], window: int, seed_words: int) ->
 
 def _factored(batches: Iterator[pa.RecordBatch], window: int, seed_words: int) -> Iterator[pa.RecordBatch]:
     """(text, whole, single) -> (n_words, n_removed, kept): drops the words that matched blocks and windows cover."""
-    for batch in batches:
+    for batch in sliced(batches):
         n_words, n_removed, kept = [], [], []
         for text, whole, single in zip(_texts(batch, 0), batch.column(1), batch.column(2)):
             words, n = (text or b"").split(), 0
