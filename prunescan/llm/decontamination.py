@@ -5,18 +5,21 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-TOKEN = re.compile(r"[^\W_]+")
+from prunescan.llm.common import sliced
+
+TOKEN = re.compile(r"\w+")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(text: str) -> list[str]:
     """Runs of letters and digits, lower-cased."""
-    return TOKEN.findall(text.lower())
+    return TOKEN.findall(text.lower().replace("_", " "))
 
 
 @dataclass
@@ -32,8 +35,7 @@ class Items:
     places: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     def encode(self, words: list[str]) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.fromiter((get(w, 0) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
 
     def grams(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and hashes of the n-grams that hold known tokens only."""
@@ -142,7 +144,7 @@ def matches(items: Items, ids: np.ndarray, least: float) -> list[tuple[int, floa
 
 def _tally(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(len(items.vocabulary) + 1, np.int64)
-    for batch in batches:
+    for batch in sliced(batches):
         for text in batch.column(0).to_pylist():
             if text:
                 counts += np.bincount(items.encode(tokens(text)), minlength=len(counts))
@@ -150,7 +152,7 @@ def _tally(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.Recor
 
 
 def _find(batches: Iterator[pa.RecordBatch], items: Items, least: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         rows, found = [], []
         for k, text in enumerate(batch.column(0).to_pylist()):
             if text:
