@@ -7,32 +7,55 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from prunescan.llm.common import cut
+from prunescan.llm.common import cut, sliced
 
 TOKEN = re.compile(r"[^\W\d_]+")
+#: Lengths of stems, longest first.
+STEMS = (5, 4)
 #: Width of the calibration's steps and their range.
 STEP, LOW, HIGH = 0.25, -30.0, 60.0
 
 
 @dataclass(frozen=True)
 class Model:
-    """Token scores, the score of all other tokens, and the decay rate of chance segments (``rate``)."""
+    """Scores of tokens and stems, the score of all other tokens, and the decay rate of chance segments (``rate``)."""
 
     scores: dict[str, float]
     other: float
     rate: float
 
+    @cached_property
+    def known(self) -> frozenset[str]:
+        """First letters of all scored tokens and stems."""
+        return frozenset(k[: STEMS[-1]] for k in self.scores)
+
+    def hits(self, words: list[str]) -> list[tuple[int, float]]:
+        """Places of the words that have a score of their own, else by their longest stem in the model."""
+        get, known, out = self.scores.get, self.known, []
+        for i, w in enumerate(words):
+            if w[: STEMS[-1]] in known:
+                s = next((s for k in (w, *stems(w)) if (s := get(k)) is not None), None)
+                if s is not None:
+                    out.append((i, s))
+        return out
+
 
 def tokens(text: str) -> list[str]:
     """Runs of letters, lower-cased; digits, marks and underscores separate them."""
     return TOKEN.findall(text.lower())
 
 
+def stems(word: str) -> list[str]:
+    """A word's stems, longest first: its first letters and ``*``. They stand for its inflected forms."""
+    return [f"{word[:n]}*" for n in STEMS if len(word) > n]
+
+
 def segments(hits: list[tuple[int, float]], other: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, end, score) in one pass over a sequence.
 
@@ -62,10 +85,14 @@ def segments(hits: list[tuple[int, float]], other: float) -> list[tuple[int, int
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         by = (Counter(), Counter())
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            by[toxic].update(tokens(text or ""))
+            by[toxic].update(set(tokens(text or "")))
+        for c in by:
+            for word, n in list(c.items()):
+                for stem in stems(word):
+                    c[stem] += n
         words = list(by[0] | by[1])
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in by)], ["token", "clean", "toxic"])
 
@@ -73,9 +100,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, prior: float = 0.1, least_z: float = 4.0, max_features: int = 1 << 16) -> Model:
     """Learn token scores from labelled rows: ``docs`` (doc_id, text), ``labels`` (doc_id, toxic).
 
-    Texts that are equal count once (toxic if any copy is). A token's score is the difference of its log-odds
+    Texts that are equal count once (toxic if any copy is), and so does a token in a text, however often it's
+    repeated there. A token's score is the difference of its log-odds
     in toxic and clean texts, each smoothed by a Dirichlet prior in proportion to the token's share of all
-    text, with ``prior`` times all counts as its weight. Tokens whose difference is under ``least_z`` standard
+    text, with ``prior`` times all counts as its weight; stems of tokens are scored alike, so that a form not seen
+    in learning has its stem's score. Tokens whose difference is under ``least_z`` standard
     errors share one score, the log ratio of how often such tokens occur, which is below zero. The model keeps
     the ``max_features`` tokens of largest |z|; that bounds what is sent to the tasks. With no toxic or no
     clean text the model is empty.
@@ -86,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float = 0.1, least_z: float =
     once = once.groupBy("k", "n").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).select("doc_id", "toxic")
     counts = d.join(once, "doc_id").select("text", "toxic").mapInArrow(_counts, "token string, clean long, toxic long")
     counts = cut(counts.groupBy("token").agg(F.sum("clean").cast("double").alias("y0"), F.sum("toxic").cast("double").alias("y1")))
-    n0, n1 = counts.agg(F.sum("y0"), F.sum("y1")).first()
+    n0, n1 = counts.filter(~F.endswith("token", F.lit("*"))).agg(F.sum("y0"), F.sum("y1")).first()
     if not n0 or not n1:
         return Model({}, -1.0, 1.0)
     a, a0 = prior * (F.col("y0") + F.col("y1")), prior * (n0 + n1)
@@ -94,9 +123,11 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float = 0.1, least_z: float =
     z = (odds("y1", n1) - odds("y0", n0)) / F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a))
     kept = counts.withColumns({"score": odds("y1", n1) - odds("y0", n0), "z": z, "p0": (F.col("y0") + a) / (n0 + a0), "p1": (F.col("y1") + a) / (n1 + a0)})
     kept = kept.filter(F.abs("z") >= least_z).orderBy(F.abs("z").desc(), "token").limit(max_features).collect()
-    rest = max(1e-9, 1 - sum(r.p1 for r in kept)), max(1e-9, 1 - sum(r.p0 for r in kept))
+    scores = {r.token: r.score for r in kept}
+    top = [r for r in kept if not any(t in scores for t in stems(r.token.rstrip("*")))]  # what has no stem in the model
+    rest = max(1e-9, 1 - sum(r.p1 for r in top)), max(1e-9, 1 - sum(r.p0 for r in top))
     other = min(-1e-3, math.log(rest[0] / rest[1]))
-    return Model({r.token: r.score for r in kept}, other, _rate([r.score for r in kept] + [other], [r.p0 for r in kept] + [rest[1]]))
+    return Model(scores, other, _rate([r.score for r in top] + [other], [r.p0 for r in top] + [rest[1]]))
 
 
 def _rate(scores: list[float], shares: list[float]) -> float:
@@ -114,14 +145,13 @@ def _rate(scores: list[float], shares: list[float]) -> float:
 
 
 def _scan(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    get, kind = model.scores.get, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-    for batch in batches:
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+    for batch in sliced(batches):
         lengths, found = [], []
         for text in batch.column(0).to_pylist():
             words = tokens(text or "")
-            hits = [(i, s) for i, s in enumerate(map(get, words)) if s is not None]
             lengths.append(len(words))
-            found.append([{"first": a, "end": b, "score": s} for a, b, s in segments(hits, model.other)])
+            found.append([{"first": a, "end": b, "score": s} for a, b, s in segments(model.hits(words), model.other)])
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lengths, pa.int32()), pa.array(found, kind)], [*batch.schema.names[1:], "n_tokens", "segments"])
 
 
