@@ -47,7 +47,7 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with personal data replaced by surrogates."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     masked = pii.mask(docs, entities_col="entities")
-    return masked.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
+    return masked.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"))
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
