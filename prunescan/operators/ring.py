@@ -28,12 +28,17 @@ def intervals(ring: DataFrame, replicas: int = 1) -> DataFrame:
     the first place wraps round: its keys lie above the last place or up to the first.
     """
     places = ring.groupBy("hash").agg(F.min("node").alias("node"))
+    size = places.agg(F.count("*").alias("places"), F.countDistinct("node").alias("nodes")).first()
+    need, ahead = min(replicas, size.nodes), 1 if replicas == 1 else 8 * replicas
+    twice = places.unionByName(places.select((F.col("hash") + F.lit(1 << BITS)).alias("hash"), "node"))
     order = Window.orderBy("hash")
-    at = places.select("hash", F.lag("hash").over(order).alias("lo"))
-    far = (F.col("other") - F.col("hash") + F.lit(1 << BITS)) % F.lit(1 << BITS)
-    near = at.crossJoin(F.broadcast(places.select(F.col("hash").alias("other"), "node"))).groupBy("hash", "lo", "node").agg(F.min(far).alias("far"))
-    nodes = F.slice(F.array_sort(F.collect_list(F.struct("far", "node"))), 1, replicas)
-    chosen = near.groupBy("hash", "lo").agg(nodes.alias("n")).select(F.col("hash").alias("hi"), "lo", F.col("n.node").alias("nodes"))
+    while True:  # look further ahead until every place has seen enough different nodes
+        seen = F.array_distinct(F.collect_list("node").over(order.rowsBetween(0, ahead - 1)))
+        chosen = twice.select(F.col("hash").alias("hi"), F.lag("hash").over(order).alias("lo"), seen.alias("nodes")).filter(F.col("hi") < F.lit(1 << BITS))
+        if ahead >= size.places or not size.places or chosen.agg(F.min(F.size("nodes"))).first()[0] >= need:
+            break
+        ahead *= 4
+    chosen = chosen.withColumn("nodes", F.slice("nodes", 1, max(1, need)))
     last = chosen.agg(F.max("hi").alias("top"))
     wrap = chosen.filter("lo is null").crossJoin(last)
     return (
