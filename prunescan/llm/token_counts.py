@@ -11,6 +11,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from prunescan.llm.common import sliced
+
 SPACE = "▁"
 #: Score of an unknown character below the worst piece, as tokenizers of this kind have it.
 UNKNOWN_PENALTY = 10.0
@@ -70,11 +72,12 @@ def read_model(path: str) -> Vocabulary:
 class Counter:
     """Counts the pieces of the best segmentation of texts."""
 
-    def __init__(self, vocabulary: Vocabulary, memo: int = 1 << 18):
+    def __init__(self, vocabulary: Vocabulary, memo: int = 1 << 19):
         self.automaton = ahocorasick.Automaton()
         for piece, score in vocabulary.pieces:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.singles = frozenset(p for p, _ in vocabulary.pieces if len(p) == 1)
         self.unknown = min(s for _, s in vocabulary.pieces) - UNKNOWN_PENALTY
         self.bytes_ = vocabulary.bytes_
         self.inner = any(SPACE in p.lstrip(SPACE) for p, _ in vocabulary.pieces)
@@ -88,30 +91,37 @@ class Counter:
         no piece matches alone is unknown; neighbouring unknown characters are one piece, or with byte
         pieces one for each of their UTF-8 bytes.
         """
+        if not self.singles.issuperset(text):
+            return self._word_with_unknown(text)
+        score, count = [float("-inf")] * (len(text) + 1), [0] * (len(text) + 1)
+        score[0] = 0.0
+        for last, (size, s) in self.automaton.iter(text):  # by their ends, at one end the longest first
+            start = last + 1 - size
+            total = score[start] + s
+            if total > score[last + 1]:
+                score[last + 1], count[last + 1] = total, count[start] + 1
+        return count[-1]
+
+    def _word_with_unknown(self, text: str) -> int:
         n = len(text)
         score, count = [float("-inf")] * (n + 1), [0] * (n + 1)
         loose = [False] * (n + 1)  # whether the best way here ends in unknown characters
         score[0] = 0.0
         by_end: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for last, (size, s) in self.automaton.iter(text):
-            by_end[last + 1].append((size, s))
+        for last, match in self.automaton.iter(text):
+            by_end[last + 1].append(match)
         for end in range(1, n + 1):
-            own, best = by_end[end], float("-inf")
-            if not any(size == 1 for size, _ in own):
-                own.append((1, self.unknown))
-                lost = True
-            else:
-                lost = False
-            for size, s in sorted(own, key=lambda x: -x[0]):
+            if text[end - 1] not in self.singles:
+                by_end[end].append((1, self.unknown))
+            for size, s in by_end[end]:
                 total = score[end - size] + s
-                if total > best:
-                    best = total
-                    loose[end] = lost and size == 1 and s == self.unknown
+                if total > score[end]:
+                    score[end] = total
+                    loose[end] = size == 1 and text[end - 1] not in self.singles
                     if loose[end]:
                         count[end] = count[end - 1] + (len(text[end - 1].encode()) if self.bytes_ else not loose[end - 1])
                     else:
                         count[end] = count[end - size] + 1
-            score[end] = best
         return count[n]
 
     def text(self, text: str) -> int:
@@ -136,7 +146,7 @@ class Counter:
 
 def _counted(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
     counter = Counter(vocabulary)
-    for batch in batches:
+    for batch in sliced(batches):
         n = [counter.text(t) if t else 0 for t in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n, pa.int64())], [*batch.schema.names[1:], "n_tokens"])
 
