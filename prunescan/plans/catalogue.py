@@ -218,7 +218,10 @@ def row_group_ranges(spark, d):
     return footer.row_groups(footer.footers(spark, data_files(spark, d))).select(here(), "row_group", "offset", "length", "rows")
 
 
-@query("file_metadata")
+SF_FILES = "['" + "', '".join(f"/root/testdata/sf0.01/{t}.parquet" for t in FILES) + "']"  # the scale at which the SQL is run
+
+
+@query("file_metadata", f"SELECT regexp_extract(file_name, '([^/]+)$', 1) AS file, file_size_bytes::BIGINT AS file_size, footer_size::BIGINT AS footer_size, num_rows AS n_rows, num_row_groups::INT AS n_row_groups FROM parquet_file_metadata({SF_FILES})")
 def file_metadata(spark, d):
     return footer.files(footer.footers(spark, data_files(spark, d))).select(here(), "file_size", "footer_size", "n_rows", "n_row_groups")
 
@@ -228,6 +231,11 @@ def column_chunks(spark, d):
     return footer.column_chunks(footer.footers(spark, data_files(spark, d))).select(here(), "row_group", "path", "physical_type", "min_long", "max_long", "min_double", "max_double", "null_count", "size")
 
 
+@query("column_chunk_sizes", f"SELECT regexp_extract(file_name, '([^/]+)$', 1) AS file, row_group_id::INT AS row_group, path_in_schema AS path, type AS physical_type, stats_null_count AS null_count, total_compressed_size AS size FROM parquet_metadata({SF_FILES})")
+def column_chunk_sizes(spark, d):
+    return column_chunks(spark, d).select("file", "row_group", "path", "physical_type", "null_count", "size")
+
+
 @query("scan_row_group_mode", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (SELECT min(l_orderkey) <= 200 AND max(l_orderkey) >= 100 FROM lineitem)")
 def scan_row_group_mode(spark, d):
     """All rows of the surviving row groups, by Spark's own reader."""
@@ -257,7 +265,7 @@ def read_range_magic(spark, d):
     return got.join(asked.select("ord", "part"), "ord").select("part", F.decode("data", "UTF-8").alias("data"), F.col("length").alias("n"))
 
 
-@query("batch_read")
+@query("batch_read", "SELECT unnest(['" + "', '".join(f"{t}.parquet" for t in FILES) + "']) AS file, 'PAR1' AS data")
 def batch_read(spark, d):
     """The tails of several files."""
     files = footer.files(footer.footers(spark, data_files(spark, d)))
