@@ -213,3 +213,17 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "size", "source_size", "target", "taken"] and {r.doc_id for r in out.collect()} == leaks
     assert [n for n, _ in corpus_pipeline.STAGES][1:3] == ["simhash_near_dedup", "decontamination"] and simhash and decontamination
+
+
+def test_stages_on_odd_rows(spark, odd, tmp_path):
+    """Nulls, blanks, long and repeated texts, an extra column of a working name, and no rows at all."""
+    docs = odd.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), "source", F.col("size").alias("n_chars"), F.lit("x").alias("_bad"), F.lit("y").alias("masked"))
+    spark.createDataFrame([(5, None, None), (None, 1, 1), (8, 1, 1), (9, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(None, None), (1, ""), (2, prose(8, 40))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for d in (docs, docs.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = corpus_pipeline.stored(stage(spark, d, str(tmp_path)))
+            assert out.columns == docs.columns and out.count() <= d.count()
+        assert corpus_pipeline.STAGES[-1][1](spark, d, str(tmp_path)).count() == d.count()
+    assert corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).filter("doc_id in (8, 9)").count() == 0
+    assert {r.doc_id for r in corpus_pipeline.drop_copies(spark, docs, str(tmp_path)).collect()} == {1, 2, None, 5, 7, 8}
