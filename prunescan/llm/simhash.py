@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from prunescan.llm.common import components, cut, stored
+from prunescan.llm.common import components, cut, sliced, stored
 
 #: Shingle hashes of a text are tallied in pieces of this many, which bounds memory for very long texts.
 PIECE = 1 << 16
@@ -40,7 +40,7 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         texts = batch.column(0).cast(pa.binary()).to_pylist()
         own = pa.array([fingerprint(shingle_hashes(t or b"", k)) for t in texts], pa.int64())
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], own], [*batch.schema.names[1:], "fp"])
@@ -121,9 +121,10 @@ def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 # Near duplicates by shingle similarity: the same index over a longer fingerprint.
 
-#: Bytes of the longer fingerprint, and salts that make its four 64-bit parts from one shingle hash.
-WIDE = 32
-SALTS = tuple(np.uint64(s) for s in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
+#: Bytes of the longer fingerprint, its 64-bit parts, and the salts that make them from one shingle hash.
+WIDE = 64
+SKETCH = [f"s{i}" for i in range(WIDE // 8)]
+SALTS = tuple(np.uint64((i + 1) * 0x9E3779B97F4A7C15 % 2**64) for i in range(WIDE // 8))
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
@@ -138,14 +139,14 @@ def shingle_set(text: bytes, k: int) -> np.ndarray:
 
 
 def _wide(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(text, doc_id) -> (doc_id, n, content, s0..s3): size and hash of the shingle set, and its 256-bit SimHash."""
-    for batch in batches:
+    """(text, doc_id) -> (doc_id, n, content, s0...): size and hash of the shingle set, and its 512-bit SimHash."""
+    for batch in sliced(batches):
         rows = []
         for text in batch.column(0).cast(pa.binary()).to_pylist():
             s = shingle_set(text or b"", k).view(np.uint64)
             rows.append((len(s), int(_spread(s).sum(dtype=np.uint64).view(np.int64)), *(fingerprint(_spread(s + salt)) for salt in SALTS)))
-        cols = [pa.array(list(c), pa.int64()) for c in (zip(*rows) if rows else [[]] * 6)]
-        yield pa.RecordBatch.from_arrays([batch.column(1), *cols], ["doc_id", "n", "content", "s0", "s1", "s2", "s3"])
+        cols = [pa.array(list(c), pa.int64()) for c in (zip(*rows) if rows else [[]] * (2 + len(SKETCH)))]
+        yield pa.RecordBatch.from_arrays([batch.column(1), *cols], ["doc_id", "n", "content", *SKETCH])
 
 
 def _places(n_bytes: int, n_keys: int) -> np.ndarray:
@@ -157,10 +158,10 @@ def _places(n_bytes: int, n_keys: int) -> np.ndarray:
 
 
 def _entries(batches: Iterator[pa.RecordBatch], places: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(rep, s0..s3) -> (key, rep): the index entries of the longer fingerprint."""
+    """(rep, s0...) -> (key, rep): the index entries of the longer fingerprint."""
     for batch in batches:
         rep = np.asarray(batch.column(0))
-        bytes_ = np.stack([np.asarray(batch.column(i)) for i in range(1, 5)], axis=1).view(np.uint8).reshape(-1, WIDE)
+        bytes_ = np.stack([np.asarray(batch.column(i)) for i in range(1, 1 + len(SKETCH))], axis=1).view(np.uint8).reshape(-1, WIDE)
         for at in range(0, len(rep), 2048):
             own = bytes_[at : at + 2048][:, places].astype(np.uint64)
             key = np.broadcast_to(np.arange(len(places), dtype=np.uint64), own.shape[:2]).copy()
@@ -170,19 +171,19 @@ def _entries(batches: Iterator[pa.RecordBatch], places: np.ndarray) -> Iterator[
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         sets = [shingle_set(t or b"", k) for t in batch.column(0).cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["rep", "shingles"])
 
 
-def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, keys: int = 240, least_shared: int = 4, sure_bits: int = 22, most_bits: int = 60) -> DataFrame:
+def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, keys: int = 240, least_shared: int = 7, sure_bits: int = 52, most_bits: int = 110) -> DataFrame:
     """Groups of rows connected by a Jaccard similarity of at least ``similarity`` of their ``shingle``-word sets.
 
-    64 bits are too few for this similarity (at 0.8 about 10 of 64 differ), so the fingerprint has 256 bits, 32
+    64 bits are too few for this similarity (at 0.8 about 10 of 64 differ), so the fingerprint has 512 bits, 64
     bytes. Rows of equal sets are one entry (``rep``). The inverted index is keyed by ``keys`` sets of byte
     positions with the bytes there, three at a time, one more for each factor of 256 beyond 16 million
-    entries, with three times the sets. In each entry of the index all are paired with one of them, another
-    one in each entry, so no group is listed pair by pair. Per pair the shared positional bytes are tallied:
+    entries, with three times the sets. In each entry of the index all are paired with its smallest
+    id, so no group is listed pair by pair and much the same pairs come from all entries. Per pair the shared positional bytes are tallied:
     ``least_shared`` go on, as do sizes and at most ``most_bits`` differing bits that the similarity allows.
     Pairs within ``sure_bits`` are linked (a similarity below 0.8 gets there once in 600); of the others those
     that don't yet hang together are verified by the exact similarity of their whole texts' shingles.
@@ -193,19 +194,19 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
     """
     last = F.lit(2**63 - 1)
     d = docs.select(F.col(text).cast("string").alias("text"), F.coalesce(F.col(doc_id).cast("long"), last).alias("doc_id"))
-    sketch = ["s0", "s1", "s2", "s3"]
-    f = stored(d.mapInArrow(lambda it: _wide(it, shingle), "doc_id long, n long, content long, s0 long, s1 long, s2 long, s3 long"))
-    reps = stored(f.groupBy("n", "content").agg(F.min("doc_id").alias("rep"), *(F.min(s).alias(s) for s in sketch)))
+    f = stored(d.mapInArrow(lambda it: _wide(it, shingle), "doc_id long, n long, content long, " + ", ".join(f"{s} long" for s in SKETCH)))
+    reps = stored(f.groupBy("n", "content").agg(F.min("doc_id").alias("rep"), *(F.min(s).alias(s) for s in SKETCH)))
     n_bytes = max(3, -(-(reps.count().bit_length() - 1) // 8))
     places = _places(n_bytes, keys * 3 ** (n_bytes - 3))
-    index = reps.filter("n > 0").select("rep", *sketch).mapInArrow(lambda it: _entries(it, places), "key long, rep long")
-    head = index.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("h"), F.col("rep").alias("head"))).alias("m"), F.count("*").alias("k")).filter("k > 1")
-    met = index.join(head.select("key", "m.head"), "key").filter("rep <> head")
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows become many: small tasks hold little
+    index = reps.filter("n > 0").select("rep", *SKETCH).repartition(parts).mapInArrow(lambda it: _entries(it, places), "key long, rep long")
+    head = index.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("k")).filter("k > 1")
+    met = index.join(head.select("key", "head"), "key").filter("rep <> head")
     met = met.select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(s).alias(f"{s}_{x}") for s in sketch))
+    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(s).alias(f"{s}_{x}") for s in SKETCH))
     pairs = met.join(side("a"), "a").join(side("b"), "b")
-    tally = sum(shared_bytes(F.col(f"{s}_a"), F.col(f"{s}_b")) for s in sketch)
-    bits = sum(F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in sketch)
+    tally = sum(shared_bytes(F.col(f"{s}_a"), F.col(f"{s}_b")) for s in SKETCH)
+    bits = sum(F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in SKETCH)
     pairs = pairs.filter((tally >= least_shared) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))).withColumn("bits", bits)
     pairs = stored(pairs.filter(F.col("bits") <= most_bits).select("a", "b", "n_a", "n_b", "bits"))
     sure = pairs.filter(F.col("bits") <= sure_bits).select("a", "b")

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from prunescan.llm.common import cut, sliced
+from prunescan.llm.common import cut, sliced, stored
 
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Lengths of stems, longest first.
@@ -97,22 +97,24 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in by)], ["token", "clean", "toxic"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, prior: float = 0.1, least_z: float = 4.0, max_features: int = 1 << 16) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, prior: float = 0.1, least_z: float = 4.0, max_features: int = 1 << 16, sent_rows: int = 1 << 20) -> Model:
     """Learn token scores from labelled rows: ``docs`` (doc_id, text), ``labels`` (doc_id, toxic).
 
-    Texts that are equal count once (toxic if any copy is), and so does a token in a text, however often it's
-    repeated there. A token's score is the difference of its log-odds
-    in toxic and clean texts, each smoothed by a Dirichlet prior in proportion to the token's share of all
-    text, with ``prior`` times all counts as its weight; stems of tokens are scored alike, so that a form not seen
-    in learning has its stem's score. Tokens whose difference is under ``least_z`` standard
-    errors share one score, the log ratio of how often such tokens occur, which is below zero. The model keeps
-    the ``max_features`` tokens of largest |z|; that bounds what is sent to the tasks. With no toxic or no
-    clean text the model is empty.
+    Texts that are equal count once (toxic if any copy is), and so does a token in a text. A token's score is the
+    difference of its log-odds in toxic and clean texts, each smoothed by a Dirichlet prior in proportion to the
+    token's share of all text, with ``prior`` times all counts as its weight. Stems are scored alike, so that a form
+    not seen in learning has its stem's score. Tokens whose difference is under ``least_z`` standard errors share one
+    score, the log ratio of how often such tokens occur, which is below zero. The model keeps the ``max_features``
+    tokens of largest |z|; that bounds what is sent to the tasks. The ids of the learning rows are sent to the tasks
+    up to ``sent_rows``, else the texts are joined to them by a shuffle. With no toxic or no clean text the model is
+    empty.
     """
     d = docs.select("doc_id", "text")
     y = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     once = d.select("doc_id", F.xxhash64("text").alias("k"), F.length("text").alias("n")).join(y, "doc_id")
     once = once.groupBy("k", "n").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).select("doc_id", "toxic")
+    once = stored(once)
+    once = F.broadcast(once) if once.count() <= sent_rows else once.hint("merge")
     counts = d.join(once, "doc_id").select("text", "toxic").mapInArrow(_counts, "token string, clean long, toxic long")
     counts = cut(counts.groupBy("token").agg(F.sum("clean").cast("double").alias("y0"), F.sum("toxic").cast("double").alias("y1")))
     n0, n1 = counts.filter(~F.endswith("token", F.lit("*"))).agg(F.sum("y0"), F.sum("y1")).first()
