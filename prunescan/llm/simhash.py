@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,12 +120,12 @@ def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return out.select(F.col("doc_id").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near duplicates by shingle similarity: the same index over a longer fingerprint.
+# Near duplicates by shingle similarity: an exact set-similarity join by prefixes.
 
-#: Bytes of the longer fingerprint, its 64-bit parts, and the salts that make them from one shingle hash.
-WIDE = 64
-SKETCH = [f"s{i}" for i in range(WIDE // 8)]
-SALTS = tuple(np.uint64((i + 1) * 0x9E3779B97F4A7C15 % 2**64) for i in range(WIDE // 8))
+#: The commonest shingles, at most this many, are sent to all tasks; they come last in the order of the prefixes.
+COMMON = 100_000
+#: Rows of a block: an entry's rows are paired block with block.
+BLOCK = 256
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
@@ -138,55 +139,63 @@ def shingle_set(text: bytes, k: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, k).view(np.int64))
 
 
-def _wide(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(text, doc_id) -> (doc_id, n, content, s0...): size and hash of the shingle set, and its 512-bit SimHash."""
+def _content(s: np.ndarray) -> int:
+    """64 bits that stand for a set of shingle hashes."""
+    return int(_spread(s.view(np.uint64)).sum(dtype=np.uint64).view(np.int64))
+
+
+def _texts(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in sliced(batches):
-        rows = []
-        for text in batch.column(0).cast(pa.binary()).to_pylist():
-            s = shingle_set(text or b"", k).view(np.uint64)
-            rows.append((len(s), int(_spread(s).sum(dtype=np.uint64).view(np.int64)), *(fingerprint(_spread(s + salt)) for salt in SALTS)))
-        cols = [pa.array(list(c), pa.int64()) for c in (zip(*rows) if rows else [[]] * (2 + len(SKETCH)))]
-        yield pa.RecordBatch.from_arrays([batch.column(1), *cols], ["doc_id", "n", "content", *SKETCH])
-
-
-def _places(n_bytes: int, n_keys: int) -> np.ndarray:
-    """``n_keys`` different sets of ``n_bytes`` byte positions, the same on every run."""
-    rng, sets = np.random.default_rng(7), set()
-    while len(sets) < n_keys:
-        sets.add(tuple(sorted(rng.choice(WIDE, n_bytes, replace=False).tolist())))
-    return np.array(sorted(sets))
-
-
-def _entries(batches: Iterator[pa.RecordBatch], places: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(rep, s0...) -> (key, rep): the index entries of the longer fingerprint."""
-    for batch in batches:
-        rep = np.asarray(batch.column(0))
-        bytes_ = np.stack([np.asarray(batch.column(i)) for i in range(1, 1 + len(SKETCH))], axis=1).view(np.uint8).reshape(-1, WIDE)
-        for at in range(0, len(rep), 2048):
-            own = bytes_[at : at + 2048][:, places].astype(np.uint64)
-            key = np.broadcast_to(np.arange(len(places), dtype=np.uint64), own.shape[:2]).copy()
-            for j in range(places.shape[1]):
-                key = (key << np.uint64(8)) | own[:, :, j]
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(rep[at : at + 2048], len(places)))], ["key", "rep"])
+        yield batch, [shingle_set(t or b"", k) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+
+
+def _sizes(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(text, doc_id) -> (doc_id, n, u): size and hash of the shingle set."""
+    for batch, sets in _texts(batches, k):
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([_content(s) for s in sets], pa.int64())], ["doc_id", "n", "u"])
+
+
+def _repeated(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(text) -> (key, c): shingles that several different sets of a slice hold. Only an order follows from it."""
+    for _, sets in _texts(batches, k):
+        key, c = np.unique(np.concatenate([np.empty(0, np.int64), *{_content(s): s for s in sets}.values()]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(key[c > 1]), pa.array(c[c > 1].astype(np.int64))], ["key", "c"])
+
+
+def needed(n: int, similarity: float) -> int:
+    """How many of its ``n`` shingles a set shares at least with any other of that similarity."""
+    return math.ceil(similarity * n - 1e-9)
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], k: int, similarity: float, common: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(text) -> (u, n, prefix): the first ``n - needed + 1`` shingles by count and hash."""
+    for _, sets in _texts(batches, k):
+        sets, out = [s for s in sets if len(s)], []
+        for s in sets:
+            at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+            c = np.where(common[at] == s, counts[at], 0) if len(common) else np.zeros(len(s), np.int64)
+            out.append(s[np.argsort(c, kind="stable")[: len(s) - needed(len(s), similarity) + 1]])
+        yield pa.RecordBatch.from_arrays([pa.array([_content(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["u", "n", "prefix"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches):
-        sets = [shingle_set(t or b"", k) for t in batch.column(0).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["rep", "shingles"])
+    for _, sets in _texts(batches, k):
+        yield pa.RecordBatch.from_arrays([pa.array([_content(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["u", "shingles"])
 
 
-def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, keys: int = 240, least_shared: int = 7, sure_bits: int = 52, most_bits: int = 110) -> DataFrame:
+def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Groups of rows connected by a Jaccard similarity of at least ``similarity`` of their ``shingle``-word sets.
 
-    64 bits are too few for this similarity (at 0.8 about 10 of 64 differ), so the fingerprint has 512 bits, 64
-    bytes. Rows of equal sets are one entry (``rep``). The inverted index is keyed by ``keys`` sets of byte
-    positions with the bytes there, three at a time, one more for each factor of 256 beyond 16 million
-    entries, with three times the sets. In each entry of the index all are paired with its smallest
-    id, so no group is listed pair by pair and much the same pairs come from all entries. Per pair the shared positional bytes are tallied:
-    ``least_shared`` go on, as do sizes and at most ``most_bits`` differing bits that the similarity allows.
-    Pairs within ``sure_bits`` are linked (a similarity below 0.8 gets there once in 600); of the others those
-    that don't yet hang together are verified by the exact similarity of their whole texts' shingles.
+    The search is exact; no SimHash takes part, as none bounds this similarity. All shingles have one order,
+    common ones last. Two sets that are similar enough share a shingle of both prefixes, the first
+    ``n - ceil(similarity n) + 1`` of the order, so an index of the prefixes makes all such pairs meet (at the first
+    shingle they share, where the sizes and what follows in both still allow the similarity). Equal sets
+    are one entry. Every link is verified on the whole sets.
+
+    Not all pairs of an entry need a look, as only what is connected counts. First each set is compared with the
+    smallest head (least member) of its entries, then with the heads of entries that the links so far leave
+    in several groups. In the entries that are still in several groups every pair of different groups is
+    compared, block by block, so none is left out.
 
     Returns the id column and ``component_id`` (smallest id of the group) for every row. Fewer words than a
     shingle are one shingle. Null and wordless texts have equal, empty sets and form one group. A null id
@@ -194,35 +203,47 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
     """
     last = F.lit(2**63 - 1)
     d = docs.select(F.col(text).cast("string").alias("text"), F.coalesce(F.col(doc_id).cast("long"), last).alias("doc_id"))
-    f = stored(d.mapInArrow(lambda it: _wide(it, shingle), "doc_id long, n long, content long, " + ", ".join(f"{s} long" for s in SKETCH)))
-    reps = stored(f.groupBy("n", "content").agg(F.min("doc_id").alias("rep"), *(F.min(s).alias(s) for s in SKETCH)))
-    n_bytes = max(3, -(-(reps.count().bit_length() - 1) // 8))
-    places = _places(n_bytes, keys * 3 ** (n_bytes - 3))
-    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows become many: small tasks hold little
-    index = reps.filter("n > 0").select("rep", *SKETCH).repartition(parts).mapInArrow(lambda it: _entries(it, places), "key long, rep long")
-    head = index.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("k")).filter("k > 1")
-    met = index.join(head.select("key", "head"), "key").filter("rep <> head")
-    met = met.select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(s).alias(f"{s}_{x}") for s in SKETCH))
-    pairs = met.join(side("a"), "a").join(side("b"), "b")
-    tally = sum(shared_bytes(F.col(f"{s}_a"), F.col(f"{s}_b")) for s in SKETCH)
-    bits = sum(F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in SKETCH)
-    pairs = pairs.filter((tally >= least_shared) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))).withColumn("bits", bits)
-    pairs = stored(pairs.filter(F.col("bits") <= most_bits).select("a", "b", "n_a", "n_b", "bits"))
-    sure = pairs.filter(F.col("bits") <= sure_bits).select("a", "b")
-    known = components(sure)
-    unsure = pairs.filter(F.col("bits") > sure_bits)
-    for x in ("a", "b"):
-        unsure = unsure.join(known.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")), x, "left").withColumn(f"c_{x}", F.coalesce(f"c_{x}", x))
-    unsure = stored(unsure.filter("c_a <> c_b").select("a", "b", "n_a", "n_b"))
-    wanted = unsure.select(F.col("a").alias("doc_id")).unionByName(unsure.select(F.col("b").alias("doc_id"))).distinct()
-    sets = stored(d.join(wanted, "doc_id", "left_semi").select("text", "doc_id").mapInArrow(lambda it: _sets(it, shingle), "rep long, shingles array<long>"))
-    both = unsure.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    found = both.filter(shared >= similarity * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
-    whole = components(sure.unionByName(found))
-    named = reps.select("n", "content", "rep").join(whole, F.col("rep") == F.col("node"), "left").select("n", "content", F.coalesce("component", "rep").alias("component_id"))
-    out = f.select("doc_id", "n", "content").join(named, ["n", "content"])
+    f = stored(d.mapInArrow(lambda it: _sizes(it, shingle), "doc_id long, n long, u long"))
+    reps = stored(f.groupBy("u").agg(F.min("doc_id").alias("rep")))
+    often = d.select("text").mapInArrow(lambda it: _repeated(it, shingle), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    often = often.orderBy(F.desc("c"), "key").limit(COMMON).toArrow().sort_by("key")
+    order = docs.sparkSession.sparkContext.broadcast((np.asarray(often.column("key")), np.asarray(often.column("c"))))
+    prefixes = d.select("text").mapInArrow(lambda it: _prefixes(it, shingle, similarity, *order.value), "u long, n long, prefix array<long>")
+    index = prefixes.dropDuplicates(["u"]).select("u", F.col("n").cast("int"), F.posexplode("prefix").alias("at", "key"))
+    crowded = index.groupBy("key").agg(F.min("u").alias("head"), F.count("*").alias("k")).filter("k > 1")
+    index = stored(index.join(crowded.select("key", "head"), "key"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct().join(reps, "u")
+        rows = d.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+        sets = rows.mapInArrow(lambda it: _sets(it, shingle), "u long, shingles array<long>").join(wanted.select("u"), "u", "left_semi").dropDuplicates(["u"])
+        both = pairs.join(sets.select(F.col("u").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("u").alias("b"), F.col("shingles").alias("y")), "b")
+        both = both.withColumn("shared", F.size(F.array_intersect("x", "y")))
+        return stored(both.filter(F.col("shared") + 1e-9 >= similarity * (F.size("x") + F.size("y") - F.col("shared"))).select("a", "b"))
+
+    def divided(links: DataFrame) -> DataFrame:
+        """The rows, with their group ``c``, of entries in several groups."""
+        rows = index.join(components(links).withColumnRenamed("node", "u"), "u", "left").withColumn("c", F.coalesce("component", "u")).drop("component")
+        several = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("k")).filter("low <> high")
+        return stored(rows.join(several.select("key", "k"), "key"))
+
+    links = verified(index.filter("u <> head").groupBy("u").agg(F.min("head").alias("a")).withColumnRenamed("u", "b"))
+    left = divided(links)
+    heads = left.filter("u = head").select("key", F.col("n").alias("n_a"), F.col("c").alias("c_a"))
+    pairs = left.join(heads, "key").filter((F.col("c") != F.col("c_a")) & (F.least("n", "n_a") + 1e-9 >= similarity * F.greatest("n", "n_a")))
+    links = links.unionByName(verified(pairs.select(F.col("head").alias("a"), F.col("u").alias("b"))))
+    left = divided(links).withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("u"), "blocks").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("u", "n", "at", "c")]
+    one, other = left.select("key", F.col("own").alias("i"), every.alias("j"), *side("a")), left.select("key", every.alias("i"), F.col("own").alias("j"), *side("b"))
+    shares = 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1)
+    may = (F.least("n_a", "n_b") + 1e-9 >= similarity * F.greatest("n_a", "n_b")) & (shares + 1e-9 >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")))
+    pairs = one.join(other, ["key", "i", "j"]).filter((F.col("u_a") < F.col("u_b")) & (F.col("c_a") != F.col("c_b")) & may)
+    whole = components(links.unionByName(verified(pairs.select(F.col("u_a").alias("a"), F.col("u_b").alias("b")))))
+    named = reps.join(whole, F.col("u") == F.col("node"), "left").select("u", "rep", F.coalesce("component", "u").alias("c"))
+    names = named.groupBy("c").agg(F.min("rep").alias("component_id"))
+    out = f.select("doc_id", "u").join(named.join(names, "c").select("u", "component_id"), "u")
     back = lambda c: F.when(F.col(c) != last, F.col(c))
     return out.select(back("doc_id").alias(doc_id), back("component_id").alias("component_id"))
 

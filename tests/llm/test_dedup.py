@@ -139,6 +139,29 @@ def test_a_large_group_of_near_copies(spark):
     assert [r.component_id for r in simhash.near_groups(df).select("component_id").distinct().collect()] == [0]
 
 
+def test_near_groups_are_those_of_brute_force(spark, monkeypatch):
+    """Pairs close to the threshold, and a family that shares a passage, in which single links hide among many unlike texts."""
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rng, texts, passage = random.Random(8), [], prose(1, 60).split()
+    for k in range(60):
+        base = prose(500 + k, 100).split()
+        copy = list(base)
+        for at in rng.sample(range(100), 2 + k % 3):
+            copy[at] = f"edit{rng.randint(0, 999)}"
+        texts += [" ".join(base), " ".join(copy)]
+    for k in range(200):  # passage shared by all; every fifth text has a copy with one more edit
+        own = prose(900 + k, 16).split()
+        texts.append(" ".join(passage + own))
+        if k % 5 == 0:
+            texts.append(" ".join(passage + own[:8] + ["edit"] + own[9:]))
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(simhash.shingle_set(t.encode(), 5).tolist()) for t in texts]
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(df).collect()}
+    assert got == grouped(range(len(texts)), pairs)
+
+
 def brute_kept(docs, window=13):
     first, out = {}, {}
     for i, t in sorted(docs):
