@@ -33,15 +33,23 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
-def _assigned(batches: Iterator[pa.RecordBatch], centres: np.ndarray, margin: float) -> Iterator[pa.RecordBatch]:
-    """(did, m, v) -> one row for the home cell (home true) and one for every cell about as near."""
+def _assigned(batches: Iterator[pa.RecordBatch], centres: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+    """(did, m, v) -> one row for the home cell (home true) and one for every visited cell; ``visits`` is a bit a cell.
+
+    Linked vectors are at most ``sqrt(2 (1 - least))`` apart and lie on either side of the plane between their homes
+    ``c_i`` and ``c_j``, so one of them is within half of that of the plane: it visits the other's home.
+    """
+    square = (centres**2).sum(axis=1)
+    reach = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * centres @ centres.T, 0)) * np.sqrt((1 - least) / 2) + 1e-6
     for batch in batches:
         if batch.num_rows:
             score = _matrix(batch.column("v")) @ centres.T
             best = score.argmax(axis=1)
-            row, cell = np.nonzero(score >= score.max(axis=1, keepdims=True) - margin)
+            near = score >= score.max(axis=1, keepdims=True) - reach[best]
+            row, cell = np.nonzero(near)
+            visits = pa.array([bits.tobytes() for bits in np.packbits(near, axis=1)], pa.binary())
             kept = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(best[row] == cell), *kept.columns], ["cell", "home", *kept.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(best[row] == cell), pa.array(best[row]), visits.take(pa.array(row)), *kept.columns], ["cell", "home", "own", "visits", *kept.schema.names])
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -63,50 +71,55 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _compared(t: pa.Table, least: float) -> pa.Table:
-    """Links of one block of home vectors with one block of vectors of their cell: counts by home vector, and a forest."""
+    """Links of one block of home vectors with one block of vectors of their cell: counts, and a forest.
+
+    A link counts for the home vector; for the visitor the cell of its own home counts it if the home vector
+    visits that, else it is counted here.
+    """
     home = np.asarray(t.column("side")) == 0
     did, m, v = np.asarray(t.column("did")), np.asarray(t.column("m")), _matrix(t.column("v"))
     linked = v[home] @ v[~home].T >= least
     linked &= did[home][:, None] != did[~home][None, :]
     n = linked @ m[~home]
+    visits = np.unpackbits(np.frombuffer(b"".join(t.column("visits").filter(pa.array(home)).to_pylist()), np.uint8).reshape(home.sum(), -1), axis=1)
+    once = (linked & (visits[:, np.asarray(t.column("own"))[~home]] == 0)).T @ m[home]
     i, j = np.nonzero(linked)
     edges = _forest(did[home][i], did[~home][j])
+    dids, n = np.concatenate([did[home], did[~home]]), np.concatenate([n, once])
     some = n > 0
-    a = np.concatenate([did[home][some], np.array([e[0] for e in edges], np.int64)])
+    a = np.concatenate([dids[some], np.array([e[0] for e in edges], np.int64)])
     b = np.concatenate([np.full(some.sum(), -1), np.array([e[1] for e in edges], np.int64)])
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(np.concatenate([n[some], np.zeros(len(edges), np.int64)]), pa.int64())})
 
 
-def _links(d: DataFrame, least: float, cell_rows: int, most_cells: int, reach: float) -> DataFrame:
+def _links(d: DataFrame, least: float, cell_rows: int, most_cells: int) -> DataFrame:
     """``a, b, n`` for distinct vectors ``did, m, v`` of one dimension: link counts (b is -1) and connecting edges."""
     spark = d.sparkSession
     k = max(1, min(most_cells, d.count() // cell_rows))
     sample = d.orderBy(F.xxhash64("v"), "did").limit(32 * k).select("v").toArrow()
     centres = _matrix(sample.column("v"))
-    margin = reach * 1.3 * float(np.sqrt(2 * (1 - least) / centres.shape[1]))
     centres = spark.sparkContext.broadcast(spherical_kmeans(centres, k))
     kind = d.schema["v"].dataType.simpleString()
-    placed = stored(d.mapInArrow(lambda it: _assigned(it, centres.value, margin), f"cell long, home boolean, did long, m long, v {kind}"))
+    placed = stored(d.mapInArrow(lambda it: _assigned(it, centres.value, least), f"cell long, home boolean, own long, visits binary, did long, m long, v {kind}"))
     sizes = placed.groupBy("cell").agg(F.count_if("home").alias("h"), F.count("*").alias("all")).collect()  # one row a cell
     cuts = {side: F.create_map(*(F.lit(x) for r in sizes for x in (r.cell, -(-r[side] // BLOCK)))) for side in ("h", "all")}
     part = lambda side: F.pmod(F.xxhash64("did"), F.greatest(F.element_at(cuts[side], F.col("cell")), F.lit(1)))
     every = lambda side: F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.element_at(cuts[side], F.col("cell")), F.lit(1)).cast("long") - 1))
-    homes = placed.filter("home").select("cell", part("h").cast("long").alias("i"), every("all").alias("j"), F.lit(0).alias("side"), "did", "m", "v")
-    others = placed.select("cell", every("h").alias("i"), part("all").cast("long").alias("j"), F.lit(1).alias("side"), "did", "m", "v")
+    homes = placed.filter("home").select("cell", part("h").cast("long").alias("i"), every("all").alias("j"), F.lit(0).alias("side"), "own", "visits", "did", "m", "v")
+    others = placed.select("cell", every("h").alias("i"), part("all").cast("long").alias("j"), F.lit(1).alias("side"), "own", "visits", "did", "m", "v")
     pairs = homes.unionByName(others).groupBy("cell", "i", "j")
     return pairs.applyInArrow(lambda t: _compared(t, least), "a long, b long, n long")
 
 
-def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.9, cell_rows: int = 1000, most_cells: int = 1024, reach: float = 2.5) -> DataFrame:
+def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.9, cell_rows: int = 1000, most_cells: int = 1024) -> DataFrame:
     """Links of cosine ``least`` or more: the id column, ``n_links``, ``component_id``, ``kept`` for every input row.
 
     Equal vectors, however many, are compared once with their number as weight. Centres are fitted on the 32
-    vectors a cell of smallest hash (a bounded sample); every vector has one home cell and visits all cells that
-    score not far below it: ``reach`` standard deviations of what the difference of two linked vectors, at most
-    ``sqrt(2 (1 - least))`` long, changes in the scores of two centres about 1.3 apart. A home vector is compared with all that are in its cell, in blocks of
-    ``BLOCK`` rows, so a crowded cell is many tasks. Every product is exact in double precision, so no link
-    is wrong; a link is missed only if a vector doesn't visit the other's home (none of the links of the test
-    tables is).
+    vectors a cell of smallest hash (a bounded sample); every vector has one home cell and visits all cells to
+    whose dividing plane it is nearer than half the distance of two vectors that only just link. Of two linked
+    vectors at least one visits the other's home, whatever the data and their dimension, so no link is missed. A
+    home vector is compared with all that are in its cell, in blocks of ``BLOCK`` rows, so a crowded cell is
+    many tasks. Every product is exact in double precision, so no link is wrong.
 
     ``n_links`` counts other rows; ``component_id`` is the smallest id reachable; ``kept`` marks the row whose id
     that is. Vectors that are null, empty, zero, or hold null or non-finite components have no links and are
@@ -120,7 +133,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     d = stored(same.withColumn("did", F.monotonically_increasing_id()))
     links = None
     for r in d.groupBy(F.size("v").alias("n")).count().collect():
-        one = _links(d.filter(F.size("v") == r.n).select("did", "m", "v"), least, cell_rows, most_cells, reach)
+        one = _links(d.filter(F.size("v") == r.n).select("did", "m", "v"), least, cell_rows, most_cells)
         links = one if links is None else links.unionByName(one)
     if links is None:
         links = d.select(F.col("did").alias("a"), F.col("did").alias("b"), F.lit(0).alias("n")).limit(0)

@@ -99,6 +99,15 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_low_rank_vectors_in_a_high_dimension(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(500, 16))
+    partners = base[:250] + rng.normal(size=(250, 16)) * np.linspace(0.3, 0.55, 250)[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(np.pad(np.concatenate([base, partners]), ((0, 0), (0, 112))))]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cell_rows=15)
+    assert sorted(map(tuple, got.collect())) == brute_vectors(rows)
+
+
 def test_crowded_cells_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
     rng = np.random.default_rng(3)
