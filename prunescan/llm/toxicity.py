@@ -18,8 +18,8 @@ from prunescan.llm.common import cut, sliced, stored
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Lengths of stems, longest first.
 STEMS = (5, 4)
-#: Width of the calibration's steps and their range.
-STEP, LOW, HIGH = 0.25, -30.0, 60.0
+#: Width of the calibration's steps, and the statistic of texts without tokens, which is under that of any other.
+STEP, LOW = 0.25, -1e6
 
 
 @dataclass(frozen=True)
@@ -57,13 +57,15 @@ def stems(word: str) -> list[str]:
 
 
 def segments(hits: list[tuple[int, float]], other: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, end, score) in one pass over a sequence.
+    """All maximal scoring segments (first, end, score) in one pass of linear time over a sequence.
 
     ``hits`` are places with their scores in order; every place between scores ``other`` (negative). Each
     positive place opens a segment, which swallows the earlier ones from the nearest that started lower as
-    long as those ended lower too; what remains are the segments that no extension improves.
+    long as those ended lower too; what remains are the segments that no extension improves. Every segment
+    keeps the index of the nearest one that started lower, so a search steps from one to the next and never
+    comes back to those between: they started higher, and so can't be what a later search looks for.
     """
-    open_: list[tuple[float, float, int, int]] = []  # sum before, sum after, first place, end
+    open_: list[tuple[float, float, int, int, int]] = []  # sum before, sum after, first place, end, nearest that started lower
     total, at = 0.0, 0
     for place, score in hits:
         total += other * (place - at)
@@ -71,17 +73,17 @@ def segments(hits: list[tuple[int, float]], other: float) -> list[tuple[int, int
         before, total = total, total + score
         if score <= 0:
             continue
-        low, first = before, place
+        low, first, j = before, place, len(open_) - 1
         while True:
-            j = len(open_) - 1
             while j >= 0 and open_[j][0] >= low:
-                j -= 1
+                j = open_[j][4]
             if j < 0 or open_[j][1] >= total:
                 break
-            low, first = open_[j][0], open_[j][2]
+            low, _, first, _, lower = open_[j]
             del open_[j:]
-        open_.append((low, total, first, place + 1))
-    return [(first, end, after - low) for low, after, first, end in open_]
+            j = lower
+        open_.append((low, total, first, place + 1, j))
+    return [(first, end, after - low) for low, after, first, end, _ in open_]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,25 +99,27 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in by)], ["token", "clean", "toxic"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, prior: float = 0.1, least_z: float = 4.0, max_features: int = 1 << 16, sent_rows: int = 1 << 20) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, prior: float = 0.1, least_z: float = 4.0, most_rows: int = 1 << 20) -> Model:
     """Learn token scores from labelled rows: ``docs`` (doc_id, text), ``labels`` (doc_id, toxic).
 
     Texts that are equal count once (toxic if any copy is), and so does a token in a text. A token's score is the
     difference of its log-odds in toxic and clean texts, each smoothed by a Dirichlet prior in proportion to the
     token's share of all text, with ``prior`` times all counts as its weight. Stems are scored alike, so that a form
     not seen in learning has its stem's score. Tokens whose difference is under ``least_z`` standard errors share one
-    score, the log ratio of how often such tokens occur, which is below zero. The model keeps the ``max_features``
-    tokens of largest |z|; that bounds what is sent to the tasks. The ids of the learning rows are sent to the tasks
-    up to ``sent_rows``, else the texts are joined to them by a shuffle. With no toxic or no clean text the model is
-    empty.
+    score, the log ratio of how often such tokens occur, which is below zero. All such tokens are in the model.
+
+    With more than ``most_rows`` labelled rows the classifier is fitted on a sample of about that many, those whose
+    id has the least hash. This bounds the ids that are sent to the tasks, and with them the tokens that can reach
+    ``least_z`` and so the model. With no toxic or no clean text the model is empty.
     """
     d = docs.select("doc_id", "text")
     y = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    share = most_rows / max(1, y.count())
+    if share < 1:
+        y = y.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
     once = d.select("doc_id", F.xxhash64("text").alias("k"), F.length("text").alias("n")).join(y, "doc_id")
     once = once.groupBy("k", "n").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).select("doc_id", "toxic")
-    once = stored(once)
-    once = F.broadcast(once) if once.count() <= sent_rows else once.hint("merge")
-    counts = d.join(once, "doc_id").select("text", "toxic").mapInArrow(_counts, "token string, clean long, toxic long")
+    counts = d.join(F.broadcast(stored(once)), "doc_id").select("text", "toxic").mapInArrow(_counts, "token string, clean long, toxic long")
     counts = cut(counts.groupBy("token").agg(F.sum("clean").cast("double").alias("y0"), F.sum("toxic").cast("double").alias("y1")))
     n0, n1 = counts.filter(~F.endswith("token", F.lit("*"))).agg(F.sum("y0"), F.sum("y1")).first()
     if not n0 or not n1:
@@ -124,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float = 0.1, least_z: float =
     odds = lambda y, n: F.log((F.col(y) + a) / (n + a0 - F.col(y) - a))
     z = (odds("y1", n1) - odds("y0", n0)) / F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a))
     kept = counts.withColumns({"score": odds("y1", n1) - odds("y0", n0), "z": z, "p0": (F.col("y0") + a) / (n0 + a0), "p1": (F.col("y1") + a) / (n1 + a0)})
-    kept = kept.filter(F.abs("z") >= least_z).orderBy(F.abs("z").desc(), "token").limit(max_features).collect()
+    kept = kept.filter(F.abs("z") >= least_z).select("token", "score", "p0", "p1").orderBy("token").collect()  # bounded by the sample
     scores = {r.token: r.score for r in kept}
     top = [r for r in kept if not any(t in scores for t in stems(r.token.rstrip("*")))]  # what has no stem in the model
     rest = max(1e-9, 1 - sum(r.p1 for r in top)), max(1e-9, 1 - sum(r.p0 for r in top))
@@ -160,7 +164,7 @@ def _scan(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Record
 def _calibrated(batches: Iterator[pa.RecordBatch], at: list[float], rate: list[float]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = np.asarray(batch.column(0))
-        score = 0.998 * np.interp(x, at, rate) + 0.002 / (1 + np.exp(-x / 8)) if at else np.zeros(len(x))
+        score = 0.998 * np.interp(x, at, rate) + 0.001 * (1 + x / (8 + np.abs(x))) if at else np.zeros(len(x))  # beyond the last step still in order
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score)], [*batch.schema.names[1:], "score"])
 
 
@@ -208,8 +212,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_i
     log_k = (gumbel if gumbel is not None else 0.0) - 0.5772156649015329  # the mean of a standard Gumbel variable
     excess = lambda s: model.rate * s - log_k - F.log(F.greatest("n_tokens", F.lit(1)))
     rare = F.aggregate("segments", F.lit(0.0), lambda t, s: t + F.greatest(excess(s["score"]), F.lit(0.0)))
-    stat = F.when(F.col("n_tokens") == 0, F.lit(LOW)).when(rare > 0, rare).otherwise(excess(best))
-    seen = seen.withColumn("stat", F.least(F.greatest(stat, F.lit(LOW)), F.lit(HIGH)))
+    seen = seen.withColumn("stat", F.when(F.col("n_tokens") == 0, F.lit(LOW)).when(rare > 0, rare).otherwise(excess(best)))
     steps = seen.join(learn, "doc_id").groupBy((F.floor(F.col("stat") / STEP) * STEP + STEP / 2).alias("x")).agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect()
     at, rate = _monotone([(r.x, r.n, int(r.t)) for r in steps]) if model.scores else ([], [])
     chance = lambda s: 1 - F.exp(-F.exp(-excess(s["score"])))

@@ -1,8 +1,12 @@
 """Decontamination, surrogates, toxicity, URL rules, token counts."""
 
+import collections
 import itertools
+import math
 import random
 import re
+import time
+import zlib
 
 import numpy as np
 import pytest
@@ -156,6 +160,19 @@ def test_segments():
         assert sorted(round(s, 6) for *_, s in got) == sorted(s for *_, s in brute(scores))
 
 
+def test_segments_take_linear_time():
+    """Rising, falling and random scores: four times the hits take about four times as long, not sixteen."""
+    def took(n, score):
+        rng, began = random.Random(5), time.perf_counter()
+        toxicity.segments([(2 * i, score(rng, i)) for i in range(n)], -0.5)
+        return time.perf_counter() - began
+
+    for score in (lambda r, i: r.uniform(0.1, 1), lambda r, i: 1 + i % 2, lambda r, i: 0.4, lambda r, i: 1 / (i + 1), lambda r, i: r.uniform(-1, 1)):
+        took(1000, score)
+        small, large = min(took(16_000, score) for _ in range(3)), min(took(64_000, score) for _ in range(3))
+        assert small < 0.5 and large < 10 * small
+
+
 def labelled(spark, n=900):
     rng, docs, labels = random.Random(12), [], []
     for i in range(n):
@@ -183,6 +200,83 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
 
 
+def brute_scores(docs, labels):
+    """The operator's definition over plain lists, segments by trying every pair of ends."""
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i, _ in docs}
+    learn = {i: y for i, y in labels if not held[i]}
+    by_text = {}
+    for i, t in docs:
+        if i in learn:
+            by_text[t] = max(by_text.get(t, 0), learn[i])
+    count = (collections.Counter(), collections.Counter())
+    for t, y in by_text.items():
+        kinds = collections.Counter(set(toxicity.tokens(t)))
+        for w in list(kinds):
+            for s in toxicity.stems(w):
+                kinds[s] += 1
+        count[y].update(kinds)
+    n = [sum(c for w, c in k.items() if not w.endswith("*")) for k in count]
+    scores, p = {}, {}
+    for w in count[0] | count[1]:
+        a, a0, y = 0.1 * (count[0][w] + count[1][w]), 0.1 * sum(n), (count[0][w], count[1][w])
+        odds = [math.log((y[k] + a) / (n[k] + a0 - y[k] - a)) for k in (0, 1)]
+        if abs(odds[1] - odds[0]) / math.sqrt(1 / (y[1] + a) + 1 / (y[0] + a)) >= 4:
+            scores[w], p[w] = odds[1] - odds[0], [(y[k] + a) / (n[k] + a0) for k in (0, 1)]
+    top = [w for w in scores if not any(s in scores for s in toxicity.stems(w.rstrip("*")))]
+    other = min(-1e-3, math.log((1 - sum(p[w][1] for w in top)) / (1 - sum(p[w][0] for w in top))))
+    shares = [p[w][0] for w in top] + [1 - sum(p[w][0] for w in top)]
+    excess = lambda x: sum(s * math.exp(x * v) for s, v in zip(shares, [scores[w] for w in top] + [other])) - sum(shares)
+    low, high = 1e-3, 50.0
+    for _ in range(200):
+        low, high = (low, (low + high) / 2) if excess((low + high) / 2) > 0 else ((low + high) / 2, high)
+    rate = low
+
+    def pieces(x, at=0):
+        best = max(((round(sum(x[i:j]), 9), i - j, -i) for i in range(len(x)) for j in range(i + 1, len(x) + 1)), default=(0,))
+        if best[0] <= 0:
+            return []
+        i, j = -best[2], -best[2] - best[1]
+        return [*pieces(x[:i]), best[0], *pieces(x[j:])]
+
+    value = lambda w: next((scores[k] for k in (w, *toxicity.stems(w)) if k in scores), other)
+    texts = {i: toxicity.tokens(t) for i, t in docs}
+    found = {i: pieces([value(w) for w in ws]) for i, ws in texts.items()}
+    clean = [rate * max(found[i], default=0) - math.log(len(texts[i])) for i, y in learn.items() if not y and texts[i]]
+    log_k = sum(clean) / len(clean) - 0.5772156649015329
+    stat = {}
+    for i, ws in texts.items():
+        over = [rate * s - log_k - math.log(max(1, len(ws))) for s in found[i] or [0.0]]
+        stat[i] = toxicity.LOW if not ws else sum(x for x in over if x > 0) or max(over)
+    steps = collections.defaultdict(lambda: [0, 0])
+    for i, y in learn.items():
+        at = math.floor(stat[i] / toxicity.STEP) * toxicity.STEP + toxicity.STEP / 2
+        steps[at][0] += 1
+        steps[at][1] += y
+    mean = sum(t for _, t in steps.values()) / sum(r for r, _ in steps.values())
+    xs = sorted(steps)
+    ys = [(steps[x][1] + mean) / (steps[x][0] + 1) for x in xs]
+    weight = [steps[x][0] + 1 for x in xs]
+    fit = [max(min(sum(y * w for y, w in zip(ys[a:b], weight[a:b])) / sum(weight[a:b]) for b in range(k + 1, len(xs) + 1)) for a in range(k + 1)) for k in range(len(xs))]
+    return {i: 0.998 * float(np.interp(x, xs, fit)) + 0.001 * (1 + x / (8 + abs(x))) for i, x in stat.items()}
+
+
+def test_scores_are_those_of_the_definition(spark):
+    rng = random.Random(12)
+    docs, labels = [], []
+    for i in range(260):
+        words = [rng.choice(WORDS) for _ in range(rng.randint(0, 25))]
+        toxic = i % 4 == 0
+        if toxic:
+            for _ in range(rng.randint(1, 4)):
+                words.insert(rng.randint(0, len(words)), rng.choice(["vile", "scumbag", "scumbags", "horrid"]))
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    want = brute_scores(docs, labels)
+    got = toxicity.score_toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert len(got) == len(docs) and all(abs(r.score - want[r.doc_id]) < 1e-6 for r in got)
+    assert max(want.values()) > 0.6 and min(want.values()) < 0.2
+
+
 def test_held_out_labels_are_not_used(spark):
     docs, labels, _ = labelled(spark, 300)
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
