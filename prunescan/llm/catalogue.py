@@ -12,6 +12,9 @@ from prunescan.llm.common import table
 #: Vocabulary of op10: its pieces and scores, read as a unigram model.
 TOKENIZER = os.environ.get("PRUNESCAN_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.model")
 
+#: Key of the surrogates where the session's ``prunescan.pii.key`` is unset: for the synthetic tables only.
+SYNTHETIC_KEY = "synthetic tables"
+
 #: The rules of op9, fixed by its contract: host, path, verdict.
 URL_RULES = [
     ("org", "/", "allow"),
@@ -22,6 +25,11 @@ URL_RULES = [
 ]
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    """The session's key of the surrogates."""
+    return spark.conf.get("prunescan.pii.key", SYNTHETIC_KEY).encode()
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, groups and kept vectors of all embeddings."""
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -46,7 +54,7 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with personal data replaced by surrogates."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    masked = pii.mask(docs, entities_col="entities")
+    masked = pii.mask(docs, key=pii_key(spark), entities_col="entities")
     return masked.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"))
 
 

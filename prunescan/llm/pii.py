@@ -3,8 +3,8 @@
 A surrogate is the image of the entity under a keyed permutation of all values of its format. So equal entities
 have equal surrogates in every document, different ones have different surrogates, and no table of entities is
 kept or shuffled. The collision checks that this rests on are made where it could fail: values that leave
-their format walk on along the permutation, small domains use a shift that moves every value, and
-``collisions`` audits a masked corpus.
+their format (or names that land among the listed ones) walk on along the permutation, small domains use a shift
+that moves every value, every slice of rows is checked as it is masked, and ``collisions`` audits a masked corpus.
 """
 
 from __future__ import annotations
@@ -50,9 +50,14 @@ PATTERNS = (
     ("card", re.compile(r"(?<![\w.])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{13,19})(?![\w]|\.\d)")),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("phone", re.compile(r"(?<![\w.+(])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w]|\.\d)")),
+    ("phone", re.compile(r"(?<![\w.+(/-])0\d{2,4}[ /-]\d{3,4}[ -]?\d{3,5}(?![\w]|\.\d)")),
     ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")),
+    ("ip6", re.compile(r"(?<![\w:.])(?=[\da-fA-F:]*\d)(?:(?:[\da-fA-F]{1,4}:){7}[\da-fA-F]{1,4}|(?:[\da-fA-F]{1,4}:){2,6}(?::[\da-fA-F]{1,4}){1,5}|[\da-fA-F]{1,4}:(?::[\da-fA-F]{1,4}){2,6})(?![\w:])")),
 )
 PERSON = re.compile(rf"(?<!\w)(?:(?P<title>{'|'.join(TITLES)})\.? (?P<a>{_NAME})(?: (?P<b>{_NAME}))?|(?P<c>{'|'.join(_GENDER)}) (?P<d>{_NAME}))(?!\w)", re.IGNORECASE)
+#: Phrases after which a capitalised name stands, whether it is listed or not.
+INTRODUCED = re.compile(rf"(?<!\w)(?i:my name is|name:|contact:|author:|from:|attn:|signed,|sincerely,|regards,|yours,|ich heiße|je m'appelle|me llamo|меня зовут)\s+(?P<a>{_NAME})(?: (?P<b>{_NAME}))?(?!\w)")
+WORD = re.compile(_NAME)
 HINT = re.compile(r"[\d@]")
 
 
@@ -152,11 +157,32 @@ def _ip(text: str, key: bytes) -> str:
     return ".".join(reversed(out))
 
 
+def _ip6(text: str, key: bytes) -> str:
+    """Hexadecimal digits change; a group's leading digit stays zero or other than zero."""
+    first = lambda i: i == 0 or text[i - 1] == ":"
+    places = [(i, 15 if first(i) else 16) for i, c in enumerate(text) if c != ":" and not (first(i) and c == "0")]
+    value, size, out = 0, 1, list(text.lower())
+    for i, base in places:
+        value, size = value * base + int(text[i], 16) - (base == 15), size * base
+    shape = "".join(c if c == ":" or first(i) and c == "0" else "x" for i, c in enumerate(text))
+    value = permute(value, size, key, f"ip6/{shape}")
+    for i, base in reversed(places):
+        value, at = divmod(value, base)
+        out[i] = f"{at + (base == 15):x}"
+    new = "".join(out)
+    return new.upper() if any(c in "ABCDEF" for c in text) else new
+
+
+def _check_digits(country: str, body: str) -> int:
+    return 98 - int("".join(str(int(c, 36)) for c in f"{body}{country}00")) % 97
+
+
 def _iban(text: str, key: bytes) -> str:
+    """Check digits that are right stay right, wrong ones stay as far off: two numbers that differ there only keep differing."""
     plain = text.replace(" ", "")
-    body = _mapped(plain[4:], key, "iban" + plain[:2])
-    number = int("".join(str(int(c, 36)) for c in body + plain[:2] + "00"))
-    new = iter(plain[:2] + f"{98 - number % 97:02d}" + body)
+    country, body = plain[:2], _mapped(plain[4:], key, "iban" + plain[:2])
+    off = int(plain[2:4]) - _check_digits(country, plain[4:])
+    new = iter(country + f"{(_check_digits(country, body) + off) % 100:02d}" + body)
     return "".join(c if c == " " else next(new) for c in text)
 
 
@@ -177,44 +203,87 @@ def _as_case(text: str, new: str) -> str:
     return new.upper() if text.isupper() and len(text) > 1 else new.capitalize() if text[:1].isupper() else new
 
 
-def given_name(text: str, key: bytes) -> str:
-    """Another given name of the same gender and script; an unlisted one is changed letter by letter."""
+def person_name(text: str, key: bytes) -> str:
+    """Another name of the same script and case: of the same gender if the given name is listed, else changed letter by letter.
+
+    Listed names are exchanged among themselves. Others walk on along the permutation until they reach a name that
+    isn't listed either, so no two names have one surrogate.
+    """
     names = GIVEN.get(_GENDER.get(text.lower(), ""))
-    if names is None:
-        return _mapped(text, key, "name")
-    return _as_case(text, names[permute(names.index(text.lower()), len(names), key, f"given/{_GENDER[text.lower()]}")])
+    if names is not None:
+        return _as_case(text, names[permute(names.index(text.lower()), len(names), key, f"given/{_GENDER[text.lower()]}")])
+    new = _mapped(text, key, "name")
+    while new.lower() in _GENDER:
+        new = _mapped(new, key, "name")
+    return new
+
+
+SURROGATES = {"email": _email, "iban": _iban, "card": _card, "ssn": lambda t, key: _mapped(t, key, "ssn"), "phone": _phone, "ip": _ip, "ip6": _ip6, "person": person_name}
 
 
-SURROGATES = {"email": _email, "iban": _iban, "card": _card, "ssn": lambda t, key: _mapped(t, key, "ssn"), "phone": _phone, "ip": _ip}
+def normal(kind: str, text: str) -> str:
+    """What spellings of one entity have in common."""
+    if kind in ("phone", "card", "ssn"):
+        digits = "".join(filter(str.isdigit, text))
+        return digits[-10:] if kind == "phone" else digits
+    return text.replace(" ", "").lower() if kind == "iban" else text.lower()
+
+
+def _persons(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of names: after a title, after a listed given name, after a phrase that introduces one."""
+    for m in PERSON.finditer(text):
+        names = [g for g in ("a", "b", "c", "d") if m[g] and m[g][:1].isupper()]
+        if names and not (m["c"] and "d" not in names) and not (m["a"] and "a" not in names):
+            yield from map(m.span, names)
+    for m in INTRODUCED.finditer(text):
+        if m["a"][:1].isupper():
+            yield from (m.span(g) for g in ("a", "b") if m[g] and m[g][:1].isupper())
 
 
 def entities(text: str, key: bytes) -> list[Entity]:
-    """The entities of a text in order, not overlapping; an earlier pattern wins where two overlap."""
+    """The entities of a text in order, not overlapping; an earlier pattern wins where two overlap.
+
+    Names found once are looked for in the whole text, so that a later bare surname is the same person.
+    """
     found: list[Entity] = []
-    taken: list[tuple[int, int]] = []
+    taken = bytearray(len(text))
+
+    def take(kind: str, first: int, end: int) -> None:
+        if taken.find(1, first, end) < 0:
+            taken[first:end] = b"\x01" * (end - first)
+            found.append(Entity(kind, first, end, SURROGATES[kind](text[first:end], key)))
+
     if HINT.search(text):
         for kind, pattern in PATTERNS:
             for m in pattern.finditer(text):
-                if all(m.end() <= a or m.start() >= b for a, b in taken):
-                    taken.append(m.span())
-                    found.append(Entity(kind, *m.span(), SURROGATES[kind](m[0], key)))
-    for m in PERSON.finditer(text):
-        names = [g for g in ("a", "b", "c", "d") if m[g] and m[g][:1].isupper()]
-        if not names or m["c"] and "d" not in names or m["a"] and "a" not in names:
-            continue
-        for g in names:
-            first = g == "c" or g == "a" and m[g].lower() in _GENDER
-            if all(m.end(g) <= a or m.start(g) >= b for a, b in taken):
-                found.append(Entity("person", *m.span(g), given_name(m[g], key) if first else _mapped(m[g], key, "name")))
+                take(kind, *m.span())
+    names = set()
+    for first, end in list(_persons(text)):
+        names.add(text[first:end].lower())
+        take("person", first, end)
+    if names:
+        for m in WORD.finditer(text):
+            if m[0][:1].isupper() and len(m[0]) > 1 and m[0].lower() in names:
+                take("person", *m.span())
     return sorted(found, key=lambda e: e.first)
 
 
+def _checked(seen: dict, text: str, found: list[Entity]) -> None:
+    """Raise if two entities of the rows seen so far share a surrogate, or one entity has two."""
+    for e in found:
+        one, other = normal(e.kind, text[e.first : e.end]), normal(e.kind, e.surrogate)
+        if seen.setdefault((e.kind, "of", other), one) != one or seen.setdefault((e.kind, "for", one), other) != other:
+            raise RuntimeError(f"two {e.kind} entities share a surrogate, or one has two")
+
+
 def _masked(batches: Iterator[pa.RecordBatch], key: bytes) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("first", pa.int32()), ("end", pa.int32()), ("original", pa.string()), ("surrogate", pa.string())]))
     for batch in sliced(batches):
-        texts, found = [], []
+        texts, found, seen = [], [], {}
         for text in batch.column(0).to_pylist():
             own = entities(text, key) if text else []
+            if own:
+                _checked(seen, text, own)
             found.append([{"kind": e.kind, "first": e.first, "end": e.end, "original": text[e.first : e.end], "surrogate": e.surrogate} for e in own])
             if own:
                 parts, at = [], 0
@@ -226,18 +295,27 @@ def _masked(batches: Iterator[pa.RecordBatch], key: bytes) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string()), pa.array(found, kind)], [*batch.schema.names[1:], "masked", "found"])
 
 
-def mask(docs: DataFrame, text: str = "text", key: bytes = b"prunescan", entities_col: str | None = None) -> DataFrame:
+def mask(docs: DataFrame, text: str = "text", key: bytes | None = None, entities_col: str | None = None) -> DataFrame:
     """Replace personal data in ``text`` by surrogates; all other columns stay, in their order.
 
-    Kinds: e-mail addresses, IBANs, card numbers, social security numbers, phone numbers, IPv4 addresses, and persons named
-    by a title or a listed given name. Surrogates keep length, punctuation, case, script, country code or
-    brand, top-level domain, check-digit validity, and the gender of given names. ``key`` decides them: give the
-    same key for coreference across runs, another one for unlinkable copies.
+    Kinds: e-mail addresses, IBANs, card numbers, social security numbers, phone numbers, IPv4 and IPv6 addresses, and
+    persons named by a title, a listed given name or a phrase that introduces a name; a name found in a text is
+    replaced wherever it stands in that text, so a bare surname stays the same person. Names that no such sign gives
+    away are not found. Surrogates keep length, punctuation, case, script, country code or brand, top-level domain,
+    check-digit validity, and the gender of listed given names.
+
+    ``key`` (at most 64 bytes), or the session's ``prunescan.pii.key``, decides the surrogates: the same key gives
+    coreference across runs, another one unlinkable copies. It must be kept secret, as it undoes the masking; there is
+    no default. Every slice of rows is checked for distinct and consistent surrogates; a breach ends the job.
 
     With ``entities_col`` the kinds, places (code points of the input), originals and surrogates are added as an
     array under that name. Null and empty texts stay. Nothing is shuffled, and rows are masked one by one, so
     repeated rows agree. An empty table gives no rows.
     """
+    if not key:
+        key = docs.sparkSession.conf.get("prunescan.pii.key", "").encode()
+    if not key:
+        raise ValueError("INVALID_REQUEST: surrogates need a key: pass one or set prunescan.pii.key")
     rest = [c for c in docs.columns if c != text]
     names = [f"c{i}" for i in range(len(rest))]
     d = docs.select(F.col(f"`{text}`").cast("string").alias("t"), *(F.col(f"`{c}`").alias(n) for c, n in zip(rest, names)))

@@ -119,16 +119,16 @@ def test_permutations_are_bijections_without_fixed_points():
 def test_clean_texts_stay(spark, odd, none):
     for t in ("Version 2.0, CC BY-NC 4.0; 1.2.3 at 12:30, 1999-2001, page 123456.", "Dr. who knows", "a@b", "e.g. 3.14159", "john deere", prose(3, 200)):
         assert pii.entities(t, KEY) == []
-    same = pii.mask(odd, entities_col="found")
+    same = pii.mask(odd, key=KEY, entities_col="found")
     assert same.columns == [*odd.columns, "found"] and same.count() == odd.count()
     assert sorted(map(str, same.select("text").collect())) == sorted(map(str, odd.select("text").collect()))
-    assert pii.mask(none).columns == odd.columns and pii.mask(none).count() == 0
+    assert pii.mask(none, key=KEY).columns == odd.columns and pii.mask(none, key=KEY).count() == 0
 
 
 def test_collisions(spark):
     rng = random.Random(8)
     docs = [(i, f"write u{rng.randint(0, 400)}.{rng.choice('abc')}@m{i % 3}.example.com or +1 ({rng.randint(200, 999)}) 555-{i % 50:04d} from 10.0.{i % 30}.{i % 7}") for i in range(400)]
-    masked = pii.mask(spark.createDataFrame(docs, "doc_id long, text string"), entities_col="e")
+    masked = pii.mask(spark.createDataFrame(docs, "doc_id long, text string"), key=KEY, entities_col="e")
     assert masked.select(F.explode("e")).count() == 1200 and pii.collisions(masked, "e").count() == 0
     left = {m for r in masked.collect() for m in re.findall(r"\S+@\S+|\d+\.\d+\.\d+\.\d+", r.text)} & {m for _, t in docs for m in re.findall(r"\S+@\S+|\d+\.\d+\.\d+\.\d+", t)}
     assert len(left) <= 2
@@ -136,6 +136,64 @@ def test_collisions(spark):
     assert [tuple(r) for r in pii.collisions(broken, "e").collect()] == [("ip", "x", 2)]
 
 
+def test_planted_entities_and_nothing_else(spark):
+    """Against planted spans: all other text stays, equal entities have equal surrogates, different ones different ones."""
+    rng = random.Random(4)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    people = ["Okonkwo", "Lindqvist", "Takahashi", "Brandão", "Smith", "Peter"]
+    pools = {
+        "email": [f"{rng.choice(WORDS)}{i}@{rng.choice(WORDS)}.example.org" for i in range(20)],
+        "phone": [f"+1 ({rng.randint(200, 999)}) 555-{digits(4)}" for _ in range(10)] + [f"0171 {rng.randint(200, 999)}{digits(4)}" for _ in range(5)],
+        "ip": [".".join(str(rng.randint(0, 255)) for _ in range(4)) for _ in range(15)],
+        "ip6": [":".join(f"{rng.randint(1, 65535):x}" for _ in range(8)) for _ in range(9)] + ["2001:db8::7f", "fe80::1:2a"],
+        "ssn": [f"{digits(3)}-{digits(2)}-{digits(4)}" for _ in range(9)],
+        "card": [f"4{digits(3)} {digits(4)} {digits(4)} {digits(4)}" for _ in range(9)],
+        "iban": ["GB29 NWBK 6016 1331 9268 19", "GB28 NWBK 6016 1331 9268 19", "DE89 3704 0044 0532 0130 00"],
+    }
+    docs, planted = [], []
+    for i in range(120):
+        parts, here = [], []
+        for _ in range(rng.randint(0, 6)):
+            kind = rng.choice(sorted(pools))
+            parts += [prose(i, rng.randint(1, 6)), rng.choice(pools[kind])]
+            here.append((kind, parts[-1]))
+        if i % 3 == 0:
+            name = rng.choice(people)
+            parts += ["Dr.", name, "spoke; later", name, "left"]
+            here += [("person", name)] * 2
+        docs.append((i, " ".join(parts)))
+        planted.append(here)
+    got = pii.mask(spark.createDataFrame(docs, "doc_id long, text string"), key=KEY, entities_col="found").collect()
+    image = {}
+    for r in got:
+        text, here = docs[r.doc_id][1], planted[r.doc_id]
+        assert [(e.kind, e.original) for e in r.found] == here
+        built, at = "", 0
+        for e in r.found:
+            built += text[at : e.first] + e.surrogate
+            at = e.end
+            assert image.setdefault((e.kind, pii.normal(e.kind, e.original)), pii.normal(e.kind, e.surrogate)) == pii.normal(e.kind, e.surrogate)
+            assert [c if c in " :.@-()" else "x" for c in e.surrogate] == [c if c in " :.@-()" else "x" for c in e.original] or e.kind == "person"
+        assert r.text == built + text[at:]
+    assert len(set(image.items())) == len({(k, v) for (k, _), v in image.items()}) == len(image) > 60
+
+
+def test_very_many_entities_take_linear_time():
+    def took(n):
+        text, began = " ".join(f"10.{i % 200}.{i // 200 % 200}.7" for i in range(n)), time.perf_counter()
+        assert len(pii.entities(text, KEY)) == n
+        return time.perf_counter() - began
+
+    took(500)
+    assert took(16_000) < 10 * took(4000)
+
+
+def test_surrogates_need_a_key(odd):
+    with pytest.raises(ValueError):
+        pii.mask(odd)
+    assert pii.person_name("Jomn", KEY).lower() not in pii.GIVEN["m"]
+
+
 def test_segments():
     """All maximal segments, as found by trying every one."""
     rng = random.Random(3)
