@@ -99,22 +99,23 @@ QUERIES = {
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
-_PRIMES_SQL = ", ".join(map(str, mixing.PRIMES))
 _WORDS_SQL = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
 
-def _permuted_sql(i: str, n: str, key: str) -> str:
-    a, spare = f"p[{key} % 8 + 1]", f"p[8 - {key} % 8]"
-    return f"(CASE WHEN {n} % {a} = 0 THEN {spare} ELSE {a} END * ({i}) + {key} % {n}) % {n}"
-
-
 def _keyed_sql(text: str) -> str:
     return f"('0x' || substr(md5({text}), 1, 13))::BIGINT"
 
 
+def _swapped_sql(x: str, k: str) -> str:
+    """One round of the index permutation: the index or its reflection, by the keyed bit of the pair."""
+    other = f"(({_keyed_sql(f"key || '/turn/' || {k}")} % n + n - {x}) % n)"
+    bit = _keyed_sql(f"key || '/' || {k} || '/' || greatest({x}, {other})")
+    return f"CASE WHEN {bit} % 2 = 1 THEN {other} ELSE {x} END"
+
+
 ORACLE_SQL = {
     "op6_mix_sources": f"""
-        WITH d AS (SELECT doc_id, source, coalesce('=' || source, '') AS src, coalesce(len({_WORDS_SQL}), 0)::BIGINT AS size FROM documents),
+        WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('=' || source, '') AS src, coalesce(len({_WORDS_SQL}), 0)::BIGINT AS size FROM documents),
         s AS (SELECT source, src, sum(size)::BIGINT AS source_size FROM d GROUP BY 1, 2),
         v AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS k FROM s),
         w AS (SELECT *, (CASE k % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::DOUBLE AS w FROM v),
@@ -124,10 +125,10 @@ ORACLE_SQL = {
         g AS (SELECT src, source_size, coalesce(least(cap, w * (SELECT level FROM l WHERE w * level <= cap ORDER BY source_size / w, k LIMIT 1)), 0.0) AS target FROM l),
         b AS (SELECT *, {_keyed_sql("doc_id::VARCHAR")} % (SELECT greatest(1, floor(sqrt(count(*))))::BIGINT FROM d) AS bucket FROM d),
         o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY src ORDER BY bucket, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM b),
-        c AS (SELECT *, ceil(source_size / 128)::BIGINT AS n, round(target * ceil(source_size / 128) / source_size)::BIGINT AS q, [{_PRIMES_SQL}]::BIGINT[] AS p FROM g WHERE source_size > 0),
-        j AS (SELECT src, n, p, unnest(range(q)) AS slot FROM c WHERE q > 0),
-        m AS (SELECT src, n, p, slot, {_keyed_sql("'42/' || src || '/' || (slot // n)")} AS key FROM j),
-        t AS (SELECT src, {_permuted_sql("slot % n", "n", "key")} AS block, count(*) AS times FROM m GROUP BY 1, 2),
+        c AS (SELECT src, n, unnest(range(q)) AS slot FROM (SELECT src, ceil(source_size / 128)::BIGINT AS n, round(target * ceil(source_size / 128) / source_size)::BIGINT AS q FROM g WHERE source_size > 0) WHERE q > 0),
+        j AS (SELECT src, n, '42/' || src || '/' || (slot // n) AS key, slot % n AS x, 0 AS k FROM c
+              UNION ALL SELECT src, n, key, {_swapped_sql("x", "(k + 1)")}, k + 1 FROM j WHERE k < {mixing.ROUNDS}),
+        t AS (SELECT src, x AS block, count(*) AS times FROM j WHERE k = {mixing.ROUNDS} GROUP BY 1, 2),
         e AS (SELECT doc_id, src, size, start, unnest(range(start // 128, (start + size - 1) // 128 + 1)) AS block FROM o WHERE size > 0),
         a AS (SELECT doc_id, sum((least(start + size, (block + 1) * 128) - greatest(start, block * 128)) * coalesce(times, 0))::BIGINT AS taken FROM e LEFT JOIN t USING (src, block) GROUP BY 1)
         SELECT d.doc_id, d.size, g.source_size, g.target, coalesce(a.taken, 0) AS taken FROM d JOIN g USING (src) LEFT JOIN a ON a.doc_id = d.doc_id

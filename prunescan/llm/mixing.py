@@ -1,4 +1,4 @@
-"""Mixing sources to target weights: fixed-length blocks drawn through per-source index permutations."""
+"""Mixing sources to target weights: multinomial source counts per shard, slots mapped to blocks by per-source index permutations."""
 
 from __future__ import annotations
 
@@ -9,8 +9,10 @@ from pyspark.sql.window import Window
 
 from prunescan.llm.common import WORD, cut
 
-#: Multipliers of the index permutations. The eight largest primes below 2^24, so that products with indices below 2^39 stay in 63 bits.
-PRIMES = (16777213, 16777199, 16777183, 16777153, 16777141, 16777139, 16777127, 16777121)
+#: Rounds of an index permutation.
+ROUNDS = 20
+#: Bins of the slots' range in which a draw looks for its source.
+BINS = 1024
 
 
 def keyed(*parts) -> Column:
@@ -19,12 +21,18 @@ def keyed(*parts) -> Column:
 
 
 def permuted(i: Column, n: Column, key: Column) -> Column:
-    """Image of ``i`` under a full-period permutation of 0..n-1 chosen by ``key``."""
-    at = (key % len(PRIMES) + 1).cast("int")
-    primes = F.array(*map(F.lit, PRIMES)).cast("array<bigint>")
-    a, spare = F.element_at(primes, at), F.element_at(primes, (key % len(PRIMES) * -1 - 1).cast("int"))
-    spare = F.when(spare == a, F.lit(PRIMES[0])).otherwise(spare)
-    return (F.when(n % a == 0, spare).otherwise(a) * i + key % n) % n
+    """Image of ``i`` under a pseudorandom permutation of 0..n-1 chosen by ``key``.
+
+    Swap-or-not rounds, which need no power of two: each pairs every index with its reflection at a keyed place and
+    swaps the pair or not by a keyed bit of the pair.
+    """
+    turn = lambda k: keyed(key, F.lit("turn"), k) % n
+
+    def swap(x: Column, k: Column) -> Column:
+        other = (turn(k) + n - x) % n
+        return F.when(keyed(key, k, F.greatest(x, other)) % 2 == 1, other).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), i.cast("long"), swap)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
@@ -66,24 +74,48 @@ def pack(docs: DataFrame, goal: DataFrame) -> DataFrame:
     return d.withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(before), F.lit(0)))
 
 
-def draw(goal: DataFrame, block_words: int, shard_slots: int, seed: int) -> DataFrame:
-    """The mix, one row per slot of a block: ``shard``, ``src``, ``slot`` (index among its source's), ``block``.
+def shard_counts(goal: DataFrame, block_words: int, shard_slots: int, seed: int) -> DataFrame:
+    """Slots of every output shard by source: ``shard, src, first, count, n`` (``first``: the source's slots of the shards before).
 
-    A source of ``n`` blocks gets ``round(target / mean block length)`` slots. All slots are dealt to the
-    shards by one permutation of their places, so a shard's source counts are a multinomial draw given those
-    totals. A source's slots then run through its blocks, each pass over them in another permuted order.
+    A source of ``n`` blocks is due ``q = round(target / mean block length)`` slots. Every slot of a shard draws its
+    source by chance in proportion to the ``q``: it draws a place among all slots and takes the source whose
+    range holds it. So a shard's counts are one multinomial draw. Drawn totals miss the targets by chance; the
+    running counts of a source are therefore scaled to end at exactly ``q``, which moves a shard's count by little
+    and keeps sources at their limit from being drawn too often. A source that no slot drew has its ``q`` dealt evenly.
     """
     g = goal.filter("source_size > 0").withColumn("n", F.ceil(F.col("source_size") / block_words))
-    g = g.withColumn("q", F.round(F.col("target") * F.col("n") / F.col("source_size")).cast("long"))
+    g = g.withColumn("q", F.round(F.col("target") * F.col("n") / F.col("source_size")).cast("long")).filter("q > 0")
     before = Window.orderBy("src").rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumns({"first": F.coalesce(F.sum("q").over(before), F.lit(0)), "all": F.sum("q").over(Window.partitionBy())}).filter("q > 0")
+    g = cut(g.withColumns({"low": F.coalesce(F.sum("q").over(before), F.lit(0)), "all": F.sum("q").over(Window.partitionBy())}).select("src", "n", "q", "low", "all"))
+    spark = goal.sparkSession
+    size = g.agg(F.count("*").alias("sources"), F.coalesce(F.max("all"), F.lit(0)).alias("slots")).first()
+    sent = F.broadcast if size.sources <= 10_000 else lambda side: side
+    shards, bins = -(-size.slots // shard_slots), max(1, min(BINS, size.slots))
+    ranges = g.withColumn("bin", F.explode(F.expr(f"sequence(low * {bins} div all, (low + q - 1) * {bins} div all)")))
+    slots = spark.range(0, size.slots, 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    places = slots.select(F.expr(f"id div {shard_slots}").alias("shard"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(1, size.slots))).alias("place"))
+    places = places.withColumn("bin", F.expr(f"place * {bins} div {max(1, size.slots)}"))
+    drawn = places.join(sent(ranges), "bin").filter("place >= low and place < low + q").groupBy("shard", "src").agg(F.count("*").alias("c"))
+    lost = g.join(drawn.select("src").distinct(), "src", "left_anti").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, shards) - 1).cast("long"))).alias("shard"), "src", F.lit(1).cast("long").alias("c"))
+    so_far = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = drawn.unionByName(lost).withColumns({"upto": F.sum("c").over(so_far), "total": F.sum("c").over(Window.partitionBy("src"))})
+    counts = counts.join(sent(g.select("src", "n", "q")), "src")
+    scaled = lambda upto: F.floor(F.col("q") * upto / F.col("total"))
+    counts = counts.withColumns({"first": scaled(F.col("upto") - F.col("c")), "end": scaled(F.col("upto"))})
+    return counts.select("shard", "src", "first", (F.col("end") - F.col("first")).alias("count"), "n")
+
+
+def draw(goal: DataFrame, block_words: int, shard_slots: int, seed: int) -> DataFrame:
+    """The mix, one row per slot of a block: ``shard``, ``src``, ``slot`` (index among its source's), ``block``.
+
+    The shards' counts (``shard_counts``) number a source's slots through. They run through the source's blocks, each
+    pass over them in another permuted order, so no block is drawn twice before all are drawn once.
+    """
+    counts = shard_counts(goal, block_words, shard_slots, seed).filter("count > 0")
     parts = int(goal.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number, as few short rows become many
-    runs = g.withColumn("run", F.explode(F.expr(f"sequence(0, (q - 1) div {shard_slots})"))).repartition(parts, "src", "run")
-    slots = runs.withColumn("slot", F.explode(F.expr(f"sequence(run * {shard_slots}, least(q, (run + 1) * {shard_slots}) - 1)")))
-    place = permuted(F.col("first") + F.col("slot"), F.col("all"), keyed(F.lit(seed), F.lit("shard")))
-    block = permuted(F.col("slot") % F.col("n"), F.col("n"), F.expr("key"))
-    slots = slots.withColumn("key", keyed(F.lit(seed), F.col("src"), F.expr("slot div n")))
-    return slots.select(F.floor(place / shard_slots).alias("shard"), "src", "slot", block.alias("block"))
+    slots = counts.repartition(parts, "shard", "src").withColumn("slot", F.explode(F.expr("sequence(first, first + count - 1)")))
+    block = permuted(F.col("slot") % F.col("n"), F.col("n"), F.concat_ws("/", F.lit(seed), F.col("src"), F.expr("slot div n")))
+    return slots.select("shard", "src", "slot", block.alias("block"))
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block_words: int = 128, shard_slots: int = 8192, seed: int = 42) -> DataFrame:
@@ -91,8 +123,9 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
 
     ``size`` counts the words of the text; ``taken`` counts words with repeats, at most ``most`` times
     ``size``. Each source's documents are packed end to end (``pack``) and cut into blocks of ``block_words``;
-    the mix draws slots (``draw``), each naming a block by index; a document takes the sum over its pieces of
-    the piece's length times the slots that name the piece's block.
+    the mix draws slots shard by shard (``draw``), each naming a block by index; a document takes the sum over
+    its pieces of the piece's length times the slots that name the piece's block. As the shards' counts add up to the
+    targets, it is not the shard but the number of its source's slots that decides how often a block is taken.
 
     One row per input row. Repeated rows and null ids are packed one by one; null or empty texts have size 0
     and take 0; a null source is a source of its own, after all others. Nothing depends on where rows lie, so

@@ -177,12 +177,41 @@ def test_slots(spark):
     count = [times["a"].count(b) for b in range(100)]
     assert set(count) == {2, 3} and sum(count) == 250
     shards = [r["count"] for r in slots.groupBy("shard").count().collect()]
-    assert max(shards) == 16 and len(shards) == 17
+    assert sum(shards) == 257 and len(shards) == 17 and max(abs(n - 16) for n in shards[:-1]) <= 16
     for n in (1, 2, 7, 16777213, 16777199 * 2):
-        step = spark.range(min(n, 5000)).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(12345678901)).alias("x"))
+        step = spark.range(min(n, 5000)).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit("key")).alias("x"))
         assert step.distinct().count() == min(n, 5000) and step.filter(f"x < 0 or x >= {n}").count() == 0
 
 
+def test_shard_counts_are_multinomial_and_meet_the_targets(spark):
+    share = {"a": 0.5, "b": 0.2, "c": 0.2, "d": 0.1}
+    shards, slots = 600, 250
+    rows = [(s, 10 * 100_000, 10.0 * p * shards * slots) for s, p in share.items()] + [("rare", 10, 10.0)]
+    got = mixing.shard_counts(spark.createDataFrame(rows, "src string, source_size long, target double"), 10, slots, 7).collect()
+    count = {s: [0] * shards for s in share}
+    for r in got:
+        if r.src != "rare" and r.shard < shards:
+            count[r.src][r.shard] = r["count"]
+    for s, p in share.items():
+        own = np.array(count[s][:-1])
+        want = p * slots
+        chi = ((own - want) ** 2 / (want * (1 - p))).sum()  # chi-square, one degree of freedom a shard
+        assert abs(chi - (shards - 1)) < 5 * (2 * shards) ** 0.5
+    total = {}
+    for r in got:
+        total[r.src] = total.get(r.src, 0) + r["count"]
+    assert total == {s: round(p * shards * slots) for s, p in share.items()} | {"rare": 1}
+    ends = sorted((r.src, r["first"], r["first"] + r["count"]) for r in got if r["count"])
+    assert all(x[0] != y[0] or x[2] == y[1] for x, y in zip(ends, ends[1:]))
+
+
+def test_permutations_look_random(spark):
+    n = 600
+    image = [r.x for r in spark.range(n).select("id", mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit("k2")).alias("x")).orderBy("id").collect()]
+    steps = np.diff(image)
+    assert len(set(steps.tolist())) > 350 and abs(np.corrcoef(np.arange(n), image)[0, 1]) < 0.15
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage against what was put in."""
     rng, docs, labels = random.Random(31), [], []
