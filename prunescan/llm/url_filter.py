@@ -1,11 +1,11 @@
-"""URL filter: a sort-merge sweep of reversed-host keys against nested rule intervals."""
+"""URL filter: reversed-host keys with a sorted sweep of paths against nested rule intervals."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from prunescan.llm.common import fresh
+from prunescan.llm.common import cut, fresh, stored
 
 
 def url_host(url: Column) -> Column:
@@ -23,6 +23,17 @@ def host_key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "\x01"), F.lit("\x01"))
 
 
+def path_key(path: Column) -> Column:
+    """The path's bytes in hexadecimal: they sort alike, and ``G`` put after a prefix sorts behind all that starts with it."""
+    return F.hex(path)
+
+
+def _above(host: Column, deepest: int) -> Column:
+    """The keys of a host and of all domains above it, those of at most ``deepest`` labels."""
+    labels = F.reverse(F.split(host, r"\."))
+    return F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(deepest))), lambda k: F.concat(F.array_join(F.slice(labels, 1, k), "\x01"), F.lit("\x01")))
+
+
 def rules_of(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
     """A rule table from (host, path, verdict)."""
     rows = [F.struct(F.lit(h).alias("rule_host"), F.lit(p).alias("rule_path"), F.lit(v).alias("verdict")) for h, p, v in rules]
@@ -30,28 +41,27 @@ def rules_of(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFram
 
 
 def _events(rules: DataFrame) -> DataFrame:
-    """Interval ends of the rules' hosts with the stack of rules active from there: ``key``, ``kind``, ``stack``.
+    """Interval ends of the rules' paths within their host: ``domain, key, top`` (the innermost active rule from there).
 
-    A host's interval runs from its key to its key with the last separator raised, so intervals nest or are
-    apart. At its start (kind 1) the host's own rules are pushed on those of the domains above; at its end
-    (kind 0) they are popped. A stack holds the rules of one chain of domains and no more.
+    A rule's interval holds the paths that start with its own, so the intervals of a host nest or are apart. At
+    its start the rule is pushed; at its end it is popped, and the top of the stack is the rule of the longest
+    proper prefix, which is looked up by the prefixes of the rule's path.
     """
-    hosts = rules.select("rule_host").distinct()
-    labels = F.split("rule_host", r"\.")
-    up = hosts.select("rule_host", labels.alias("labels"), F.explode(F.sequence(F.lit(1), F.size(labels))).alias("k"))
-    up = up.select("rule_host", F.array_join(F.slice("labels", F.size("labels") - F.col("k") + 1, F.col("k")), ".").alias("above"))
-    own = rules.groupBy(F.col("rule_host").alias("above")).agg(F.collect_list(F.struct(F.length("rule").alias("n"), "rule", "rule_path", "verdict")).alias("own"))
-    chain = up.join(own, "above").groupBy("rule_host").agg(
-        F.flatten(F.collect_list("own")).alias("inside"),
-        F.flatten(F.collect_list(F.when(F.col("above") != F.col("rule_host"), F.col("own")))).alias("outside"),
+    own = F.struct(F.length("rule").alias("n"), "rule", "verdict")
+    r = rules.select("domain", "rule_path", own.alias("top"))
+    up = r.filter("rule_path <> ''").select("domain", "rule_path", F.explode(F.expr("sequence(0, length(rule_path) - 1)")).alias("k"))
+    up = up.select("domain", F.expr("left(rule_path, k)").alias("rule_path"), F.col("rule_path").alias("inner"))
+    outer = up.join(r, ["domain", "rule_path"]).groupBy("domain", "inner").agg(F.max_by("top", F.length("rule_path")).alias("outer"))
+    none = F.struct(F.lit(None).cast("int").alias("n"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
+    both = r.join(outer.withColumnRenamed("inner", "rule_path"), ["domain", "rule_path"], "left")
+    ends = F.array(
+        F.struct(path_key(F.col("rule_path")).alias("key"), F.col("top").alias("top")),
+        F.struct(F.concat(path_key(F.col("rule_path")), F.lit("G")).alias("key"), F.coalesce("outer", none).alias("top")),
     )
-    chain = chain.withColumn("k", host_key(F.col("rule_host")))
-    starts = chain.select(F.col("k").alias("key"), F.lit(1).alias("kind"), F.col("inside").alias("stack"))
-    ends = chain.select(F.concat(F.expr("left(k, length(k) - 1)"), F.lit("\x02")).alias("key"), F.lit(0).alias("kind"), F.col("outside").alias("stack"))
-    return starts.unionByName(ends)
+    return both.select("domain", F.inline(ends))
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", sweeps: int | None = None, max_events: int = 10_000_000) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", sweep_rows: int = 1 << 20, sent_hosts: int = 100_000, salts: int = 16) -> DataFrame:
     """Judge every row's url by the longest rule that fits: the input columns and ``host``, ``path``, ``rule``, ``verdict``.
 
     ``rules`` has ``rule_host``, ``rule_path``, ``verdict``. A rule fits its host and all subdomains if the
@@ -59,32 +69,38 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     equal rules count once, ``block`` before ``allow``. Rules with a null host, path or verdict are ignored;
     a rule's host is lower-cased.
 
-    The urls are dealt by a hash of the row number into ``sweeps`` even parts (4 for each shuffle partition), whatever
-    their hosts, so a hot host spreads. In each part urls and rule interval ends are merged in key order, and
-    one sweep carries the stack of active nested rules to every url; the url takes the longest of that stack
-    whose path fits. Rule events go to every part, so their number times ``sweeps`` is held to
-    ``max_events`` by fewer parts.
-
-    A null url, one without ``://`` or an empty one has host and path empty and fits no rule: ``default``.
-    Repeated rows stay. Input columns named like an output column are replaced. No rules or no rows: the
-    same columns, ``default`` throughout, or no rows.
+    Each different url stands once under the reversed-host key of every domain above it that has rules. Under one key
+    the rules are intervals of paths: urls and interval ends are merged in the order of their paths, and one sweep
+    carries the top of the stack of active nested rules to every url. A key's urls are dealt into sweeps of at most
+    ``sweep_rows`` urls, or as many as the key has rules; its rules go to its own sweeps only, so there are never
+    more interval ends than urls and rules, and a hot domain is many tasks. The table of keys is sent to all tasks up
+    to ``sent_hosts`` rule hosts, beyond it is joined by a shuffle. What is found goes back to the rows by a join
+    over ``salts`` copies of it, so that one url may hold any share of the rows.
+
+    A null url, one without ``://`` or an empty one has host and path empty and fits no rule but one of an empty
+    host and path: ``default``. Repeated rows stay. Input columns named like an output column are replaced. No
+    rules or no rows: the same columns, ``default`` throughout, or no rows.
     """
-    spark = pages.sparkSession
     out = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    part, key, kind, stack, top, here = fresh([*pages.columns, "host", "path", "rule", "verdict"], "part", "key", "kind", "stack", "top", "here")
+    salt, best = fresh([*pages.columns, "host", "path", "rule", "verdict"], "salt", "best")
     rules = rules.filter("rule_host is not null and rule_path is not null and verdict is not null").select(F.lower("rule_host").alias("rule_host"), "rule_path", "verdict")
     rules = rules.groupBy("rule_host", "rule_path").agg(F.max("verdict").alias("verdict")).withColumn("rule", F.concat("rule_host", "rule_path"))
-    events = _events(rules).select(F.col("key").alias(key), F.col("kind").alias(kind), F.col("stack").alias(stack))
-    n = sweeps or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = max(1, min(n, max_events // max(1, 2 * rules.select("rule_host").distinct().count())))
+    rules = cut(rules.select(host_key(F.col("rule_host")).alias("domain"), "rule_path", "rule", "verdict"))
+    domains = rules.groupBy("domain").agg(F.count("*").alias("rules"))
+    size = domains.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size(F.split("domain", "\x01")) - 1), F.lit(1)).alias("deepest")).first()
+    sent = F.broadcast if size.n <= sent_hosts else lambda side: side
 
     judged = pages.select(*out, url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
-    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n))
-    rows = judged.withColumns({part: dealt, key: host_key(F.col("host")), kind: F.lit(2)})
-    events = events.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    sweep = Window.partitionBy(part).orderBy(key, kind).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = rows.unionByName(events, allowMissingColumns=True).withColumn(here, F.last(stack, ignorenulls=True).over(sweep)).filter(F.col(kind) == 2)
-    fits = F.filter(F.col(here), lambda r: F.col("path").startswith(r["rule_path"]))
-    longest = F.element_at(F.array_sort(fits, lambda a, b: F.when(a["n"] != b["n"], b["n"] - a["n"]).when(a["rule"] < b["rule"], -1).otherwise(1)), 1)
-    swept = swept.withColumn(top, F.when(F.size(fits) > 0, longest))
-    return swept.select(*out, "host", "path", F.col(top)["rule"].alias("rule"), F.coalesce(F.col(top)["verdict"], F.lit(default)).alias("verdict"))
+    urls = judged.select("host", "path").distinct().select("host", "path", F.explode(_above(F.col("host"), size.deepest)).alias("domain"))
+    urls = stored(urls.join(sent(domains.select("domain")), "domain"))
+    many = urls.groupBy("domain").agg(F.count("*").alias("urls")).join(domains, "domain")
+    many = many.select("domain", F.ceil(F.col("urls") / F.greatest(F.lit(sweep_rows), "rules")).alias("sweeps"))
+    part, end = F.pmod(F.xxhash64("host", "path"), F.col("sweeps")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("sweeps") - 1))
+    rows = urls.join(sent(many), "domain").select("domain", part.alias("sweep"), path_key(F.col("path")).alias("key"), F.lit(1).alias("kind"), "host", "path")
+    events = _events(rules).join(sent(many), "domain").select("domain", end.alias("sweep"), "key", F.lit(0).alias("kind"), "top")
+    sweep = Window.partitionBy("domain", "sweep").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = rows.unionByName(events, allowMissingColumns=True).withColumn("top", F.last("top", ignorenulls=True).over(sweep)).filter("kind = 1 and top.rule is not null")
+    found = swept.groupBy("host", "path").agg(F.min(F.struct((-F.col("top.n")).alias("n"), "top.rule", "top.verdict")).alias(best))
+    found = found.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    judged = judged.withColumn(salt, (F.monotonically_increasing_id() % salts).cast("int")).join(found, ["host", "path", salt], "left")
+    return judged.select(*out, "host", "path", F.col(best)["rule"].alias("rule"), F.coalesce(F.col(best)["verdict"], F.lit(default)).alias("verdict"))

@@ -373,8 +373,8 @@ def test_url_rules(spark, rules):
     urls = [f"{s}{h}{p}" for s in ("http://", "https://", "") for h in hosts for p in paths] + [None, "", "://", "x://y://z/", "http://example.org/es/\n2"]
     df = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)], "page_id long, url string, HOST string, part string")
     table = url_filter.rules_of(spark, rules) if rules else url_filter.rules_of(spark, URL_RULES).limit(0)
-    for sweeps in (1, 7):
-        got = url_filter.filter_urls(df, table, sweeps=sweeps)
+    for options in ({}, {"sweep_rows": 3, "sent_hosts": 0, "salts": 2}):
+        got = url_filter.filter_urls(df, table, **options)
         assert got.columns == ["page_id", "url", "part", "host", "path", "rule", "verdict"]
         assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got.collect()} == {i: brute_rule(u, rules) for i, u in enumerate(urls)}
 
@@ -384,6 +384,20 @@ def test_url_rules_odd_tables(spark):
     rules = url_filter.rules_of(spark, [("org", "/", "allow")]).unionByName(spark.sql("SELECT * FROM VALUES ('org', '/', 'block'), (null, '/', 'block'), ('a.org', null, 'block') t(rule_host, rule_path, verdict)"))
     assert [r.verdict for r in url_filter.filter_urls(df, rules).collect()] == ["block"] * 3
     assert url_filter.filter_urls(df.limit(0), rules).count() == 0
+    deep = spark.createDataFrame([("http://" + "a." * 300_000 + "org/x", 1)], "url string, page_id long")
+    assert [r.rule for r in url_filter.filter_urls(deep, rules).collect()] == ["org/"]
+
+
+def test_many_rules_on_one_host_and_on_many(spark):
+    """300,000 rules: 100,000 nested paths of one host, the rest on hosts of their own; one url holds half of the rows."""
+    n = 100_000
+    rules = spark.range(n).select(F.lit("big.org").alias("rule_host"), F.concat(F.lit("/d"), F.expr("id div 10"), F.expr("repeat('/x', cast(id % 10 as int))")).alias("rule_path"), F.lit("block").alias("verdict"))
+    rules = rules.unionByName(spark.range(2 * n).select(F.concat(F.lit("h"), "id", F.lit(".com")).alias("rule_host"), F.lit("/").alias("rule_path"), F.lit("block").alias("verdict")))
+    deep = spark.range(4000).select("id", F.concat(F.lit("https://www.big.org/d"), F.expr("id % 10000"), F.lit("/x/x/x/y")).alias("url"))
+    other = spark.range(4000, 8000).select("id", F.when(F.col("id") % 2 == 0, F.lit("http://a.h7.com/q")).otherwise(F.concat(F.lit("http://h"), "id", F.lit(".net/"))).alias("url"))
+    got = {r.id: r.rule for r in url_filter.filter_urls(deep.unionByName(other), rules).select("id", "rule").collect()}
+    assert len(got) == 8000
+    assert all(got[i] == f"big.org/d{i}/x/x/x" if i < 4000 else got[i] == ("h7.com/" if i % 2 == 0 else None) for i in got)
 
 
 @pytest.fixture(scope="module")
