@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ def _matrix(column) -> np.ndarray:
     """Rows of an Arrow list column as unit vectors in double precision."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     m = np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+    m = m / np.abs(m).max(axis=1, keepdims=True, initial=0)  # so that no square over- or underflows
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
@@ -77,6 +79,8 @@ def _compared(t: pa.Table, least: float) -> pa.Table:
     visits that, else it is counted here.
     """
     home = np.asarray(t.column("side")) == 0
+    if home.all() or not home.any():  # a visited cell without vectors of its own
+        return pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "n")})
     did, m, v = np.asarray(t.column("did")), np.asarray(t.column("m")), _matrix(t.column("v"))
     linked = v[home] @ v[~home].T >= least
     linked &= did[home][:, None] != did[~home][None, :]
@@ -92,10 +96,10 @@ def _compared(t: pa.Table, least: float) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(np.concatenate([n[some], np.zeros(len(edges), np.int64)]), pa.int64())})
 
 
-def _links(d: DataFrame, least: float, cell_rows: int, most_cells: int) -> DataFrame:
+def _links(d: DataFrame, least: float, cells: int | None) -> DataFrame:
     """``a, b, n`` for distinct vectors ``did, m, v`` of one dimension: link counts (b is -1) and connecting edges."""
     spark = d.sparkSession
-    k = max(1, min(most_cells, d.count() // cell_rows))
+    k = cells or min(1024, math.isqrt(d.count()) // 4 + 1)
     sample = d.orderBy(F.xxhash64("v"), "did").limit(32 * k).select("v").toArrow()
     centres = _matrix(sample.column("v"))
     centres = spark.sparkContext.broadcast(spherical_kmeans(centres, k))
@@ -111,7 +115,7 @@ def _links(d: DataFrame, least: float, cell_rows: int, most_cells: int) -> DataF
     return pairs.applyInArrow(lambda t: _compared(t, least), "a long, b long, n long")
 
 
-def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.9, cell_rows: int = 1000, most_cells: int = 1024) -> DataFrame:
+def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.9, cells: int | None = None) -> DataFrame:
     """Links of cosine ``least`` or more: the id column, ``n_links``, ``component_id``, ``kept`` for every input row.
 
     Equal vectors, however many, are compared once with their number as weight. Centres are fitted on the 32
@@ -121,6 +125,11 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     home vector is compared with all that are in its cell, in blocks of ``BLOCK`` rows, so a crowded cell is
     many tasks. Every product is exact in double precision, so no link is wrong.
 
+    ``cells`` are by default a quarter of the square root of the vectors' number, up to 1024, which is what the driver can
+    fit; beyond about 17 million vectors cells grow instead and are cut into more blocks, with the same result. As
+    no link may be missed, vectors that spread evenly over many dimensions visit a good part of all cells, and
+    work grows faster than the data; near copies of few kinds visit few.
+
     ``n_links`` counts other rows; ``component_id`` is the smallest id reachable; ``kept`` marks the row whose id
     that is. Vectors that are null, empty, zero, or hold null or non-finite components have no links and are
     their own component, as are those of a null id without links (``component_id`` null). Vectors of different
@@ -133,7 +142,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     d = stored(same.withColumn("did", F.monotonically_increasing_id()))
     links = None
     for r in d.groupBy(F.size("v").alias("n")).count().collect():
-        one = _links(d.filter(F.size("v") == r.n).select("did", "m", "v"), least, cell_rows, most_cells)
+        one = _links(d.filter(F.size("v") == r.n).select("did", "m", "v"), least, cells)
         links = one if links is None else links.unionByName(one)
     if links is None:
         links = d.select(F.col("did").alias("a"), F.col("did").alias("b"), F.lit(0).alias("n")).limit(0)

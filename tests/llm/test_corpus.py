@@ -93,27 +93,36 @@ def test_embeddings(spark):
     rows += [rows[0]] * 5 + [[2 * x for x in rows[0]], None, [], [0.0] * 16, [float("nan")] + [1.0] * 15, [None] + [1.0] * 15, [float("inf")] * 16, [1.0, 0.0], [1.0, 0.1]]
     ids = rng.permutation(len(rows)).tolist()
     df = spark.createDataFrame(list(zip(ids, rows)), "vec_id long, embedding array<double>").withColumn("n_links", F.lit("clash"))
-    got = embedding_dedup.near_duplicates(df, cell_rows=40)
+    got = embedding_dedup.near_duplicates(df, cells=4)
     assert got.columns == ["vec_id", "n_links", "component_id", "kept"]
     assert sorted(map(tuple, got.collect())) == brute_vectors(list(zip(ids, rows)))
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_low_rank_vectors_in_a_high_dimension(spark):
+@pytest.mark.parametrize("rank, dim, cells", [(6, 96, 50), (16, 192, 50), (6, 96, 200)])
+def test_low_rank_vectors_in_a_high_dimension(spark, rank, dim, cells):
+    """No link is missed, though linked vectors differ in few directions only."""
     rng = np.random.default_rng(4)
-    base = rng.normal(size=(500, 16))
-    partners = base[:250] + rng.normal(size=(250, 16)) * np.linspace(0.3, 0.55, 250)[:, None]
-    rows = [(i, v.tolist()) for i, v in enumerate(np.pad(np.concatenate([base, partners]), ((0, 0), (0, 112))))]
-    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cell_rows=15)
+    base = rng.normal(size=(700, rank))
+    partners = base[:300] + rng.normal(size=(300, rank)) * np.linspace(0.3, 0.55, 300)[:, None]
+    turned = np.linalg.qr(rng.normal(size=(dim, rank)))[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, partners]) @ turned.T)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cells=cells)
     assert sorted(map(tuple, got.collect())) == brute_vectors(rows)
 
 
+def test_very_large_and_very_small_components(spark):
+    rows = [(1, [1e300, 1e300]), (2, [1e-300, 1.1e-300]), (3, [1e300, -1e300]), (4, [5e-324, 5e-324])]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted(map(tuple, got.collect())) == [(1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (4, 2, 1, False)]
+
+
 def test_crowded_cells_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
     rng = np.random.default_rng(3)
     base = rng.normal(size=8)
     rows = [(i, (base + rng.normal(size=8) * 0.15).tolist()) for i in range(120)]
-    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cell_rows=60)
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cells=2)
     assert sorted(map(tuple, got.collect())) == brute_vectors(rows)
 
 
