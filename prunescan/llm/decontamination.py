@@ -24,9 +24,13 @@ def tokens(text: str) -> list[str]:
 
 @dataclass
 class Items:
-    """One block of test items: token ids (from 1; 0 is any other token) and the n-gram seeds of each."""
+    """One block of test items: token ids (from 1; 0 is any other token) and the n-gram seeds of each.
+
+    ``sizes`` are the lengths of the seeds: ``n``, and those of the items that are shorter.
+    """
 
     n: int
+    sizes: list[int] = field(default_factory=list)
     vocabulary: dict[str, int] = field(default_factory=dict)
     ids: list = field(default_factory=list)
     tokens: list[np.ndarray] = field(default_factory=list)
@@ -37,15 +41,15 @@ class Items:
     def encode(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
 
-    def grams(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and hashes of the n-grams that hold known tokens only."""
-        m = len(ids) - self.n + 1
+    def grams(self, ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the runs of ``size`` tokens that hold known tokens only."""
+        m = len(ids) - size + 1
         if m < 1:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        known = np.lib.stride_tricks.sliding_window_view(ids > 0, self.n).all(axis=1)
+        known = np.lib.stride_tricks.sliding_window_view(ids > 0, size).all(axis=1)
         at = np.flatnonzero(known)
-        h = np.zeros(len(at), np.uint64)
-        for j in range(self.n):
+        h = np.full(len(at), size, np.uint64)
+        for j in range(size):
             h = (h + ids[at + j].astype(np.uint64)) * _MUL
             h ^= h >> np.uint64(29)
         return at, h
@@ -67,19 +71,23 @@ def keep_rare(items: Items, counts: np.ndarray, total: int, chance: float) -> No
     """Keep as seeds the n-grams expected at most ``chance * total`` times among ``total`` tokens drawn by their shares.
 
     The expectation comes from the corpus counts of the single tokens, so a passage that leaked into very many
-    documents doesn't make its own seeds look common. An item with no such n-gram keeps its rarest; one that
-    is shorter than ``n`` tokens has none and is matched nowhere.
+    documents doesn't make its own seeds look common. An item with no such n-gram keeps its rarest. One that is
+    shorter than ``n`` tokens is a seed as a whole; if that isn't improbable, finding it proves nothing and
+    the item is matched nowhere.
     """
     share = np.log((counts + 1.0) / (total + len(counts)))
     seeds, owners, places = [], [], []
     for k, ids in enumerate(items.tokens):
-        at, h = items.grams(ids)
+        size = min(items.n, len(ids))
+        at, h = items.grams(ids, size) if size else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
         if len(at):
-            expected = share[np.lib.stride_tricks.sliding_window_view(ids, items.n)].sum(axis=1)
-            good = (expected <= np.log(chance)) | (expected == expected.min())
+            expected = share[np.lib.stride_tricks.sliding_window_view(ids, size)].sum(axis=1)
+            good = (expected <= np.log(chance)) | (expected == expected.min()) & (size == items.n)
             seeds.append(h[good])
             owners.append(np.full(good.sum(), k))
             places.append(at[good])
+            if good.any() and size not in items.sizes:
+                items.sizes.append(size)
     if seeds:
         h, owner, place = np.concatenate(seeds), np.concatenate(owners), np.concatenate(places)
         order = np.argsort(h, kind="stable")
@@ -118,12 +126,15 @@ def align(a: np.ndarray, b: np.ndarray, match: int = 2, mismatch: int = -1, gap:
 
 def matches(items: Items, ids: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
     """Items that a document's tokens contain: (item place, score share, first token, end)."""
-    at, h = items.grams(ids)
-    low, high = np.searchsorted(items.seeds, h, "left"), np.searchsorted(items.seeds, h, "right")
     spots: dict[int, set[int]] = {}
-    for k in np.flatnonzero(high > low):
-        for s in range(low[k], high[k]):
-            spots.setdefault(int(items.owners[s]), set()).add(int(at[k] - items.places[s]))
+    for size in items.sizes:
+        at, h = items.grams(ids, size)
+        low = np.searchsorted(items.seeds, h, "left")
+        some = np.flatnonzero(items.seeds[np.minimum(low, len(items.seeds) - 1)] == h)
+        high = np.searchsorted(items.seeds, h[some], "right")
+        for k, end in zip(some, high):
+            for s in range(low[k], end):
+                spots.setdefault(int(items.owners[s]), set()).add(int(at[k] - items.places[s]))
     out = []
     for owner, offsets in spots.items():
         own, best = items.tokens[owner], (0, 0, 0)
@@ -177,7 +188,7 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int) -> I
     yield block
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", n: int = 4, chance: float = 1e-6, least: float = 0.6, block_chars: int = 4 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", n: int = 4, chance: float = 1e-6, least: float = 0.6, block_chars: int = 16 << 20) -> DataFrame:
     """Which documents hold which test items: ``doc_id, item_id, score, first_token, end_token``.
 
     Tokens are lower-cased runs of letters and digits. Seeds are the items' n-grams of ``n`` tokens whose expected
@@ -190,7 +201,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
     benchmark takes more passes over the documents. Documents are neither shuffled nor grouped, so an item
     that leaked into very many documents costs one alignment in each.
 
-    Null and empty texts, and items under ``n`` tokens, match nothing. Repeated rows are each judged; a null
+    Items under ``n`` tokens are matched whole, if their tokens are improbable enough together. Null and empty texts,
+    and items without tokens, match nothing. Repeated rows are each judged; a null
     id is returned as null. Other columns are not read. Empty tables give no rows.
     """
     spark = docs.sparkSession

@@ -44,7 +44,7 @@ def edited(text, rng, share):
 
 def test_decontamination(spark):
     rng = random.Random(2)
-    items = [(k, prose(5000 + k, rng.randint(15, 50))) for k in range(30)] + [(90, "too short"), (91, None), (92, "")]
+    items = [(k, prose(5000 + k, rng.randint(15, 50))) for k in range(30)] + [(90, "to"), (91, None), (92, "")]
     docs, leaks = [], set()
     for i in range(200):
         text = prose(9000 + i, 150)
@@ -62,6 +62,36 @@ def test_decontamination(spark):
             assert r.score == 1 and span == D.tokens(items[r.item_id][1])
 
 
+def test_contamination_is_that_of_every_alignment(spark):
+    """Against aligning every item with every whole document (no seeds)."""
+    rng = random.Random(6)
+    items = [(k, prose(400 + k, rng.choice([1, 2, 3, 5, 12, 25]))) for k in range(18)]
+    docs = []
+    for i in range(90):
+        text = prose(4000 + i, rng.randint(0, 90))
+        if i % 2:
+            text = f"{text} {edited(items[rng.randrange(18)][1], rng, rng.choice([0, 0, 0.1, 0.3, 0.6]))} {prose(i, 5)}"
+        docs.append((i, text))
+    names = {}
+    encode = lambda t: np.array([names.setdefault(w, len(names) + 1) for w in D.tokens(t)])
+    counts = collections.Counter(w for _, t in docs for w in D.tokens(t))
+    vocabulary = {w for _, t in items for w in D.tokens(t)}
+    total = sum(counts.values())
+    rare = lambda ws: sum(math.log((counts[w] + 1) / (total + len(vocabulary) + 1)) for w in ws) <= math.log(1e-6)
+    want = {}
+    for i, text in docs:
+        for k, item in items:
+            own = D.tokens(item)
+            score = smith_waterman(encode(item), encode(text)) / (2 * len(own)) if text else 0
+            if score >= 0.6 and (len(own) >= 4 or rare(own) and f" {' '.join(own)} " in f" {' '.join(D.tokens(text))} "):
+                want[i, k] = score
+    got = {(r.doc_id, r.item_id): r.score for r in D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    near = {x for x in want if want[x] < 0.8}  # an edit in every four tokens leaves no seed
+    assert set(got) <= set(want) and set(want) - near <= set(got) and len(got) > 30
+    assert any(len(D.tokens(items[k][1])) < 4 for _, k in got)
+    assert all(got[x] == pytest.approx(want[x]) for x in got)
+
+
 def test_benchmark_in_blocks_gives_the_same(spark):
     items = spark.createDataFrame([(k, prose(50 + k, 20)) for k in range(9)], "item_id long, text string")
     docs = spark.createDataFrame([(i, prose(50 + i % 12, 20) + " and more") for i in range(30)], "doc_id long, text string")
