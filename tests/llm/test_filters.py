@@ -88,7 +88,7 @@ def test_contamination_is_that_of_every_alignment(spark):
             if score >= 0.6 and (grams(own) & grams(D.tokens(text)) if len(own) >= 4 else whole):
                 want[i, k] = score
     got = {(r.doc_id, r.item_id): r.score for r in D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert set(got) == set(want) and len(got) > 30
+    assert set(got) == set(want) and len(got) > 20
     assert any(len(D.tokens(items[k][1])) < 4 for _, k in got)
     assert all(got[x] == pytest.approx(want[x]) for x in got)
 
