@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -50,12 +51,107 @@ def test_odd_html():
 def test_wrapper_has_slots_options_and_repeats():
     pages = [f"<div><h1>T{i}</h1>{'<p>x%d</p>' % i * (i + 1)}{'<em>hot</em>' if i % 2 else ''}<span>Share this</span></div>" for i in range(6)]
     w = H.infer(pages)
-    assert str(w) == "<#root><div><h1>#SLOT</h1>(<p>#SLOT</p>)+(<em>hot</em>)?<span>Share this</span></div></#root>"
-    assert H.fixed_texts(w) == ["/#root/div/span\tShare this"]
+    assert str(w) == "<#root><div><h1>#SLOT</h1>(<p>#SLOT</p>)+(<em>#TEXT</em>)?<span>#TEXT</span></div></#root>"
+    assert H.plan(w, 5) == H.Plan({"/#root/div"}, set(), {("/#root/div/span", H.text_key("Share this"))})
+    assert str(H.Part.unpacked(w.packed())) == str(w)
     rows = "".join(f"<dt>k{i}</dt><dd>v{i}</dd>" for i in range(5))
     assert str(H.infer([f"<dl>{rows}</dl>"])) == "<#root><dl>(<dt>#SLOT</dt><dd>#SLOT</dd>)+</dl></#root>"
 
 
+def test_nothing_else_of_an_article_is_dropped():
+    body = "<article><h2>One</h2><p>Short.</p></article><article><p>The second one is longer than the first.</p><div class='legal'>Legal matters.</div><p class='share'>Shares fell.</p><p><a href=x>All of this is a link</a></p></article>"
+    assert H.extract(shell(body, 1)) == "One\n\nShort.\n\nThe second one is longer than the first.\n\nLegal matters.\n\nShares fell.\n\nAll of this is a link"
+    pages = [shell(f"<div><ul><li><a href=x>a{i}</a><li><a href=y>b</a></ul><div><p>{prose(i, 30)}</p><p><a href=x>All a link {i}</a></p><p>{prose(-i, 9)}</p></div></div>", i) for i in range(8)]
+    known = H.plan(H.infer(pages), 5)
+    assert H.extract(pages[3], known) == f"{prose(3, 30)}\n\nAll a link 3\n\n{prose(-3, 9)}"
+
+
+def test_alignment_is_a_longest_common_subsequence(monkeypatch):
+    rng = random.Random(11)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, n))] for n in (9, 7))
+        got = H._matched(a, b)
+        assert all(a[i] == b[j] for i, j in got) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:]))
+        brute = max(n for n in range(len(b) + 1) for c in itertools.combinations(b, n) if is_within(c, a))
+        assert len(got) == brute
+    monkeypatch.setattr(H, "MOST_CELLS", 4)
+    for _ in range(300):
+        a, b = (rng.sample(range(40), rng.randint(5, 30)) for _ in "ab")
+        got = H._matched(a, b)
+        assert all(a[i] == b[j] for i, j in got) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:]))
+        assert len(got) == len(H._longest_match(a, b))  # every sign stands once
+
+
+def is_within(c, a):
+    it = iter(a)
+    return all(x in it for x in c)
+
+
+def test_deep_and_wide_pages():
+    deep = ["<div>" * 1500 + f"<p>deep {i}</p><nav>menu</nav><p>more {i}</p>" for i in range(6)]
+    known = H.plan(H.infer(deep), 5)
+    assert H.extract(deep[2], known) == "deep 2\n\nmore 2"
+    wide = ["<article>" + "".join(f"<x{(k * 7 + i * 13) % 5003}>t{k} </x{(k * 7 + i * 13) % 5003}>" for k in range(5000)) + "</article>" for i in range(4)]
+    began = time.perf_counter()
+    known = H.plan(H.infer(wide), 3)
+    assert H.extract(wide[1], known).split() == [f"t{k}" for k in range(5000)] and time.perf_counter() - began < 20
+
+
+def site(rng, landmark):
+    """A page maker of a made-up template and the text it plants."""
+    names = [rng.choice(["box", "col", "wrap", "pane"]) + str(rng.randint(1, 9)) for _ in range(6)]
+    extras = rng.sample(["nav", "aside", "footer", "ad", "comments", "form", "cookie", "fixed"], 6)
+    tag = "article" if landmark == "article" else "main" if landmark == "main" else "div"
+
+    def make(i):
+        title, paragraphs = prose(i * 7, 4), [prose(i * 31 + k, rng.randint(12, 40)) for k in range(rng.randint(2, 7))]
+        inner = f"<h1>{title}</h1>" + "".join(f"<p>{p[:20]}<b>{p[20:30]}</b>{p[30:]}</p>" for p in paragraphs)
+        part = {
+            "nav": "<nav><ul>" + "".join(f"<li><a href=x>{prose(i + k, 1)}</a></li>" for k in range(rng.randint(2, 6))) + "</ul></nav>",
+            "aside": f"<aside class='{names[0]}'><p>{prose(i + 5, 8)}</p></aside>",
+            "footer": f"<footer>&copy; {prose(i % 3, 3)}</footer>",
+            "ad": f"<div class='ad {names[1]}'>{prose(i % 4, 6)}</div>",
+            "comments": "<section id='comments'>" + "".join(f"<p>{prose(i + k, 5)}</p>" for k in range(i % 4)) + "</section>",
+            "form": "<form><p>Your mail <input></p><button>Send</button></form>",
+            "cookie": "<div class='cookie-notice'>We use them.</div>",
+            "fixed": f"<div class='{names[2]}'><p>Welcome to the site of all sites</p></div>",
+        }
+        before, after = [part[x] for x in extras[:3]], [part[x] for x in extras[3:]]
+        body = "".join(before) + f"<{tag} class='{names[3]}'>{inner}</{tag}>" + "".join(after)
+        if landmark == "none":
+            body = f"<div class='{names[4]}'><div class='{names[5]}x'>{body}</div></div>"
+        text = "\n\n".join([title, *paragraphs])
+        return f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style></head><body>{body}<script>f('<p>no</p>')</script></body></html>", text
+
+    return make
+
+
+def test_articles_of_generated_sites(spark, monkeypatch):
+    """Every planted text of 18 templates comes back whole and alone; groups of 4 wrappers, so several levels."""
+    monkeypatch.setattr(H, "FAN_IN", 4)
+    rng, rows, want = random.Random(9), [], {}
+    for k in range(18):
+        make = site(rng, ["article", "main", "none"][k % 3])
+        for i in range(8 + 10 * (k % 4)):
+            page_, text = make(1000 * k + i)
+            want[len(rows)] = text
+            rows.append((len(rows), f"http://s{k}.example.com/{i}", page_))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = H.extract_articles(df).collect()
+    assert {r.page_id: r.text for r in got} == want
+    again = H.extract_articles(df.repartition(5)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    w = {r.host: r for r in H.wrappers(df).collect()}
+    assert len(w) == 18 and all(w[f"s{k}.example.com"].n_pages == 8 + 10 * (k % 4) for k in range(18))
+
+
+def test_copies_are_no_boilerplate(spark):
+    text = [prose(k, 30) for k in range(6)]
+    rows = [page(i, shell(f"<article><h1>{prose(1, 5)}</h1>" + "".join(f"<p>{t}</p>" for t in text) + f"<p>{prose(900 + i, 4)}</p></article>", i)) for i in range(12)]
+    got = H.extract_articles(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: "\n\n".join([prose(1, 5), *text, prose(900 + i, 4)]) for i in range(12)}
+
+
 def test_site_text_goes_article_text_stays(spark):
     rows = [page(i, shell(f"<article><p>Read more at our site</p><p>{prose(i, 20)}</p></article>", i)) for i in range(30)]
     rows += [page(100 + i, shell(f"<article><p>Read more at our site</p><p>{prose(i, 20)}</p></article>", i), "few.example.com") for i in range(2)]
