@@ -2,11 +2,12 @@
 
 Every document is cut into reference blocks where the smallest hash of a short word run (the block's seed)
 changes within a sliding window; equal windows have equal seeds, wherever they stand. The index knows for each
-seed which documents hold it first and last, and whether all its blocks read alike. A document is factored
-against the index from left to right: a block known alike from an earlier document continues the current
-factor with all its windows; where blocks of a seed differ, which happens at the ends of common passages, the
-factor's boundary is found by looking up the windows of each different block one by one. The words of all windows
-so matched make up the duplicate spans.
+seed which document holds it first, and where, and whether all its blocks read alike. A document is then parsed
+greedily from left to right: a block known from an earlier document opens a factor that refers to it, and the factor
+goes on as long as the next block is the next one there too. A block covers at least one window, so every factor is
+long enough. Where blocks of a seed differ, which happens at the ends of common passages, the factor's boundary is
+checked by looking up the windows of each different block one by one. The words of all factors and of the windows
+matched at their boundaries make up the duplicate spans.
 """
 
 from __future__ import annotations
@@ -62,17 +63,31 @@ def _texts(batch: pa.RecordBatch, at: int) -> list:
     return batch.column(at).cast(pa.binary()).to_pylist()
 
 
+def factors(n: np.ndarray, ref: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int]]:
+    """Greedy parse of a document's known blocks: (first block, last block, document referred to).
+
+    ``n`` are the numbers of the known blocks in order, ``ref`` and ``place`` the document and the number of the block
+    that each refers to. A factor goes on while both it and what it refers to go on.
+    """
+    if not len(n):
+        return []
+    new = np.append(True, (np.diff(n) != 1) | (np.diff(ref) != 0) | (np.diff(place) != 1))
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(n)) - 1
+    return list(zip(n[first].tolist(), n[last].tolist(), ref[first].tolist()))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], window: int, seed_words: int) -> Iterator[pa.RecordBatch]:
-    """(doc, text) -> (seed, doc, block): one row per reference block."""
+    """(doc, text) -> (seed, doc, block, n): one row per reference block, ``n`` its number in the document."""
     for batch in sliced(batches):
         out: list[tuple] = []
         for doc, text in zip(batch.column(0).to_pylist(), _texts(batch, 1)):
             seeds, hashes = windows((text or b"").split(), window, seed_words)
             if len(seeds):
                 at, block = _cut_up(seeds, hashes)
-                out.append((seeds[at], np.full(len(at), doc), block))
+                out.append((seeds[at], np.full(len(at), doc), block, np.arange(len(at), dtype=np.int32)))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["seed", "doc", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["seed", "doc", "block", "n"])
 
 
 def _uneven(batches: Iterator[pa.RecordBatch], window: int, seed_words: int) -> Iterator[pa.RecordBatch]:
@@ -88,18 +103,25 @@ def _uneven(batches: Iterator[pa.RecordBatch], window: int, seed_words: int) ->
 
 
 def _factored(batches: Iterator[pa.RecordBatch], window: int, seed_words: int) -> Iterator[pa.RecordBatch]:
-    """(text, whole, single) -> (n_words, n_removed, kept): drops the words that matched blocks and windows cover."""
+    """(text, known, single) -> (n_words, n_removed, kept, factors): drops the words of the factors and of single windows."""
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("doc", pa.int64())]))
     for batch in sliced(batches):
-        n_words, n_removed, kept = [], [], []
-        for text, whole, single in zip(_texts(batch, 0), batch.column(1), batch.column(2)):
-            words, n = (text or b"").split(), 0
+        n_words, n_removed, kept, found = [], [], [], []
+        for text, known, single in zip(_texts(batch, 0), batch.column(1), batch.column(2)):
+            words, n, own = (text or b"").split(), 0, []
             n_words.append(len(words))
-            if whole.is_valid or single.is_valid:
+            if known.is_valid or single.is_valid:
                 seeds, hashes = windows(words, window, seed_words)
                 hit = np.zeros(len(seeds), bool)
-                if whole.is_valid and len(seeds):
+                if known.is_valid and len(seeds):
                     at, block = _cut_up(seeds, hashes)
-                    hit |= np.repeat(np.isin(block, np.asarray(whole.values)), np.diff(np.append(at, len(seeds))))
+                    number, its, ref, place = (np.asarray(known.values.field(c)) for c in ("n", "block", "ref", "place"))
+                    mine = np.flatnonzero(block[np.minimum(number, len(at) - 1)] == its)  # rows that share an id may differ
+                    mine = mine[np.unique(number[mine], return_index=True)[1]]
+                    mine, at = mine[number[mine] < len(at)], np.append(at, len(seeds))
+                    for first, last, doc in factors(number[mine], ref[mine], place[mine]):
+                        hit[at[first] : at[last + 1]] = True
+                        own.append({"first": at[first], "end": at[last + 1] - 1 + window, "doc": doc})
                 if single.is_valid:
                     hit |= np.isin(hashes, np.asarray(single.values))
                 edge = np.zeros(len(words) + 1, np.int64)
@@ -110,18 +132,20 @@ def _factored(batches: Iterator[pa.RecordBatch], window: int, seed_words: int) -
                 n = int(gone.sum())
                 words = [w for w, g in zip(words, gone.tolist()) if not g]
             n_removed.append(n)
+            found.append(own)
             kept.append(b" ".join(words))
         rest = batch.select(range(3, batch.num_columns)).columns
-        own = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(kept, pa.binary()).cast(pa.string())]
-        yield pa.RecordBatch.from_arrays([*rest, *own], [*batch.schema.names[3:], "n_words", "n_removed", "kept_sha256", "kept"])
+        own = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(found, kind)]
+        yield pa.RecordBatch.from_arrays([*rest, *own], [*batch.schema.names[3:], "n_words", "n_removed", "kept_sha256", "kept", "factors"])
 
 
 def drop_repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = 13, seed_words: int = 5) -> DataFrame:
     """Remove every word covered by a ``window`` of words that also starts in a document with a smaller id.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; windows are judged on the input. Returns the id column,
-    ``n_words``, ``n_removed``, ``kept_sha256`` (of the kept words joined by one space, UTF-8) and ``kept``
-    (that text) for every input row.
+    ``n_words``, ``n_removed``, ``kept_sha256`` (of the kept words joined by one space, UTF-8), ``kept``
+    (that text) and ``factors`` (word spans ``first`` to ``end`` with the earlier document ``doc`` that each repeats)
+    for every input row.
 
     The index holds one row per reference block, about a third as many as words. Seeds are counted with
     partial aggregation, so a passage that very many documents share is one row per task; only minima and
@@ -135,20 +159,20 @@ def drop_repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     id_type = docs.schema[doc_id].dataType.simpleString()
     d = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).alias("text"), F.col(doc_id).alias("id"))
     size = (window, seed_words)
-    blocks = d.select("doc", "text").mapInArrow(lambda it: _blocks(it, *size), "seed long, doc long, block long")
-    index = blocks.groupBy("seed").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min("block").alias("b0"), F.max("block").alias("b1"))
-    index = index.filter("first < last").select("seed", "first", (F.col("b0") == F.col("b1")).alias("alike"))
-    hits = stored(blocks.join(index, "seed").filter("doc > first or not alike").select("seed", "doc", "block", "alike"))
-    uneven = hits.filter("not alike")
-    own = uneven.groupBy("seed", "block").agg(F.min("doc").alias("own"))
+    blocks = d.select("doc", "text").mapInArrow(lambda it: _blocks(it, *size), "seed long, doc long, block long, n int")
+    index = blocks.groupBy("seed").agg(F.min("doc").alias("ref"), F.min_by("n", "doc").alias("place"), F.max("doc").alias("last"), F.min("block").alias("b0"), F.max("block").alias("b1"))
+    index = index.filter("ref < last").select("seed", "ref", "place", (F.col("b0") == F.col("b1")).alias("alike"))
+    hits = stored(blocks.join(index, "seed").filter("doc > ref or not alike"))
+    uneven = hits.filter("not alike").drop("ref", "place")
+    own = uneven.groupBy("seed", "block").agg(F.min("doc").alias("ref"), F.min_by("n", "doc").alias("place"))
     uneven = uneven.join(own, ["seed", "block"])
-    whole = hits.filter("alike").select("doc", "block").unionByName(uneven.filter("doc > own").select("doc", "block"))
-    whole = whole.groupBy("doc").agg(F.collect_set("block").alias("whole"))
-    unsure = uneven.filter("doc = own").groupBy("doc").agg(F.collect_set("seed").alias("seeds"))
+    known = hits.filter("alike").unionByName(uneven.filter("doc > ref"), allowMissingColumns=True)
+    known = known.groupBy("doc").agg(F.collect_list(F.struct("n", "block", "ref", "place")).alias("known"))
+    unsure = uneven.filter("doc = ref").groupBy("doc").agg(F.collect_set("seed").alias("seeds"))
     single = stored(d.select("doc", "text").join(unsure, "doc").mapInArrow(lambda it: _uneven(it, *size), "seed long, hash long, doc long"))
     first = single.groupBy("seed", "hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").drop("last")
     single = single.join(first, ["seed", "hash"]).filter("doc > first").groupBy("doc").agg(F.collect_set("hash").alias("single"))
-    flags = whole.join(single, "doc", "full")
-    rows = d.join(flags, "doc", "left").select("text", "whole", "single", "id")
-    out = rows.mapInArrow(lambda it: _factored(it, *size), f"id {id_type}, n_words long, n_removed long, kept_sha256 string, kept string")
+    flags = known.join(single, "doc", "full")
+    rows = d.join(flags, "doc", "left").select("text", "known", "single", "id")
+    out = rows.mapInArrow(lambda it: _factored(it, *size), f"id {id_type}, n_words long, n_removed long, kept_sha256 string, kept string, factors array<struct<first long, end long, doc long>>")
     return out.withColumnRenamed("id", doc_id)

@@ -197,9 +197,46 @@ def test_substring_dedup(spark):
     assert substring(spark.createDataFrame(docs, "doc_id long, text string")) == brute_kept(docs)
 
 
+def test_factors_are_those_of_a_naive_parser(spark):
+    """Every factor is a passage of the earlier document it names, and no two neighbours could be one."""
+    def parsed(n, ref, place):
+        out = []
+        for i, r, p in zip(n, ref, place):
+            if out and out[-1][1] + 1 == i and out[-1][2] == r and out[-1][3] + 1 == p:
+                out[-1][1:] = [i, r, p]
+            else:
+                out.append([i, i, r, p])
+        return [(a, b, r) for a, b, r, _ in out]
+
+    rng = random.Random(3)
+    for _ in range(200):
+        n = sorted(rng.sample(range(30), rng.randint(0, 25)))
+        ref, place = [rng.choice([1, 1, 1, 2]) for _ in n], [i + rng.choice([0, 0, 0, 5]) for i in n]
+        assert substring_dedup.factors(*(np.array(x, np.int64) for x in (n, ref, place))) == parsed(n, ref, place)
+
+    long, other = prose(1, 400), prose(2, 300)
+    docs = [(1, long), (2, other), (3, long), (4, " ".join([prose(5, 20), *long.split()[50:200], prose(6, 20), *other.split()[100:180]])), (7, prose(7, 60)), (9, prose(9, 8))]
+    got = {r.doc_id: r for r in substring_dedup.drop_repeated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    words = {i: t.split() for i, t in docs}
+    for i, r in got.items():
+        for f in r.factors:
+            span = words[i][f.first : f.end]
+            assert f.doc < i and len(span) >= 13 and f" {' '.join(span)} " in f" {' '.join(words[f.doc])} "
+    assert [(f.first, f.end, f.doc) for f in got[3].factors] == [(0, 400, 1)]
+    assert [f.doc for f in got[4].factors] == [1, 2] and sum(f.end - f.first for f in got[4].factors) > 190 and got[4].n_removed == 230
+    assert not got[1].factors and not got[7].factors
+
+
+def test_rows_that_share_an_id_but_not_the_text(spark):
+    a, b = prose(1, 60), prose(2, 60)
+    docs = [(1, a), (2, b), (3, f"{prose(4, 30)} {a}"), (3, f"{b} x y"), (None, a), (None, prose(8, 70))]
+    got = sorted((r.doc_id or 99, r.n_removed) for r in substring_dedup.drop_repeated(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == [(1, 0), (2, 0), (3, 60), (3, 60), (99, 0), (99, 60)]
+
+
 def test_substring_odd_rows(odd, none):
     got = substring_dedup.drop_repeated(odd)
-    assert got.columns == ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"] and got.count() == odd.count()
+    assert got.columns == ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "factors"] and got.count() == odd.count()
     rows = {}
     for r in got.collect():
         rows.setdefault(r.doc_id, []).append((r.n_words, r.n_removed))
