@@ -108,9 +108,10 @@ def _keyed_sql(text: str) -> str:
 
 def _swapped_sql(x: str, k: str) -> str:
     """One round of the index permutation: the index or its reflection, by the keyed bit of the pair."""
-    other = f"(({_keyed_sql(f"key || '/turn/' || {k}")} % n + n - {x}) % n)"
-    bit = _keyed_sql(f"key || '/' || {k} || '/' || greatest({x}, {other})")
-    return f"CASE WHEN {bit} % 2 = 1 THEN {other} ELSE {x} END"
+    draw = lambda name: _keyed_sql(f"'42/' || src || '/{name}/' || {k}")
+    other, p = f"(({draw('turn')} % n + n - {x}) % n)", mixing.PRIME
+    y = f"((greatest({x}, {other}) % {p} * ({draw('a')} % {p}) + {draw('b')} % {p}) % {p})"
+    return f"CASE WHEN ({y} * {y} + {draw('b')} % {p}) % {p} % 2 = 1 THEN {other} ELSE {x} END"
 
 
 ORACLE_SQL = {
@@ -126,8 +127,7 @@ ORACLE_SQL = {
         b AS (SELECT *, {_keyed_sql("doc_id::VARCHAR")} % (SELECT greatest(1, floor(sqrt(count(*))))::BIGINT FROM d) AS bucket FROM d),
         o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY src ORDER BY bucket, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM b),
         c AS (SELECT src, n, unnest(range(q)) AS slot FROM (SELECT src, ceil(source_size / 128)::BIGINT AS n, round(target * ceil(source_size / 128) / source_size)::BIGINT AS q FROM g WHERE source_size > 0) WHERE q > 0),
-        j AS (SELECT src, n, '42/' || src || '/' || (slot // n) AS key, slot % n AS x, 0 AS k FROM c
-              UNION ALL SELECT src, n, key, {_swapped_sql("x", "(k + 1)")}, k + 1 FROM j WHERE k < {mixing.ROUNDS}),
+        j AS (SELECT src, n, slot % n AS x, 0 AS k FROM c UNION ALL SELECT src, n, {_swapped_sql("x", "(k + 1)")}, k + 1 FROM j WHERE k < {mixing.ROUNDS}),
         t AS (SELECT src, x AS block, count(*) AS times FROM j WHERE k = {mixing.ROUNDS} GROUP BY 1, 2),
         e AS (SELECT doc_id, src, size, start, unnest(range(start // 128, (start + size - 1) // 128 + 1)) AS block FROM o WHERE size > 0),
         a AS (SELECT doc_id, sum((least(start + size, (block + 1) * 128) - greatest(start, block * 128)) * coalesce(times, 0))::BIGINT AS taken FROM e LEFT JOIN t USING (src, block) GROUP BY 1)

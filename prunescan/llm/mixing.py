@@ -9,8 +9,8 @@ from pyspark.sql.window import Window
 
 from prunescan.llm.common import WORD, cut
 
-#: Rounds of an index permutation.
-ROUNDS = 20
+#: Rounds of an index permutation, and the prime (2^31 - 1) of the arithmetic that draws their bits in 63 bits.
+ROUNDS, PRIME = 20, 2147483647
 #: Bins of the slots' range in which a draw looks for its source.
 BINS = 1024
 
@@ -20,19 +20,25 @@ def keyed(*parts) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("/", *parts)), 1, 13), 16, 10).cast("long")
 
 
-def permuted(i: Column, n: Column, key: Column) -> Column:
-    """Image of ``i`` under a pseudorandom permutation of 0..n-1 chosen by ``key``.
+def turns(n: Column, key: Column) -> Column:
+    """The keyed constants of a permutation's rounds: where pairs turn, and what draws their bits."""
+    draw = lambda name, k, most: keyed(key, F.lit(name), k) % most
+    return F.transform(F.sequence(F.lit(1), F.lit(ROUNDS)), lambda k: F.struct(draw("turn", k, n).alias("turn"), draw("a", k, F.lit(PRIME)).alias("a"), draw("b", k, F.lit(PRIME)).alias("b")))
+
+
+def permuted(i: Column, n: Column, rounds: Column) -> Column:
+    """Image of ``i`` under the pseudorandom permutation of 0..n-1 with these rounds (``turns``).
 
     Swap-or-not rounds, which need no power of two: each pairs every index with its reflection at a keyed place and
     swaps the pair or not by a keyed bit of the pair.
     """
-    turn = lambda k: keyed(key, F.lit("turn"), k) % n
 
-    def swap(x: Column, k: Column) -> Column:
-        other = (turn(k) + n - x) % n
-        return F.when(keyed(key, k, F.greatest(x, other)) % 2 == 1, other).otherwise(x)
+    def swap(x: Column, r: Column) -> Column:
+        other = (r["turn"] + n - x) % n
+        y = (F.greatest(x, other) % PRIME * r["a"] + r["b"]) % PRIME
+        return F.when((y * y + r["b"]) % PRIME % 2 == 1, other).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), i.cast("long"), swap)
+    return F.aggregate(rounds, i.cast("long"), swap)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
@@ -75,7 +81,7 @@ def pack(docs: DataFrame, goal: DataFrame) -> DataFrame:
 
 
 def shard_counts(goal: DataFrame, block_words: int, shard_slots: int, seed: int) -> DataFrame:
-    """Slots of every output shard by source: ``shard, src, first, count, n`` (``first``: the source's slots of the shards before).
+    """Slots of every output shard by source: ``shard, src, first, count, n, rounds`` (``first``: the source's slots of the shards before).
 
     A source of ``n`` blocks is due ``q = round(target / mean block length)`` slots. Every slot of a shard draws its
     source by chance in proportion to the ``q``: it draws a place among all slots and takes the source whose
@@ -99,22 +105,23 @@ def shard_counts(goal: DataFrame, block_words: int, shard_slots: int, seed: int)
     lost = g.join(drawn.select("src").distinct(), "src", "left_anti").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, shards) - 1).cast("long"))).alias("shard"), "src", F.lit(1).cast("long").alias("c"))
     so_far = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = drawn.unionByName(lost).withColumns({"upto": F.sum("c").over(so_far), "total": F.sum("c").over(Window.partitionBy("src"))})
-    counts = counts.join(sent(g.select("src", "n", "q")), "src")
+    rounds = turns(F.col("n"), F.concat_ws("/", F.lit(seed), "src")).alias("rounds")
+    counts = counts.join(sent(cut(g.select("src", "n", "q", rounds))), "src")
     scaled = lambda upto: F.floor(F.col("q") * upto / F.col("total"))
     counts = counts.withColumns({"first": scaled(F.col("upto") - F.col("c")), "end": scaled(F.col("upto"))})
-    return counts.select("shard", "src", "first", (F.col("end") - F.col("first")).alias("count"), "n")
+    return counts.select("shard", "src", "first", (F.col("end") - F.col("first")).alias("count"), "n", "rounds")
 
 
 def draw(goal: DataFrame, block_words: int, shard_slots: int, seed: int) -> DataFrame:
     """The mix, one row per slot of a block: ``shard``, ``src``, ``slot`` (index among its source's), ``block``.
 
-    The shards' counts (``shard_counts``) number a source's slots through. They run through the source's blocks, each
-    pass over them in another permuted order, so no block is drawn twice before all are drawn once.
+    The shards' counts (``shard_counts``) number a source's slots through. They run through the source's blocks in permuted
+    order, so no block is drawn twice before all are drawn once.
     """
     counts = shard_counts(goal, block_words, shard_slots, seed).filter("count > 0")
     parts = int(goal.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number, as few short rows become many
     slots = counts.repartition(parts, "shard", "src").withColumn("slot", F.explode(F.expr("sequence(first, first + count - 1)")))
-    block = permuted(F.col("slot") % F.col("n"), F.col("n"), F.concat_ws("/", F.lit(seed), F.col("src"), F.expr("slot div n")))
+    block = permuted(F.col("slot") % F.col("n"), F.col("n"), F.col("rounds"))
     return slots.select("shard", "src", "slot", block.alias("block"))
 
 

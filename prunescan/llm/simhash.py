@@ -126,6 +126,9 @@ def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 COMMON = 100_000
 #: Rows of a block: an entry's rows are paired block with block.
 BLOCK = 256
+#: Positional bytes of a sketch, and how many standard deviations below the expectation a pair's tally may fall.
+SKETCH, SLACK = 128, 6.0
+_STEPS = np.arange(1, 2 * SKETCH, 2, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
@@ -144,15 +147,39 @@ def _content(s: np.ndarray) -> int:
     return int(_spread(s.view(np.uint64)).sum(dtype=np.uint64).view(np.int64))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """One byte for each of SKETCH positions: of the least image of the set's hashes under the position's mapping.
+
+    Two sets have a position's byte in common with their similarity as the probability (a little more, as bytes are few).
+    """
+    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(s), 4096):
+        x = s[i : i + 4096].view(np.uint64)
+        np.minimum(least, ((x[:, None] ^ (x[:, None] >> np.uint64(29))) * _STEPS).min(axis=0), out=least)
+    return (_spread(least) & np.uint64(0xFF)).astype(np.uint8).tobytes()
+
+
+def least_tally(similarity: float) -> int:
+    """Positional bytes that a pair of that similarity shares, but for a chance of about 1e-9."""
+    return max(1, math.ceil(SKETCH * similarity - SLACK * math.sqrt(SKETCH * similarity * (1 - similarity))))
+
+
+def _tallied(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, x, y) -> (a, b): pairs whose sketches share at least ``least`` positional bytes."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in (2, 3))
+        yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= least))
+
+
 def _texts(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in sliced(batches):
         yield batch, [shingle_set(t or b"", k) for t in batch.column(0).cast(pa.binary()).to_pylist()]
 
 
 def _sizes(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(text, doc_id) -> (doc_id, n, u): size and hash of the shingle set."""
+    """(text, doc_id) -> (doc_id, u, bytes): hash and sketch of the shingle set."""
     for batch, sets in _texts(batches, k):
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([_content(s) for s in sets], pa.int64())], ["doc_id", "n", "u"])
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([_content(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())], ["doc_id", "u", "bytes"])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -186,11 +213,12 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Groups of rows connected by a Jaccard similarity of at least ``similarity`` of their ``shingle``-word sets.
 
-    The search is exact; no SimHash takes part, as none bounds this similarity. All shingles have one order,
-    common ones last. Two sets that are similar enough share a shingle of both prefixes, the first
-    ``n - ceil(similarity n) + 1`` of the order, so an index of the prefixes makes all such pairs meet (at the first
-    shingle they share, where the sizes and what follows in both still allow the similarity). Equal sets
-    are one entry. Every link is verified on the whole sets.
+    No SimHash takes part, as none bounds this similarity. All shingles have one order, common ones last. Two sets
+    that are similar enough share a shingle of both prefixes, the first ``n - ceil(similarity n) + 1`` of the order,
+    so an index of the prefixes makes all such pairs meet (at the first shingle they share, where the sizes and
+    what follows in both still allow the similarity). Equal sets are one entry. Pairs that meet are filtered by a count: the
+    positional bytes that their sketches share must reach what is to be expected at that similarity less SLACK
+    standard deviations (a similar pair fails with a chance of about 1e-9). Every link is verified on the whole sets.
 
     Not all pairs of an entry need a look, as only what is connected counts. First each set is compared with the
     smallest head (least member) of its entries, then with the heads of entries that the links so far leave
@@ -203,18 +231,22 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
     """
     last = F.lit(2**63 - 1)
     d = docs.select(F.col(text).cast("string").alias("text"), F.coalesce(F.col(doc_id).cast("long"), last).alias("doc_id"))
-    f = stored(d.mapInArrow(lambda it: _sizes(it, shingle), "doc_id long, n long, u long"))
-    reps = stored(f.groupBy("u").agg(F.min("doc_id").alias("rep")))
+    f = stored(d.mapInArrow(lambda it: _sizes(it, shingle), "doc_id long, u long, bytes binary"))
+    reps = stored(f.groupBy("u").agg(F.min("doc_id").alias("rep"), F.min("bytes").alias("bytes")))
+    least = least_tally(similarity)
     often = d.select("text").mapInArrow(lambda it: _repeated(it, shingle), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
     often = often.orderBy(F.desc("c"), "key").limit(COMMON).toArrow().sort_by("key")
     order = docs.sparkSession.sparkContext.broadcast((np.asarray(often.column("key")), np.asarray(often.column("c"))))
     prefixes = d.select("text").mapInArrow(lambda it: _prefixes(it, shingle, similarity, *order.value), "u long, n long, prefix array<long>")
     index = prefixes.dropDuplicates(["u"]).select("u", F.col("n").cast("int"), F.posexplode("prefix").alias("at", "key"))
-    crowded = index.groupBy("key").agg(F.min("u").alias("head"), F.count("*").alias("k")).filter("k > 1")
-    index = stored(index.join(crowded.select("key", "head"), "key"))
+    crowded = index.groupBy("key").agg(F.min("u").alias("head"), F.min_by("n", "u").alias("n_head"), F.count("*").alias("k")).filter("k > 1")
+    index = stored(index.join(crowded.select("key", "head", "n_head"), "key"))
+    alike = lambda x, y: F.least(x, y) + 1e-9 >= similarity * F.greatest(x, y)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.join(reps.select(F.col("u").alias("a"), F.col("bytes").alias("x")), "a").join(reps.select(F.col("u").alias("b"), F.col("bytes").alias("y")), "b")
+        pairs = stored(pairs.select("a", "b", "x", "y").mapInArrow(lambda it: _tallied(it, least), "a long, b long"))
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct().join(reps, "u")
         rows = d.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
         sets = rows.mapInArrow(lambda it: _sets(it, shingle), "u long, shingles array<long>").join(wanted.select("u"), "u", "left_semi").dropDuplicates(["u"])
@@ -228,17 +260,18 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
         several = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("k")).filter("low <> high")
         return stored(rows.join(several.select("key", "k"), "key"))
 
-    links = verified(index.filter("u <> head").groupBy("u").agg(F.min("head").alias("a")).withColumnRenamed("u", "b"))
+    heads = index.filter((F.col("u") != F.col("head")) & alike("n", "n_head"))
+    links = verified(heads.groupBy("u").agg(F.min("head").alias("a")).withColumnRenamed("u", "b"))
     left = divided(links)
-    heads = left.filter("u = head").select("key", F.col("n").alias("n_a"), F.col("c").alias("c_a"))
-    pairs = left.join(heads, "key").filter((F.col("c") != F.col("c_a")) & (F.least("n", "n_a") + 1e-9 >= similarity * F.greatest("n", "n_a")))
+    heads = left.filter("u = head").select("key", F.col("c").alias("c_a"))
+    pairs = left.join(heads, "key").filter((F.col("c") != F.col("c_a")) & alike("n", "n_head"))
     links = links.unionByName(verified(pairs.select(F.col("head").alias("a"), F.col("u").alias("b"))))
     left = divided(links).withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("u"), "blocks").cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("u", "n", "at", "c")]
     one, other = left.select("key", F.col("own").alias("i"), every.alias("j"), *side("a")), left.select("key", every.alias("i"), F.col("own").alias("j"), *side("b"))
     shares = 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1)
-    may = (F.least("n_a", "n_b") + 1e-9 >= similarity * F.greatest("n_a", "n_b")) & (shares + 1e-9 >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")))
+    may = alike("n_a", "n_b") & (shares + 1e-9 >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")))
     pairs = one.join(other, ["key", "i", "j"]).filter((F.col("u_a") < F.col("u_b")) & (F.col("c_a") != F.col("c_b")) & may)
     whole = components(links.unionByName(verified(pairs.select(F.col("u_a").alias("a"), F.col("u_b").alias("b")))))
     named = reps.join(whole, F.col("u") == F.col("node"), "left").select("u", "rep", F.coalesce("component", "u").alias("c"))

@@ -284,7 +284,7 @@ def test_slots(spark):
     shards = [r["count"] for r in slots.groupBy("shard").count().collect()]
     assert sum(shards) == 257 and len(shards) == 17 and max(abs(n - 16) for n in shards[:-1]) <= 16
     for n in (1, 2, 7, 16777213, 16777199 * 2):
-        step = spark.range(min(n, 5000)).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit("key")).alias("x"))
+        step = spark.range(min(n, 5000)).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), mixing.turns(F.lit(n).cast("long"), F.lit("key"))).alias("x"))
         assert step.distinct().count() == min(n, 5000) and step.filter(f"x < 0 or x >= {n}").count() == 0
 
 
@@ -312,7 +312,7 @@ def test_shard_counts_are_multinomial_and_meet_the_targets(spark):
 
 def test_permutations_look_random(spark):
     n = 600
-    image = [r.x for r in spark.range(n).select("id", mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit("k2")).alias("x")).orderBy("id").collect()]
+    image = [r.x for r in spark.range(n).select("id", mixing.permuted(F.col("id"), F.lit(n).cast("long"), mixing.turns(F.lit(n).cast("long"), F.lit("k2"))).alias("x")).orderBy("id").collect()]
     steps = np.diff(image)
     assert len(set(steps.tolist())) > 350 and abs(np.corrcoef(np.arange(n), image)[0, 1]) < 0.15
 
