@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from prunescan.llm.common import components, cut, sliced, stored
 
@@ -126,6 +127,8 @@ def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 COMMON = 100_000
 #: Rows of a block: an entry's rows are paired block with block.
 BLOCK = 256
+#: Members, drawn by a hash, with which all others of an entry that is in several groups are compared, turn by turn.
+HEADS = (16, 128)
 #: Positional bytes of a sketch, and how many standard deviations below the expectation a pair's tally may fall.
 SKETCH, SLACK = 128, 6.0
 _STEPS = np.arange(1, 2 * SKETCH, 2, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -221,9 +224,10 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
     standard deviations (a similar pair fails with a chance of about 1e-9). Every link is verified on the whole sets.
 
     Not all pairs of an entry need a look, as only what is connected counts. First each set is compared with the
-    smallest head (least member) of its entries, then with the heads of entries that the links so far leave
-    in several groups. In the entries that are still in several groups every pair of different groups is
-    compared, block by block, so none is left out.
+    smallest head (least member) of its entries, then, where the links so far leave an entry in several groups, with
+    members drawn by a hash, a few at first and then more (HEADS); this is in proportion to the entries' rows. In the
+    entries that are still in several groups every pair of different groups is compared, block by block, so none is
+    left out.
 
     Returns the id column and ``component_id`` (smallest id of the group) for every row. Fewer words than a
     shingle are one shingle. Null and wordless texts have equal, empty sets and form one group. A null id
@@ -262,16 +266,18 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
 
     heads = index.filter((F.col("u") != F.col("head")) & alike("n", "n_head"))
     links = verified(heads.groupBy("u").agg(F.min("head").alias("a")).withColumnRenamed("u", "b"))
-    left = divided(links)
-    heads = left.filter("u = head").select("key", F.col("c").alias("c_a"))
-    pairs = left.join(heads, "key").filter((F.col("c") != F.col("c_a")) & alike("n", "n_head"))
-    links = links.unionByName(verified(pairs.select(F.col("head").alias("a"), F.col("u").alias("b"))))
-    left = divided(links).withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("u"), "blocks").cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("u", "n", "at", "c")]
-    one, other = left.select("key", F.col("own").alias("i"), every.alias("j"), *side("a")), left.select("key", every.alias("i"), F.col("own").alias("j"), *side("b"))
     shares = 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1)
     may = alike("n_a", "n_b") & (shares + 1e-9 >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")))
+    for turn, most in enumerate(HEADS):
+        left = divided(links)
+        order = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(turn), "u"))
+        heads = left.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most).select("key", *side("a"))
+        pairs = left.select("key", *side("b")).join(heads, "key").filter((F.col("c_a") != F.col("c_b")) & may)
+        links = links.unionByName(verified(pairs.select(F.col("u_a").alias("a"), F.col("u_b").alias("b"))))
+    left = divided(links).withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("u"), "blocks").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    one, other = left.select("key", F.col("own").alias("i"), every.alias("j"), *side("a")), left.select("key", every.alias("i"), F.col("own").alias("j"), *side("b"))
     pairs = one.join(other, ["key", "i", "j"]).filter((F.col("u_a") < F.col("u_b")) & (F.col("c_a") != F.col("c_b")) & may)
     whole = components(links.unionByName(verified(pairs.select(F.col("u_a").alias("a"), F.col("u_b").alias("b")))))
     named = reps.join(whole, F.col("u") == F.col("node"), "left").select("u", "rep", F.coalesce("component", "u").alias("c"))
