@@ -131,7 +131,6 @@ BLOCK = 256
 HEADS = (16, 128)
 #: Positional bytes of a sketch, and how many standard deviations below the expectation a pair's tally may fall.
 SKETCH, SLACK = 128, 6.0
-_STEPS = np.arange(1, 2 * SKETCH, 2, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
@@ -140,6 +139,10 @@ def _spread(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: One odd multiplier for each position of a sketch.
+_STEPS = _spread(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
+
+
 def shingle_set(text: bytes, k: int) -> np.ndarray:
     """The different shingle hashes of a text, sorted, as signed numbers."""
     return np.unique(shingle_hashes(text, k).view(np.int64))

@@ -129,6 +129,19 @@ def test_near_duplicates_by_similarity(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, c in got.items() if i == c}
 
 
+def test_sketches_share_bytes_in_proportion_to_the_similarity():
+    rng = np.random.default_rng(1)
+    for n, own in ((9, 1), (40, 4), (400, 44)):
+        tally = []
+        for _ in range(400):
+            both, a, b = (rng.integers(0, 2**63, k, dtype=np.int64) for k in (n - own, own, own))
+            x, y = (np.frombuffer(simhash.sketch(np.concatenate([both, s])), np.uint8) for s in (a, b))
+            tally.append((x == y).sum())
+        share = (n - own) / (n + own)
+        assert abs(np.mean(tally) - simhash.SKETCH * (share + (1 - share) / 256)) < 1.5 and np.std(tally) < 1.15 * (simhash.SKETCH * share * (1 - share)) ** 0.5
+        assert min(tally) >= simhash.least_tally(0.8)
+
+
 def test_a_large_group_of_near_copies(spark):
     base, rng, texts = prose(77, 200).split(), random.Random(5), []
     for i in range(1500):
