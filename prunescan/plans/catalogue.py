@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -277,19 +278,23 @@ def list_objects(spark, d):
     return ranges.list_objects(spark, d, "*.parquet").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
 
-# Pages: accesses of events to files of 64 pages, pages of 1 KiB over documents
+# Pages: every event is an access to a page of its user's file, those of large values have left the page cached; pages of 1 KiB over documents
 
-TRACE = "SELECT concat('f', user_id % 7) AS file_id, event_id % 64 AS page_index FROM events WHERE event_id % 3 = 0"
-CACHED = "SELECT DISTINCT concat('f', user_id % 7) AS file_id, event_id % 64 AS page_index FROM events WHERE event_id % 5 = 0"
+TRACE = "SELECT concat('f', user_id) AS file_id, event_id // 256 AS page_index FROM events"
+CACHED = f"SELECT DISTINCT * FROM ({TRACE} WHERE value >= 60)"
 LAYOUT = "SELECT doc_id, source, n_chars AS length, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM documents"
 
 
+def accesses(events: DataFrame) -> DataFrame:
+    return events.select(F.concat(F.lit("f"), F.col("user_id")).alias("file_id"), F.expr("event_id div 256").alias("page_index"))
+
+
 def trace(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "events").filter("event_id % 3 = 0").select(F.concat(F.lit("f"), F.col("user_id") % 7).alias("file_id"), (F.col("event_id") % 64).alias("page_index"))
+    return accesses(read(spark, d, "events"))
 
 
 def cached(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "events").filter("event_id % 5 = 0").select(F.concat(F.lit("f"), F.col("user_id") % 7).alias("file_id"), (F.col("event_id") % 64).alias("page_index")).distinct()
+    return accesses(read(spark, d, "events").filter("value >= 60")).distinct()
 
 
 def layout(spark: SparkSession, d: str) -> DataFrame:
@@ -574,12 +579,12 @@ def ttl_staleness(spark, d):
 
 # Membership and streams
 
-EVENTS_SQL = "e AS (SELECT user_id % 5 AS cluster, event_id AS seq, CASE event_type WHEN 'error' THEN 'Left' WHEN 'purchase' THEN 'Snapshot' ELSE 'Joined' END AS kind, 'n' || (event_id % 30) AS node FROM events WHERE event_type <> 'purchase' OR event_id % 40 = 0)"
+EVENTS_SQL = "e AS (SELECT user_id % 5 AS cluster, event_id AS seq, CASE event_type WHEN 'error' THEN 'Left' WHEN 'purchase' THEN 'Snapshot' ELSE 'Joined' END AS kind, 'n' || (event_id % 30) AS node FROM events)"
 
 
 def member_events(df: DataFrame) -> DataFrame:
     kind = F.when(F.col("event_type") == "error", "Left").when(F.col("event_type") == "purchase", "Snapshot").otherwise("Joined")
-    e = df.filter("event_type <> 'purchase' or event_id % 40 = 0").select((F.col("user_id") % 5).alias("cluster"), F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("n"), F.col("event_id") % 30).alias("node"))
+    e = df.select((F.col("user_id") % 5).alias("cluster"), F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("n"), F.col("event_id") % 30).alias("node"))
     return e.withColumn("members", F.when(F.col("kind") == "Snapshot", F.array(F.lit("n0"), F.lit("n1"), F.col("node"))))
 
 
@@ -598,7 +603,7 @@ def membership_fold(spark, d):
 def membership_stream(spark, d):
     """The same fold, kept as state over a stream."""
     stream = member_events(streams.read_stream(spark, path(d, "events")))
-    folder = f"{shared(spark)}/members-{id(stream)}"
+    folder = f"{shared(spark)}/members-{uuid.uuid4().hex}"
     out = membership.fold_stream(stream)
     writer = out.writeStream.outputMode("update").option("checkpointLocation", f"{folder}-state").trigger(availableNow=True)
     writer.foreachBatch(lambda df, k: df.withColumn("batch", F.lit(k)).write.mode("append").parquet(folder)).start().awaitTermination()
