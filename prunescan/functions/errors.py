@@ -19,6 +19,22 @@ CODES = {
 }
 
 
+# The code that a client is told for each kind of storage failure.
+FAILURES = {
+    "object store, transient": "GCS_TRANSIENT_ERROR",
+    "object store, permanent": "GCS_PERMANENT_ERROR",
+    "object store, timeout": "GCS_TIMEOUT",
+    "disk": "DISK_IO_ERROR",
+    "page assembly": "PAGE_NOT_CACHED",
+    "response syntax": "GCS_RESPONSE_INVALID",
+    "response length": "GCS_RESPONSE_INVALID",
+    "connection": "CONNECTION_ERROR",
+    "tls": "CONNECTION_ERROR",
+    "serialization": "CODEC_ERROR",
+    "metadata": "METADATA_PARSE_ERROR",
+}
+
+
 def rows() -> list[tuple[int, str, str, bool]]:
     """(code, name, type, retriable) of every error."""
     return [(first + k, name, TYPES[first >> 16], retry) for first, group in CODES.items() for k, (name, retry) in enumerate(group)]
@@ -29,6 +45,15 @@ def error_codes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows(), "code int, name string, error_type string, retriable boolean")
 
 
+def with_codes(failures: DataFrame, kind: str = "failure") -> DataFrame:
+    """Rows with the ``name``, ``code`` and ``retriable`` of their kind of failure; unknown kinds are internal errors."""
+    table = {r[1]: r for r in rows()}
+    known = failures.sparkSession.createDataFrame([(f, *(table[n][i] for i in (1, 0, 3))) for f, n in FAILURES.items()], "_kind string, name string, code int, retriable boolean")
+    out = failures.join(F.broadcast(known), F.col(kind) == F.col("_kind"), "left").drop("_kind")
+    other = table["GENERIC_INTERNAL_ERROR"]
+    return out.withColumns({"name": F.coalesce("name", F.lit(other[1])), "code": F.coalesce("code", F.lit(other[0])), "retriable": F.coalesce("retriable", F.lit(other[3]))})
+
+
 def display(name: Column, code: Column) -> Column:
     """``NAME:0x%08X``."""
     return F.format_string("%s:0x%08X", name, code)

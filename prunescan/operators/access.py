@@ -62,7 +62,7 @@ def sketched(trace: DataFrame, rows: int = 4, width: int = 4096) -> DataFrame:
 
     The sketch is ``rows`` times ``width`` sums, made with partial aggregation and sent to all tasks.
     """
-    cell = lambda r: F.pmod(F.xxhash64(F.lit(r), "key"), F.lit(width))
+    cell = lambda r: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(r), F.col("key"))), 1, 15), 16, 10).cast("long") % width
     counted = trace.groupBy("key").agg(F.count("*").alias("n"))
     cells = counted.select("n", F.explode(F.array(*(F.struct(F.lit(r).alias("r"), cell(r).alias("c")) for r in range(rows)))).alias("x"))
     sketch = cells.groupBy("x.r", "x.c").agg(F.sum("n").alias("s"))

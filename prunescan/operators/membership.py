@@ -21,6 +21,16 @@ def fold(events: DataFrame, cluster: str = "cluster") -> DataFrame:
     return steps.groupBy(cluster, "node").agg(F.max_by("kind", "seq").alias("kind")).filter("kind = 'Joined'").drop("kind")
 
 
+def peers(members: DataFrame, own: str, node: str = "node") -> DataFrame:
+    """The other members: all but the node itself."""
+    return members.filter(F.col(node) != own)
+
+
+def static_members(own: str, others: list[str]) -> list[str]:
+    """A fixed cluster: the node itself and its peers, as given."""
+    return [own, *others]
+
+
 def _step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     members = set(state.get[0]) if state.exists else set()
     for frame in frames:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 #: Upper bounds of latency buckets, in the log's own unit.
@@ -14,10 +14,31 @@ def counters(log: DataFrame, key: str, value: str) -> DataFrame:
     return log.groupBy(key).agg(F.count("*").alias("requests"), F.sum(value).alias("total"))
 
 
-def gauge(log: DataFrame, key: str, ts: str, delta: Column) -> DataFrame:
-    """The running sum of ``delta`` by key in time order, as ``level``. A key's log is one window group."""
-    run = Window.partitionBy(key).orderBy(ts).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return log.withColumn("level", F.sum(delta).over(run))
+def gauge(log: DataFrame, key: str, ts: str, delta: Column, buckets: int = 4096) -> DataFrame:
+    """The running sum of ``delta`` by key in the order of ``ts`` (a number or a time), as ``level``.
+
+    A key's log is cut into buckets of equal spans: sums of the buckets, a running sum over them, and a
+    running sum within each bucket, so that no task holds a whole key. Null keys are a key, null times come first.
+    """
+    place = F.col(ts).cast("double") if isinstance(log.schema[ts].dataType, T.NumericType) else F.unix_micros(F.col(ts).cast("timestamp")).cast("double")
+    low, high = (log.select(f(place)).scalar() for f in (F.min, F.max))
+    bucket = F.when(high > low, F.floor((place - low) / (high - low) * buckets)).otherwise(F.lit(0))
+    placed = log.withColumn("_bucket", F.when(place.isNull(), F.lit(-1)).otherwise(bucket))
+    sums = placed.groupBy(F.col(key).alias("_key"), F.col("_bucket").alias("_of")).agg(F.sum(delta).alias("_sum"))
+    before = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    run = Window.partitionBy(key, "_bucket").orderBy(ts).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = placed.withColumn("_run", F.coalesce(F.sum(delta).over(run), F.lit(0)))
+    both = own.join(sums, own[key].eqNullSafe(sums["_key"]) & (own["_bucket"] == sums["_of"]))
+    return both.withColumn("level", F.col("_run") + F.col("_before")).drop("_bucket", "_run", "_key", "_of", "_before")
+
+
+def throughput(log: DataFrame, key: str, ts: str, size: str) -> DataFrame:
+    """Operations and bytes a second between a key's first and last: ``key, ops, bytes, seconds, ops_per_second, bytes_per_second``; null rates without elapsed time."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    out = log.groupBy(key).agg(F.count("*").alias("ops"), F.sum(size).alias("bytes"), ((F.max(at) - F.min(at)) / F.lit(1_000_000)).alias("seconds"))
+    rate = lambda c: F.when(F.col("seconds") > 0, F.col(c) / F.col("seconds"))
+    return out.withColumns({"ops_per_second": rate("ops"), "bytes_per_second": rate("bytes")})
 
 
 def histogram(log: DataFrame, key: str, value: str, buckets: tuple[float, ...] = BUCKETS) -> DataFrame:

@@ -79,6 +79,23 @@ def read_pages(spark, path: str, page_size: int = PAGE_SIZE) -> DataFrame:
     return df.filter((F.col("size") > 0) & (F.col("size") <= 2 * page_size))
 
 
+def assemble(ranges: DataFrame, stored: DataFrame, range_id: str, page_size: int = PAGE_SIZE) -> DataFrame:
+    """The bytes of ranges (``range_id, file_id, offset, length``) out of stored pages (``file_id, page_index, data``): ``range_id, data``.
+
+    ``data`` is null where a page is missing or too short. Only the slices are shuffled to their range, whose bytes are one
+    value, as a reply is. Ranges of length 0 have no row.
+    """
+    need = slices(ranges, page_size).select(range_id, "file_id", "page_index", "slice_start", "slice_end")
+    wanted = F.col("slice_end") - F.col("slice_start")
+    once = stored.select("file_id", "page_index", "data").dropDuplicates(["file_id", "page_index"])
+    cut = need.join(once, ["file_id", "page_index"], "left").select(
+        range_id, "page_index", wanted.alias("_wanted"), F.expr("substring(data, int(slice_start + 1), int(slice_end - slice_start))").alias("_piece")
+    )
+    whole = F.every(F.coalesce(F.octet_length("_piece") == F.col("_wanted"), F.lit(False))).alias("_whole")
+    joined = cut.groupBy(range_id).agg(whole, F.expr("listagg(_piece) within group (order by page_index)").alias("_data"))
+    return joined.select(range_id, F.when(F.col("_whole"), F.col("_data")).alias("data"))
+
+
 def chunks(lengths: DataFrame, chunk: int = PAGE_SIZE) -> DataFrame:
     """Positions at which a stream of ``length`` bytes is cut: ``chunk_no, chunk_offset, chunk_length``."""
     at = F.when(F.col("length") > 0, F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(chunk).cast("long")))

@@ -48,17 +48,23 @@ def intervals(ring: DataFrame, replicas: int = 1) -> DataFrame:
     )
 
 
+#: Rings of up to this many virtual nodes are sent to all tasks; a larger one is joined by bins of the hash space.
+MOST_SENT = 200_000
+
+
 def place(keys: DataFrame, ring: DataFrame, key: str, replicas: int = 1, bins: int = 4096) -> DataFrame:
     """``keys`` with ``nodes``, the first ``replicas`` different nodes at or after the key's place; null for an empty ring.
 
     A range join as an equi-join: intervals are listed under every bin of the hash space that they touch, so a
-    key meets the one or two intervals of its bin. The ring side is sent to all tasks; keys aren't shuffled.
+    key meets the one or two intervals of its bin. A ring of up to MOST_SENT places is sent to all tasks, keys
+    aren't shuffled then; a larger one, with more bins, is joined by them.
     """
-    width = (1 << BITS) // bins
+    places = ring.count()
+    width = (1 << BITS) // max(bins, places)
     side = intervals(ring, replicas).withColumn("bin", F.explode(F.sequence(F.expr(f"(lo + 1) div {width}"), F.expr(f"hi div {width}"))))
     k = keys.withColumn("_h", ring_hash(F.col(key))).withColumn("_bin", F.expr(f"_h div {width}"))
     on = (F.col("_bin") == F.col("bin")) & (F.col("_h") > F.col("lo")) & (F.col("_h") <= F.col("hi"))
-    return k.join(F.broadcast(side), on, "left").drop("_h", "_bin", "bin", "lo", "hi")
+    return k.join(F.broadcast(side) if places <= MOST_SENT else side, on, "left").drop("_h", "_bin", "bin", "lo", "hi")
 
 
 def owners(keys: DataFrame, ring: DataFrame, key: str) -> DataFrame:
@@ -66,6 +72,11 @@ def owners(keys: DataFrame, ring: DataFrame, key: str) -> DataFrame:
     return place(keys, ring, key).withColumn("owner", F.try_element_at("nodes", F.lit(1))).drop("nodes")
 
 
+def local(keys: DataFrame, ring: DataFrame, key: str, node: str) -> DataFrame:
+    """``keys`` with ``is_local``: whether ``node`` is in charge; false for an empty ring."""
+    return owners(keys, ring, key).withColumn("is_local", F.coalesce(F.col("owner") == node, F.lit(False))).drop("owner")
+
+
 def first_live(keys: DataFrame, ring: DataFrame, key: str, failed: list[str], replicas: int = 3) -> DataFrame:
     """``keys`` with ``owner``, the first of their replicas that hasn't failed; null if all have."""
     bad = F.array(*map(F.lit, failed)) if failed else F.array().cast("array<string>")

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from prunescan.functions import errors, text
 from prunescan.operators import access, membership, metrics, pages, ring
 from prunescan.plans import predicate as P, prune
-from prunescan.plans.scan import batch_scan, scan
+from prunescan.plans.scan import batch_scan, read_row_groups, scan
 from prunescan.sources import footer, ranges
-from prunescan.sources.rowgroups import read_row_groups
+from prunescan.sources.shared import shared_dir
 from prunescan.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,16 +39,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(path(sf_dir, table))
 
 
-def shared(spark: SparkSession) -> str:
-    """A folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="prunescan-")
-    return folder
-
-
 #: The flagship predicate, in the form in which clients send it.
 FLAGSHIP = '{"And":[{"Comparison":{"column":"l_quantity","op":"Ge","value":{"Float64":30.0}}},{"Comparison":{"column":"l_returnflag","op":"Eq","value":{"Utf8":"R"}}}]}'
 LINE = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"]
@@ -250,10 +240,19 @@ def scan_row_group_pruned(spark, d):
 
 @query("rowgroup_source", "SELECT l_orderkey, l_extendedprice FROM lineitem WHERE (SELECT max(l_extendedprice) >= 1000 FROM lineitem)")
 def rowgroup_source(spark, d):
-    """The same through the data source, one task a row group."""
+    """The same for files given by name."""
     return read_row_groups(spark, read(spark, d, "lineitem").inputFiles(), P.compare("l_extendedprice", "Ge", 1000.0), ["l_orderkey", "l_extendedprice"])
 
 
+@query("scan_zoned_files", f"WITH {ZONES_SQL} SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey // 1500 IN (SELECT zone FROM z WHERE k1 >= 2000 AND k0 <= 5000)")
+def scan_zoned_files(spark, d):
+    """The surviving row groups of a table that is stored with one file a chunk of order keys."""
+    where = f"{shared_dir(spark)}/zoned-{uuid.uuid4().hex}"
+    zoned = read(spark, d, "lineitem").withColumn("zone", F.expr(ZONE))
+    zoned.repartition("zone").write.partitionBy("zone").option("maxRecordsPerFile", 0).parquet(where)
+    return scan(spark, where, RANGE, KEYS, mode="row_group")
+
+
 @query("read_range_magic", "SELECT * FROM (VALUES ('head', 'PAR1', 4::BIGINT), ('tail', 'PAR1', 4::BIGINT), ('none', '', 0::BIGINT), ('past', '', 0::BIGINT)) t(part, data, n)")
 def read_range_magic(spark, d):
     """First and last four bytes of a file, and two empty ranges."""
@@ -273,7 +272,7 @@ def batch_read(spark, d):
     return ranges.read_ranges(ranges.tails(files, 4)).select(here(), F.decode("data", "UTF-8").alias("data"))
 
 
-@query("list_objects")
+@query("list_objects", "SELECT count(*) AS files, sum(size)::BIGINT AS bytes FROM read_blob('/root/testdata/sf0.01/*.parquet')")
 def list_objects(spark, d):
     return ranges.list_objects(spark, d, "*.parquet").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
@@ -403,6 +402,12 @@ def ring_skew(spark, d):
     return ring.owners(keys(spark, d), ring.build_ring(spark, NODES), "key").groupBy("owner").agg(F.count("*").alias("n"))
 
 
+@query("ring_local", f"{OWNER_SQL} SELECT o_orderkey, owner = 'node2:8080' AS is_local FROM a")
+def ring_local(spark, d):
+    """Which keys the second node serves itself."""
+    return ring.local(keys(spark, d), ring.build_ring(spark, NODES), "key", "node2:8080").select("o_orderkey", "is_local")
+
+
 @query(
     "ring_remap",
     f"""WITH {KEY_SQL}, {ring_sql(NODES)}, r2 AS (SELECT * FROM r WHERE node <> 'node2:8080'),
@@ -480,6 +485,16 @@ def cms_estimate(spark, d):
     return both.agg(F.count_if(F.col("estimate") < F.col("n")).alias("under"), (F.avg(F.col("estimate") - F.col("n")) <= F.sum("n") * 3 / 4096).alias("bounded"))
 
 
+@query(
+    "cms_estimates",
+    """WITH k AS (SELECT user_id AS key, count(*) AS n FROM events GROUP BY 1), c AS (SELECT key, n, r, ('0x' || substr(md5(r || ':' || key), 1, 15))::BIGINT % 64 AS cell FROM k, range(4) t(r)),
+       s AS (SELECT r, cell, sum(n) AS s FROM c GROUP BY 1, 2) SELECT key, min(s)::BIGINT AS estimate FROM c JOIN s USING (r, cell) GROUP BY 1""",
+)
+def cms_estimates(spark, d):
+    """Estimates of a sketch that is small enough for keys to share cells."""
+    return access.sketched(read(spark, d, "events").select(F.col("user_id").alias("key")), width=64)
+
+
 # Metrics
 
 @query("bytes_served", "SELECT event_type, count(*) AS requests, sum(user_id)::BIGINT AS total FROM events GROUP BY 1")
@@ -515,6 +530,15 @@ def ops_per_window(spark, d):
     return metrics.rates(read(spark, d, "events"), "event_type", "ts").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@query(
+    "throughput",
+    """SELECT event_type, ops, bytes, seconds, ops / seconds AS ops_per_second, bytes / seconds AS bytes_per_second FROM
+       (SELECT event_type, count(*) AS ops, sum(user_id)::BIGINT AS bytes, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000 AS seconds FROM events GROUP BY 1)""",
+)
+def throughput(spark, d):
+    return metrics.throughput(read(spark, d, "events"), "event_type", "ts", "user_id")
+
+
 @query("exposition", "SELECT '# TYPE requests_total counter' AS line UNION ALL SELECT 'requests_total{event_type=\"' || event_type || '\"} ' || count(*) FROM events GROUP BY event_type")
 def exposition(spark, d):
     rows = metrics.counters(read(spark, d, "events"), "event_type", "user_id")
@@ -571,6 +595,28 @@ def error_dim(spark, d):
     return errors.error_codes(spark).withColumn("display", errors.display(F.col("name"), F.col("code")))
 
 
+def _failure_rows() -> str:
+    table = {r[1]: r for r in errors.rows()}
+    return ", ".join(f"('{f}', '{n}', {table[n][0]}, {str(table[n][3]).lower()})" for f, n in errors.FAILURES.items())
+
+
+@query("storage_errors", f"SELECT failure, name, code, retriable FROM (VALUES {_failure_rows()}, ('other', 'GENERIC_INTERNAL_ERROR', 65536, false)) t(failure, name, code, retriable)")
+def storage_errors(spark, d):
+    """The code for each kind of storage failure."""
+    return errors.with_codes(spark.createDataFrame([(f,) for f in [*errors.FAILURES, "other"]], "failure string")).select("failure", "name", "code", "retriable")
+
+
+@query(
+    "metadata_lookup",
+    """WITH c AS (SELECT user_id, max(ts) AS cached_at FROM events WHERE event_type = 'purchase' GROUP BY 1)
+       SELECT event_id, coalesce(epoch_us(ts) - epoch_us(cached_at) BETWEEN 0 AND 864000000000, false) AS hit FROM events LEFT JOIN c USING (user_id)""",
+)
+def metadata_lookup(spark, d):
+    """Which requests an entry of their key serves, entries living ten days."""
+    e = read(spark, d, "events")
+    return streams.lookup(e, e.filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("cached_at")), "user_id", "ts", ttl_seconds=864000).select("event_id", "hit")
+
+
 @query("ttl_staleness", "SELECT event_id, epoch_us(TIMESTAMP '2024-01-15 00:00:00') - epoch_us(ts) > 86400000000 AS stale FROM events")
 def ttl_staleness(spark, d):
     now = F.lit("2024-01-15 00:00:00").cast("timestamp")
@@ -599,11 +645,17 @@ def membership_fold(spark, d):
     return membership.fold(member_events(read(spark, d, "events")))
 
 
+@query("membership_peers", f"SELECT * FROM ({ORACLE_SQL['membership_fold']}) WHERE node <> 'n1'")
+def membership_peers(spark, d):
+    """The other members of each cluster, for a node that is in all of them."""
+    return membership.peers(membership.fold(member_events(read(spark, d, "events"))), "n1")
+
+
 @query("membership_stream", ORACLE_SQL["membership_fold"])
 def membership_stream(spark, d):
     """The same fold, kept as state over a stream."""
     stream = member_events(streams.read_stream(spark, path(d, "events")))
-    folder = f"{shared(spark)}/members-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/members-{uuid.uuid4().hex}"
     out = membership.fold_stream(stream)
     writer = out.writeStream.outputMode("update").option("checkpointLocation", f"{folder}-state").trigger(availableNow=True)
     writer.foreachBatch(lambda df, k: df.withColumn("batch", F.lit(k)).write.mode("append").parquet(folder)).start().awaitTermination()
@@ -620,14 +672,25 @@ def herd_dedupe(spark, d):
 def stream_scan(spark, d):
     """A predicate scan of a stream."""
     p = P.compare("event_type", "Eq", "click") & P.compare("value", "Ge", 50.0)
-    return streams.run_available(streams.filtered(streams.read_stream(spark, path(d, "events")), p, ["event_id", "value"]), shared(spark))
+    return streams.run_available(streams.filtered(streams.read_stream(spark, path(d, "events")), p, ["event_id", "value"]), shared_dir(spark))
 
 
 @query("stream_metrics", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS ops FROM events GROUP BY 1, 2")
 def stream_metrics(spark, d):
     """Hourly counts of a stream."""
     w = streams.windowed(streams.read_stream(spark, path(d, "events")), "ts", "event_type")
-    return streams.run_available(w, shared(spark), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "ops")
+    return streams.run_available(w, shared_dir(spark), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "ops")
+
+
+@query(
+    "stream_sliding",
+    """SELECT start, event_type, count(*) AS ops, sum(user_id)::BIGINT AS total FROM
+       (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start, event_type, user_id FROM events) GROUP BY 1, 2""",
+)
+def stream_sliding(spark, d):
+    """Counts and sums of a stream over an hour, every half hour."""
+    w = streams.windowed(streams.read_stream(spark, path(d, "events")), "ts", "event_type", "1 hour", "30 minutes", value="user_id")
+    return streams.run_available(w, shared_dir(spark), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "ops", "total")
 
 
 @query(
@@ -639,12 +702,12 @@ def stream_metrics(spark, d):
 def stream_sessions(spark, d):
     """Sessions of a stream's users."""
     s = streams.sessions(streams.read_stream(spark, path(d, "events")), "ts", "user_id", "12 hours")
-    return streams.run_available(s, shared(spark), "complete").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "ops")
+    return streams.run_available(s, shared_dir(spark), "complete").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "ops")
 
 
 @query("stream_dedupe", "SELECT user_id, min(ts) AS ts FROM events GROUP BY 1")
 def stream_dedupe(spark, d):
     """First request of each key within the watermark (all of a single micro-batch)."""
     e = streams.read_stream(spark, path(d, "events")).select("user_id", "ts")
-    out = streams.run_available(streams.deduplicated(e, ["user_id"], "ts", "60 days"), shared(spark))
+    out = streams.run_available(streams.deduplicated(e, ["user_id"], "ts", "60 days"), shared_dir(spark))
     return out.groupBy("user_id").agg(F.min("ts").cast("timestamp_ntz").alias("ts"))

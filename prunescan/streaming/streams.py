@@ -64,6 +64,15 @@ def live(entries: DataFrame, cached_at: str, now: Column, ttl_seconds: int = 300
     return entries.filter(age <= ttl_seconds * 1_000_000)
 
 
+def lookup(requests: DataFrame, entries: DataFrame, key: str, asked_at: str, cached_at: str = "cached_at", ttl_seconds: int = 300) -> DataFrame:
+    """``requests`` with ``hit``: whether the table of entries (one a key, the latest put) has one of that key that is not yet outlived when asked for."""
+    at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    known = entries.select(F.col(key).alias("_entry"), F.col(cached_at).alias("_cached")).groupBy("_entry").agg(F.max("_cached").alias("_cached"))
+    age = at(asked_at) - at("_cached")
+    both = requests.join(known, F.col(key) == F.col("_entry"), "left")
+    return both.withColumn("hit", F.coalesce((age >= 0) & (age <= ttl_seconds * 1_000_000), F.lit(False))).drop("_entry", "_cached")
+
+
 def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that's there now into Parquet under ``folder`` and read the result.
 

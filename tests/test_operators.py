@@ -49,20 +49,46 @@ def ring_model(nodes, key, n=1):
     return out[:n]
 
 
-def test_ring(spark):
-    nodes = [f"node{i}:8080" for i in range(1, 4)]
-    keys = [f"gs://bucket/table/part-{i:05}.parquet" for i in range(3000)]
-    df = spark.createDataFrame([(k,) for k in keys], "key string")
-    got = {r.key: r.nodes for r in ring.place(df, ring.build_ring(spark, nodes), "key", 2).collect()}
-    assert all(got[k] == ring_model(nodes, k, 2) for k in random.Random(1).sample(keys, 200))
-    assert all(500 <= sum(v[0] == n for v in got.values()) <= 1500 for n in nodes)
-    moved = ring.remapped(df, ring.build_ring(spark, nodes), ring.build_ring(spark, nodes[:1] + nodes[2:]), "key")
-    changed = moved.filter("owner_before <> owner_after")
-    assert 0 < changed.count() < 1800 and changed.filter("owner_before <> 'node2:8080'").count() == 0
+def test_ring(spark, monkeypatch):
+    nodes = ["oak", "elm", "ash", "fir", "yew"]
+    df = spark.range(4000).select(F.format_string("lake/day=%d/%x", F.col("id") % 9, F.col("id") * 7919).alias("key"))
+    whole = ring.build_ring(spark, nodes)
+    got = {r.key: r.nodes for r in ring.place(df, whole, "key", 3).collect()}
+    assert len(got) == 4000 and all(got[k] == ring_model(nodes, k, 3) for k in random.Random(1).sample(sorted(got), 250))
+    share = [sum(v[0] == n for v in got.values()) for n in nodes]
+    assert min(share) > 4000 / 5 / 2 and max(share) < 4000 / 5 * 2
+    moved = ring.remapped(df, whole, ring.build_ring(spark, ["oak", "elm", "fir", "yew"]), "key").filter("owner_before <> owner_after")
+    assert moved.count() == share[2] and moved.filter("owner_before <> 'ash'").count() == 0
+    assert ring.local(df, whole, "key", "yew").filter("is_local").count() == share[4]
     assert ring.owners(df.limit(3), ring.build_ring(spark, []), "key").filter("owner is null").count() == 3
-    assert ring.owners(df.limit(0), ring.build_ring(spark, nodes), "key").count() == 0
-    assert {r.owner for r in ring.first_live(df.limit(50), ring.build_ring(spark, nodes), "key", nodes[:2]).collect()} == {nodes[2]}
-    assert ring.first_live(df.limit(5), ring.build_ring(spark, nodes), "key", nodes).filter("owner is null").count() == 5
+    assert ring.owners(df.limit(0), whole, "key").count() == 0
+    assert {r.owner for r in ring.first_live(df.limit(40), whole, "key", ["oak", "elm"], 3).collect()} <= {"ash", "fir", "yew"}
+    assert ring.first_live(df.limit(5), whole, "key", nodes, 5).filter("owner is null").count() == 5
+    monkeypatch.setattr(ring, "MOST_SENT", 10)  # as a ring that is too large to send
+    assert {r.key: r.nodes for r in ring.place(df, whole, "key", 3).collect()} == got
+
+
+def test_gauge(spark):
+    rng = random.Random(8)
+    log = [(rng.choice(["a", "a", "b", None]), t, rng.choice([-1, 2, None])) for t in [None, *range(300)]]
+    df = spark.createDataFrame(log, "k string, t int, d int")
+    for buckets in (1, 7, 4096):
+        got = {(r.k, r.t): r.level for r in metrics.gauge(df, "k", "t", F.col("d"), buckets).collect()}
+        for k in ("a", "b", None):
+            level = 0
+            for _, t, x in (r for r in log if r[0] == k):
+                level += x or 0
+                assert got[k, t] == level
+    one = spark.sql("select 'a' k, timestamp'2024-01-01' t, 5 d")
+    assert rows(metrics.gauge(one, "k", "t", F.col("d")))[0][-1] == 5 and metrics.gauge(one.limit(0), "k", "t", F.col("d")).count() == 0
+    assert metrics.throughput(one, "k", "t", "d").first().ops_per_second is None
+
+
+def test_assembly(spark):
+    stored = spark.createDataFrame([("f", 0, bytearray(b"abcd")), ("f", 1, bytearray(b"efgh")), ("f", 3, bytearray(b"m")), ("f", 1, bytearray(b"efgh"))], "file_id string, page_index long, data binary")
+    asked = spark.createDataFrame([(1, "f", 1, 6), (2, "f", 4, 4), (3, "f", 6, 4), (4, "f", 12, 2), (5, "f", 12, 1), (6, "g", 0, 1), (7, "f", 3, 0)], "id int, file_id string, offset long, length long")
+    got = {r.id: r.data and bytes(r.data) for r in pages.assemble(asked, stored, "id", 4).collect()}
+    assert got == {1: b"bcdefg", 2: b"efgh", 3: None, 4: None, 5: b"m", 6: None}
 
 
 def test_lru(spark):
@@ -120,11 +146,11 @@ def test_membership(spark, events, members):
 def test_text(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     lit = F.lit
-    assert one(text.url_safe(lit("gs://bucket/path/file.parquet"))) == "gs%3A%2F%2Fbucket%2Fpath%2Ffile.parquet"
+    assert one(text.url_safe(lit("s3://lake/a b/ü.parquet"))) == "s3%3A%2F%2Flake%2Fa%20b%2F%C3%BC.parquet"
     for s in ("é ~*+%", "plain", ""):
         assert one(text.url_safe_decode(text.url_safe(lit(s)))) == s
     assert one(text.query_decode(lit("a+b%20c"))) == "a b c"
-    assert one(text.object_name(lit("path/to/file name"))) == "path%2Fto%2Ffile%20name"
+    assert one(text.object_name(lit("day=1/x y"))) == "day%3D1%2Fx%20y"
     assert [one(text.retry_delay(lit(a))) for a in (0, 1, 2, 3, 10, 20)] == [100, 200, 400, 800, 5000, 5000]
     assert [one(text.status_class(lit(s))) for s in (200, 503, 429, 500, 404, 403)] == ["ok", "transient", "transient", "transient", "permanent", "permanent"]
     assert one(text.status_code(lit("HTTP/1.1 206 Partial Content"))) == 206 and one(text.status_code(lit("junk"))) is None
@@ -132,8 +158,8 @@ def test_text(spark):
     assert one(text.header_end(lit("a\r\n\r\nb"))) == 1 and one(text.header_end(lit("a"))) == -1
     assert one(text.query_value(lit("GET /read?uri=x%2Fy&uri=z HTTP/1.1"), "uri")) == "x/y" and one(text.query_value(lit("GET /read HTTP/1.1"), "uri")) is None
     assert one(text.hex_literal(lit(bytearray(b"\x01\xff")))) == "0x01ff" and one(text.truncated(lit("é" * 300))) == "é" * 200
-    path = one(text.path_component(lit("gs://bucket/data.parquet"), lit(5)))
-    assert path.split("/")[1:] == ["gs%3A%2F%2Fbucket%2Fdata.parquet", "5"] and len(path.split("/")[0]) == 3
+    path = one(text.path_component(lit("s3://lake/t.parquet"), lit(5)))
+    assert path.split("/")[1:] == ["s3%3A%2F%2Flake%2Ft.parquet", "5"] and len(path.split("/")[0]) == 3
     assert one(text.page_key(lit("f"), lit(3))) == "f:page3"
 
 

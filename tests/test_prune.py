@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from prunescan.engine import Engine
 from prunescan.functions.errors import EngineError
 from prunescan.plans import predicate as P, prune
-from prunescan.plans.scan import scan
+from prunescan.plans.scan import merged, read_row_groups, scan
 from prunescan.sources import footer
-from prunescan.sources.rowgroups import read_row_groups
 
 
 @pytest.fixture(scope="module")
@@ -107,6 +106,53 @@ def test_row_group_mode_reads_one_group(spark, files):
     assert rows.columns == ["k", "i", "f", "s", "u", "n", "st"]
 
 
+def scanned(df):
+    """Rows that the file scans of a plan put out."""
+    df.write.format("noop").mode("overwrite").save()
+    rows = df.collect()
+    plan, out = df._jdf.queryExecution().executedPlan(), []
+
+    def visit(node):
+        if node.nodeName().startswith("Scan parquet"):
+            out.append(node.metrics().apply("numOutputRows").value())
+        inner = node.executedPlan() if node.nodeName() == "AdaptiveSparkPlan" else node.plan() if node.nodeName().endswith("QueryStage") else None
+        for child in [inner] if inner is not None else [node.children().apply(i) for i in range(node.children().size())]:
+            visit(child)
+
+    visit(plan)
+    return sum(out), rows
+
+
+@pytest.mark.parametrize("p, n", [
+    (P.between("k", 41_200, 41_300), 1), (P.is_in("k", [5, 99_999]), 2), (P.compare("v", "Gt", 49_900.0), 1), (P.between("k", 1500, 3500) & P.compare("v", "Lt", 1200.0), 2),
+    (P.compare("k", "Lt", 10) | P.compare("v", "Ge", 49_600.0), 2), (P.compare("k", "Ge", 0), 100), (P.compare("k", "Gt", 10**6), 0),
+])
+def test_only_surviving_groups_are_read(spark, tmp_path_factory, p, n):
+    """100 row groups in one file: the scan puts out no more than the survivors' rows, but for an Or over two columns."""
+    path = tmp_path_factory.mktemp("hundred") / "t.parquet"
+    k = list(range(100_000))
+    pq.write_table(pa.table({"k": k, "v": [x / 2 for x in k]}), path, row_group_size=1000)
+    out, rows = scanned(scan(spark, str(path), p, ["k"], mode="row_group"))
+    assert len(rows) == 1000 * n and (p.kind == "Or" or out == len(rows))
+    assert {r.k for r in scan(spark, str(path), p, ["k"]).collect()} <= {r.k for r in rows}
+
+
+def test_spans():
+    assert merged([(5, 9), (1, 2), (2, 3), (20, 21)]) == [(1, 3), (5, 9), (20, 21)]
+    assert merged([(0, 1), (10, 11), (12, 13), (90, 91)], 2) == [(0, 13), (90, 91)]
+    spans = [(x, x + 2) for x in random.Random(4).sample(range(10_000), 500)]
+    wide = merged(spans, 7)
+    assert len(wide) == 7 and all(any(a <= x and y <= b for a, b in wide) for x, y in spans)
+
+
+def test_other_files_are_left_out(spark, files):
+    """Files without a survivor aren't read; a file in which nothing is known stays."""
+    uris = [str(files / f) for f in ("a.parquet", "nostats.parquet")]
+    df = scan(spark, uris, P.compare("k", "Gt", 10**6), ["k"], mode="row_group")
+    assert df.count() == 1000
+    assert scan(spark, uris, P.compare("n", "Eq", 5), ["k"], mode="row_group").count() == 1200
+
+
 def test_engine(spark, files):
     e, uri = Engine(spark), str(files / "a.parquet")
     assert e.scan(uri, P.compare("k", "Lt", 3).json(), ["k"]).count() == 3
